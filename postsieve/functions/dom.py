@@ -29,6 +29,11 @@ class Sel:
     inside: Sel | None = None
     last_child_of: Sel | None = None
 
+    @property
+    def bare(self) -> bool:
+        """Whether an element without attributes can match."""
+        return not (self.cls or self.id or self.has or self.attr or self.part)
+
     def fits(self, tag: str, attrs: dict[str, str]) -> bool:
         return (
             (self.tag is None or self.tag == tag)
@@ -103,6 +108,7 @@ class _Finder(HTMLParser):
     def __init__(self, picks: tuple[Pick, ...], anchors: tuple[Sel, ...] = ()):
         super().__init__(convert_charrefs=True)
         self.picks, self.anchors = picks, anchors
+        self.bare = [slot for slot, pick in enumerate(picks) if any(s.bare for s in pick.any_of)]
         self.texts: list[str | None] = [None] * len(picks)
         self.targets: list[str] = []
         self.open: list[_Node] = []
@@ -110,7 +116,7 @@ class _Finder(HTMLParser):
         self.taken: set[int] = set()
         # Last children so far, by slot.
         self.last: dict[int, _Capture] = {}
-        self.hidden = 0
+        self.hidden = self.pre = 0
 
     def _matches(self, sel: Sel, tag: str, attrs: dict) -> bool:
         if not sel.fits(tag, attrs):
@@ -130,7 +136,7 @@ class _Finder(HTMLParser):
                 capture.parts.append(part)
 
     def _border(self, tag: str):
-        if tag in _BLOCKS:
+        if self.running and tag in _BLOCKS:
             self._break(2 if tag == "p" else 1)
 
     def _close(self):
@@ -141,6 +147,7 @@ class _Finder(HTMLParser):
                 self.taken.add(capture.slot)
                 self._finish(capture)
         self.hidden -= node.tag in _UNSEEN
+        self.pre -= node.tag == "pre"
         for capture in node.captures:
             self.running = [c for c in self.running if c is not capture]
             if capture.parent is None:
@@ -171,10 +178,12 @@ class _Finder(HTMLParser):
             self.targets.append(attrs.get("href", ""))
         parent = self.open[-1] if self.open else None
         self._border(tag)
-        self.last = {s: c for s, c in self.last.items() if c.parent is not parent}
-        for slot, pick in enumerate(self.picks):
-            if slot not in self.taken and any(self._matches(s, tag, attrs) for s in pick.any_of):
-                over = pick.any_of[0].last_child_of
+        if self.last:
+            self.last = {s: c for s, c in self.last.items() if c.parent is not parent}
+        for slot in range(len(self.picks)) if attrs else self.bare:
+            any_of = self.picks[slot].any_of
+            if slot not in self.taken and any(self._matches(s, tag, attrs) for s in any_of):
+                over = any_of[0].last_child_of
                 if over is None:
                     self.taken.add(slot)
                     node.captures.append(_Capture(slot))
@@ -186,6 +195,7 @@ class _Finder(HTMLParser):
             self._break(_BR)
         self.open.append(node)
         self.hidden += tag in _UNSEEN
+        self.pre += tag == "pre"
         if tag in _VOID:
             self._close()
 
@@ -199,8 +209,10 @@ class _Finder(HTMLParser):
             self._close()
 
     def handle_data(self, data):
+        if not self.running:
+            return
         shown = [data]
-        if any(n.tag == "pre" for n in self.open):
+        if self.pre:
             # Lines of preformatted text stay lines.
             shown = [p for line in data.split("\n") for p in (_BR, line)][1:]
         self._text(data, shown)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -49,6 +50,15 @@ def _swap(text: Column, pairs) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, text)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it.
+
+    Columns nest by copying; without this, chains of conditionals over one text grow
+    exponentially, inside lambda functions above all.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def js_trim(text: Column) -> Column:
     """Trim all Unicode white space; Spark's ``trim`` strips U+0020 only."""
     # Two anchored passes: an alternation would scan from every blank run inside the text.
@@ -65,14 +75,19 @@ def encode_component(text: Column) -> Column:
     return _swap(F.url_encode(text), _COMPONENT)
 
 
+def _encode_rest(text: Column, pairs) -> Column:
+    coded = lambda t: F.when(t.rlike(r"[^\x21-\x7e]"), _swap(F.url_encode(t), pairs)).otherwise(t)
+    return let(text, coded)
+
+
 def encode_path(path: Column) -> Column:
     """Percent-encode what a URL path may not hold, leaving existing escapes alone."""
-    return F.when(path.rlike(r"[^\x21-\x7e]"), _swap(F.url_encode(path), _COMPONENT + _PATH)).otherwise(path)
+    return _encode_rest(path, _COMPONENT + _PATH)
 
 
 def encode_query(tail: Column) -> Column:
     """The same for a query or fragment, its leading mark included."""
-    return F.when(tail.rlike(r"[^\x21-\x7e]"), _swap(F.url_encode(tail), _COMPONENT + _QUERY + _PATH)).otherwise(tail)
+    return _encode_rest(tail, _COMPONENT + _QUERY + _PATH)
 
 
 def clip(text: Column, limit: int = 5000) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.operators.details import extract_detail_text
-from postsieve.operators.links import boss_link, extract_links, indeed_link, linkedin_link
+from postsieve.operators.links import extract_links, job_link
 from postsieve.operators.platforms import is_auth_wall, with_platform
 
 
@@ -16,11 +16,7 @@ def canonical_job_url(url: Column, platform: Column) -> Column:
     Redirects and tracking parameters make the address of a visited page differ from
     the link that led there; visits are compared in this form.
     """
-    return (
-        F.when(platform == "LinkedIn", linkedin_link(url, url))
-        .when(platform == "Indeed", indeed_link(url))
-        .when(platform == "Boss直聘", boss_link(url))
-    )
+    return job_link(url, url, platform)
 
 
 def capture(pages: DataFrame) -> DataFrame:

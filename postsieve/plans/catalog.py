@@ -29,6 +29,10 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.read_pages(spark, f"{sf}/pages.parquet")
+
+
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     # A pattern, since a stream takes a plain path for a folder and the table may be one file.
     return tables.stream_pages_source(spark, f"{sf}/{name}.parque[t]", _table(spark, sf, name).schema)
@@ -47,7 +51,7 @@ def _host(url: str = "url") -> Column:
 
 def _listing(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as listing pages: the host as keyword, the page id as page number."""
-    return links.page_links(_table(spark, sf, "pages")).withColumn("host", _host())
+    return links.page_links(_pages(spark, sf)).withColumn("host", _host())
 
 
 def _job_pages(pages: DataFrame) -> DataFrame:
@@ -224,38 +228,38 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "pages").select("page_id", canonical_url(F.col("url")).alias("url"))
+    return _pages(spark, sf).select("page_id", canonical_url(F.col("url")).alias("url"))
 
 
 def job_links(spark: SparkSession, sf: str) -> DataFrame:
-    found = links.extract_links(platforms.with_platform(_job_pages(_table(spark, sf, "pages"))))
+    found = links.extract_links(platforms.with_platform(_job_pages(_pages(spark, sf))))
     return links.link_rows(found, ["page_id", "platform"]).withColumn("pos", _n("pos"))
 
 
 def detail_text(spark: SparkSession, sf: str) -> DataFrame:
-    found = details.extract_detail_text(platforms.with_platform(_job_details(_table(spark, sf, "pages"))))
+    found = details.extract_detail_text(platforms.with_platform(_job_details(_pages(spark, sf))))
     return found.select("page_id", "platform", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
 
 
 def job_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Listing and detail pages mixed, told apart by their addresses."""
-    pages = _table(spark, sf, "pages")
+    pages = _pages(spark, sf)
     found = capture.capture(_job_pages(pages).unionByName(_job_details(pages)))
     return found.select("page_id", "platform", "job_url", "walled", _n(F.size("links")).alias("n_links"), (F.col("text") != "").alias("has_text"))
 
 
 def platform_of_page(spark: SparkSession, sf: str) -> DataFrame:
     marks = [("blog.", "Blog"), ("m.", "Mobile"), ("example.org", "Org")]
-    return platforms.with_platform(_table(spark, sf, "pages"), marks).select("page_id", "platform")
+    return platforms.with_platform(_pages(spark, sf), marks).select("page_id", "platform")
 
 
 def auth_wall_pages(spark: SparkSession, sf: str) -> DataFrame:
     url = _walled_url()
-    return _table(spark, sf, "pages").select("page_id", platforms.is_auth_wall(url).alias("walled"))
+    return _pages(spark, sf).select("page_id", platforms.is_auth_wall(url).alias("walled"))
 
 
 def skip_walled(spark: SparkSession, sf: str) -> DataFrame:
-    visits_ = _table(spark, sf, "pages").select("page_id", _host().alias("host"), _walled_url().alias("url"))
+    visits_ = _pages(spark, sf).select("page_id", _host().alias("host"), _walled_url().alias("url"))
     return platforms.skip_walled_platform(visits_, ["host"], "page_id").select("page_id", "host")
 
 
@@ -313,7 +317,8 @@ def drop_visited(spark: SparkSession, sf: str) -> DataFrame:
 
 def visited_union(spark: SparkSession, sf: str) -> DataFrame:
     pages = _listing(spark, sf)
-    shown = pages.select(F.explode(F.transform("links", lambda h: resolve_url(h, F.col("url")))).alias("url"))
+    full = F.transform("links", lambda h: resolve_url(h, F.col("url")))
+    shown = links.link_rows(pages.withColumn("links", full), [])
     return visits.mark_visited(pages.select(canonical_url(F.col("url")).alias("url")), shown, ["url"])
 
 
@@ -608,7 +613,7 @@ def stream_capture(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     rows = links.page_links(_stream(spark, sf, "pages")).withColumn("host", _host())
-    found = stream_pages.stream_dedup(rows.select("host", F.explode("links").alias("url")), ["host", "url"])
+    found = stream_pages.stream_dedup(links.link_rows(rows, ["host"]).drop("pos"), ["host", "url"])
     out = new_dir(spark, "links")
     stream_pages.append_to(found, out, f"{out}-state").awaitTermination()
     return spark.read.parquet(out)

@@ -47,7 +47,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def append_batch(postings: DataFrame, path: str, batch_id: int) -> None:
     """Save a batch; repeating it with the same ``batch_id`` changes nothing."""
     target = f"{path.rstrip('/')}/batch_id={batch_id}"
-    postings.select(*[F.col(f.name).cast(f.dataType) for f in LOG]).write.mode("overwrite").parquet(target)
+    postings.select(*[F.col(f.name).cast(f.dataType.simpleString()) for f in LOG]).write.mode("overwrite").parquet(target)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

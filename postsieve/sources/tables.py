@@ -9,8 +9,18 @@ from pyspark.sql import types as T
 from postsieve.schemas import PAGE, RUN_DEFAULTS, RUN_STATE
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a plain scan out to all cores where it has fewer splits than cores.
+
+    A file of few row groups would keep parsing on few cores. Large inputs have more
+    splits than cores and are left as they are, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_pages(spark: SparkSession, path: str, schema: T.StructType = PAGE) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    return spread(spark.read.schema(schema).parquet(path))
 
 
 def stream_pages_source(
