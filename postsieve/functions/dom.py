@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postsieve.functions.text import BLANKS
+
 
 @dataclass(frozen=True)
 class Sel:
@@ -65,10 +67,6 @@ _BLOCKS = frozenset(
 )
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th")}
 _SIBLINGS |= {"td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-# What ECMAScript trims.
-_BLANKS = "".join(
-    map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
-)
 _BR = None
 
 
@@ -157,7 +155,7 @@ class _Finder(HTMLParser):
     def _finish(self, capture: _Capture):
         rendered = self.picks[capture.slot].rendered
         text = _shown(capture.parts) if rendered else "".join(capture.parts)
-        self.texts[capture.slot] = text.strip(_BLANKS)
+        self.texts[capture.slot] = text.strip(BLANKS)
 
     def _imply_ends(self, tag: str):
         if tag in _BLOCKS:

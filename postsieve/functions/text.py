@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What ECMAScript trims (white space and line terminators).
-BLANK = (
-    r"\x{9}-\x{d}\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+# Code points ECMAScript trims (white space and line terminators).
+BLANKS = "".join(
+    map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
 )
 
 # Characters encodeURIComponent leaves alone but url_encode does not,
@@ -59,11 +58,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns whose values are computed once, also where they are filtered on.
+
+    The optimizer pushes a filter on a plain column below it and repeats the whole
+    expression there; it cannot push one below a generated column.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def js_trim(text: Column) -> Column:
-    """Trim all Unicode white space; Spark's ``trim`` strips U+0020 only."""
-    # Two anchored passes: an alternation would scan from every blank run inside the text.
-    left = F.regexp_replace(text, f"^[{BLANK}]+", "")
-    return F.regexp_replace(left, f"(?<![{BLANK}])[{BLANK}]+\\z", "")
+    """Trim all Unicode white space, where a plain ``trim`` strips U+0020 only."""
+    return F.trim(text, F.lit(BLANKS))
 
 
 def job_key(title: Column, company: Column) -> Column:

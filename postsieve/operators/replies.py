@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postsieve.functions.text import with_computed
 from postsieve.schemas import POSTING_COLUMNS, REPLY_FLAGS, REPLY_TEXTS
 
 
@@ -57,15 +58,17 @@ def parse_reply_strict(df: DataFrame, reply: str = "reply") -> DataFrame:
         *[typed(f, "string").alias(f) for f in REPLY_TEXTS],
         tags.alias("tech_tags"),
     )
-    read = parsed.withColumn("extraction", F.when(F.coalesce(exact, F.lit(False)), extraction))
+    valid = parsed.withColumn("_extraction", F.when(F.coalesce(exact, F.lit(False)), extraction))
+    made = F.col("_extraction")
     status = (
         F.when(text.isNull(), "call_failed")
         .when(F.col("_json").isNull(), "not_json")
-        .when(F.col("extraction").isNull(), "bad_schema")
-        .when(~_all([F.col(f"extraction.{f}") for f in REPLY_FLAGS]), "not_qualified")
+        .when(made.isNull(), "bad_schema")
+        .when(~_all([made[f] for f in REPLY_FLAGS]), "not_qualified")
         .otherwise("ok")
     )
-    return read.withColumn("status", status).drop("_list", "_object", "_json")
+    read = with_computed(valid, status=status, extraction=made)
+    return read.drop("_list", "_object", "_json", "_extraction")
 
 
 def qualify(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postsieve.functions.text import clip
+from postsieve.functions.text import clip, contains_any
 
 # What the scorer is told before each posting; callers may pass their own.
 SYSTEM_TEXT = """You read one job posting at a time for somebody who has just graduated and wants to build AI systems.
@@ -139,18 +139,27 @@ def terms_pattern(terms: list[str]) -> str:
     return f"{bounded}|{other}" if other else bounded
 
 
-def role_rules(text: Column) -> Column:
-    """Whether the text names a role wanted and none that is ruled out."""
-    low = F.lower(text)
-    return low.rlike(terms_pattern(ROLE_TERMS)) & ~low.rlike(terms_pattern(NOT_ROLE_TERMS))
+def names_any(low: Column, terms: list[str]) -> Column:
+    """Whether a lower-case text names one of the terms.
+
+    The plain substring search rules most texts out before the pattern is tried.
+    """
+    return contains_any(low, terms) & low.rlike(terms_pattern(terms))
+
+
+def role_rules(low: Column) -> Column:
+    """Whether a lower-case text names a role wanted and none that is ruled out."""
+    return names_any(low, ROLE_TERMS) & ~names_any(low, NOT_ROLE_TERMS)
 
 
-def level_rules(text: Column) -> Column:
+def level_rules(low: Column) -> Column:
     """False only for texts that ask for three or more years and name no entry track."""
-    low = F.lower(text)
-    return low.rlike(terms_pattern(LEVEL_TERMS)) | ~low.rlike(SENIOR_PATTERN)
+    senior = F.contains(low, F.lit("years")) & low.rlike(SENIOR_PATTERN)
+    return ~senior | names_any(low, LEVEL_TERMS)
 
 
 def rule_labels(df: DataFrame, text: str = "text") -> DataFrame:
     """Rule approximations of the scorer's two flags; kept apart from :func:`replies.qualify`."""
-    return df.withColumns({"rule_role": role_rules(F.col(text)), "rule_level": level_rules(F.col(text))})
+    low = df.withColumn("_low", F.lower(text))
+    labels = {"rule_role": role_rules(F.col("_low")), "rule_level": level_rules(F.col("_low"))}
+    return low.withColumns(labels).drop("_low")

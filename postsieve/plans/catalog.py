@@ -33,6 +33,10 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_pages(spark, f"{sf}/pages.parquet")
 
 
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.spread(_table(spark, sf, "documents"))
+
+
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     # A pattern, since a stream takes a plain path for a folder and the table may be one file.
     return tables.stream_pages_source(spark, f"{sf}/{name}.parque[t]", _table(spark, sf, name).schema)
@@ -124,7 +128,7 @@ def _job_url() -> Column:
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "documents").join(_table(spark, sf, "labels"), "doc_id")
+    return _docs(spark, sf).join(_table(spark, sf, "labels"), "doc_id")
 
 
 def _postings(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,27 +200,28 @@ def _replies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, sf: str) -> DataFrame:
-    parts = _table(spark, sf, "part").select(
+    """Part names as keywords, searched on all platforms."""
+    parts = tables.spread(_table(spark, sf, "part")).select(
         F.explode(F.sequence(F.lit(0), F.lit(2))).alias("platform_idx"),
         F.col("p_partkey").alias("keyword_idx"),
         F.concat("p_name", F.lit(" & co's 实习 (intern)")).alias("keyword"),
     )
-    return search_plan.expand_plan(search_plan.select_platforms(parts, [2, 0, 1]))
+    return search_plan.select_platforms(parts, [2, 0, 1])
 
 
 def expand_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark, sf).select(
-        _n("platform_pos").alias("platform_pos"), _n("platform_idx").alias("platform_idx"), "keyword_idx", _n("page_no").alias("page_no")
-    )
+    plan = search_plan.expand_plan(_plan(spark, sf))
+    positions = [_n(c).alias(c) for c in ("platform_pos", "platform_idx", "page_no")]
+    return plan.select(*positions, "keyword_idx")
 
 
 def search_urls(spark: SparkSession, sf: str) -> DataFrame:
     plan = search_plan.search_urls(_plan(spark, sf))
-    return plan.select(_n("platform_idx").alias("platform_idx"), "keyword_idx", _n("page_no").alias("page_no"), "search_url")
+    return plan.select(*[_n(c).alias(c) for c in ("platform_idx", "page_no")], "keyword_idx", "search_url")
 
 
 def url_component(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "documents").select("doc_id", F.md5(encode_component(F.col("text"))).alias("encoded"))
+    return _docs(spark, sf).select("doc_id", F.md5(encode_component(F.col("text"))).alias("encoded"))
 
 
 # Pages -------------------------------------------------------------------------
@@ -360,7 +365,7 @@ def attach_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prompt(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _table(spark, sf, "documents").select("doc_id", "text", _job_url().alias("url"))
+    docs = _docs(spark, sf).select("doc_id", "text", _job_url().alias("url"))
     return scoring.build_prompt(docs, system=None).select("doc_id", "prompt")
 
 
@@ -382,7 +387,7 @@ def score_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored_until_target(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _table(spark, sf, "documents").select(
+    docs = _docs(spark, sf).select(
         F.col("lang").alias("run_id"),
         F.col("doc_id").alias("seq"),
         _job_url().alias("url"),
@@ -397,7 +402,7 @@ def scored_until_target(spark: SparkSession, sf: str) -> DataFrame:
 def reply_content(spark: SparkSession, sf: str) -> DataFrame:
     message = F.struct(F.struct(F.col("text").alias("content")).alias("message"))
     body = F.when(F.col("lang") == "es", "busy").otherwise(F.to_json(F.struct(F.array(message).alias("choices"))))
-    docs = _table(spark, sf, "documents").select("doc_id", body.alias("body"))
+    docs = _docs(spark, sf).select("doc_id", body.alias("body"))
     return tables.reply_content(docs).select("doc_id", F.md5("reply").alias("reply"))
 
 
@@ -431,7 +436,7 @@ def rule_labels(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 5, " NLP engineer 0-2 years")
         .otherwise("")
     )
-    docs = _table(spark, sf, "documents").select("doc_id", F.concat("text", ending).alias("text"))
+    docs = _docs(spark, sf).select("doc_id", F.concat("text", ending).alias("text"))
     return scoring.rule_labels(docs).select("doc_id", "rule_role", "rule_level")
 
 
@@ -453,7 +458,7 @@ def quality_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _keyed(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "documents").select(
+    return _docs(spark, sf).select(
         F.col("lang").alias("run_id"), F.col("doc_id").alias("seq"), _title().alias("title"), F.col("lang").alias("company")
     )
 
@@ -508,7 +513,7 @@ def stored_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def count_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return store.count_postings(_table(spark, sf, "documents"))
+    return store.count_postings(_docs(spark, sf))
 
 
 # State, progress, export -------------------------------------------------------------------
@@ -549,7 +554,7 @@ def latest_run_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _table(spark, sf, "documents").groupBy(F.col("source").alias("run_id"))
+    docs = _docs(spark, sf).groupBy(F.col("source").alias("run_id"))
     return docs.agg(
         F.max(F.when(F.col("lang") == "es", "done").otherwise("analysing")).alias("status"),
         F.lit(40).alias("target"),

@@ -58,13 +58,13 @@ def crawl_frontier(
     used is visited before the next page is looked at, so a link is new only if no
     page used earlier in the run showed it, while links of a page that trips a limit
     stay unvisited. Where a keyword stops therefore depends on where the earlier ones
-    stopped. The stops are found by iteration: assume none, count, stop, count again,
-    until nothing moves. Each round settles at least one more keyword of every run
-    and most runs settle in two or three rounds, all runs at once. The tables the
-    rounds read hold one row per keyword and link, and are written once.
+    stopped. The stops are found by iteration: guess, count, correct, count again,
+    until nothing moves. Each round settles at least the next keyword of every run,
+    most runs settle in a few rounds, and a round reads only runs that moved in the
+    one before. The tables it reads are written once and hold a row per keyword and
+    link.
     """
     keyword = ["run_id", "platform_pos", "keyword_idx"]
-    spark = listing.sparkSession
     used = first_n_per_key(listing, keyword, ["page_no"], max_pages, "ordinal")
     used = materialise(used.select(*keyword, "page_no", "ordinal", "links"), "listing")
     pages = used.select(*keyword, "page_no", "ordinal", F.size("links").cast("bigint").alias("n_links"))
@@ -73,30 +73,33 @@ def crawl_frontier(
         firsts = drop_visited(firsts, visited)
     firsts = materialise(firsts.withColumn("_kw", F.struct("platform_pos", "keyword_idx")), "firsts")
 
-    def fresh(stops: DataFrame | None) -> DataFrame:
+    def fresh(seen: DataFrame, stops: DataFrame) -> DataFrame:
         """First sights that no earlier keyword has used up, given the stops."""
-        if stops is None:
-            taken = firsts
-        else:
-            taken = firsts.join(stops, keyword).filter(F.col("ordinal") < F.col("stop_at"))
+        taken = seen.join(stops, keyword).filter(F.col("ordinal") < F.col("stop_at"))
         owner = taken.groupBy("run_id", "url").agg(F.min("_kw").alias("_owner"))
-        joined = firsts.join(owner, ["run_id", "url"], "left")
+        joined = seen.join(owner, ["run_id", "url"], "left")
         return joined.filter(F.col("_owner").isNull() | (F.col("_owner") >= F.col("_kw")))
 
-    stops, rounds = None, 0
-    while True:
-        counts = page_counts(pages, fresh(stops), keyword, "ordinal")
-        marked = stop_points(counts.drop("page_no"), keyword, "ordinal", max_dupes, max_pages)
-        stop_at = F.coalesce(F.min(F.when(F.col("stopped"), F.col("ordinal"))), F.lit(max_pages + 1).cast("bigint"))
-        found = materialise(marked.groupBy(*keyword).agg(stop_at.alias("stop_at")), "stops")
-        rounds += 1
-        settled = stops is not None and found.join(stops, [*keyword, "stop_at"], "left_anti").isEmpty()
-        stops = found
-        if settled:
-            break
-        if max_rounds is not None and rounds >= max_rounds:
+    # The page that reaches the cap is never used; a keyword with fewer pages uses all.
+    never = F.lit(max_pages).cast("bigint")
+    stops = pages.select(*keyword).distinct().withColumn("stop_at", never)
+    rounds, active = 0, None
+    while active is None or not active.isEmpty():
+        if rounds == max_rounds:
             raise RuntimeError(f"stops still move after {rounds} rounds")
-    links = fresh(stops).join(stops, keyword).filter(F.col("ordinal") < F.col("stop_at"))
+        some = (lambda df: df) if active is None else (lambda df: df.join(active, "run_id", "left_semi"))
+        counts = page_counts(some(pages).drop("page_no"), fresh(some(firsts), stops), keyword, "ordinal")
+        marked = stop_points(counts, keyword, "ordinal", max_dupes, max_pages)
+        first_stop = F.coalesce(F.min(F.when(F.col("stopped"), F.col("ordinal"))), never)
+        found = marked.groupBy(*keyword).agg(first_stop.alias("_found"))
+        moved = F.coalesce(F.col("_found") != F.col("stop_at"), F.lit(False))
+        merged = stops.join(found, keyword, "left").withColumn("moved", moved)
+        merged = materialise(
+            merged.select(*keyword, F.coalesce("_found", "stop_at").alias("stop_at"), "moved"), "stops"
+        )
+        stops, active = merged.drop("moved"), merged.filter("moved").select("run_id").distinct()
+        rounds += 1
+    links = fresh(firsts, stops).join(stops, keyword).filter(F.col("ordinal") < F.col("stop_at"))
     links = links.join(pages.select(*keyword, "ordinal", "page_no"), [*keyword, "ordinal"])
     links = links.select(*keyword, "page_no", "pos", "url")
     return crawl_seq(links, ["platform_pos", "keyword_idx", "page_no", "pos"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from postsieve.functions.text import BLANK
+from postsieve.functions.text import BLANKS
 from postsieve.operators.scoring import LEVEL_TERMS, NOT_ROLE_TERMS, ROLE_TERMS, SENIOR_PATTERN, terms_pattern
 
+_BLANK = "".join(rf"\x{{{ord(c):x}}}" for c in BLANKS)
+
 _LINKS = r"""
 bare AS (
   SELECT page_id, url,
@@ -82,7 +84,7 @@ def _component(text: str) -> str:
 
 
 def _trim(text: str) -> str:
-    return f"regexp_replace({text}, '^[{BLANK}]+|[{BLANK}]+$', '', 'g')"
+    return f"regexp_replace({text}, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g')"
 
 
 def _key(title: str, company: str) -> str:

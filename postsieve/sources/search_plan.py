@@ -147,14 +147,22 @@ def expand_plan(plan: DataFrame, max_pages: int = 10) -> DataFrame:
     return plan.withColumn("page_no", F.explode(F.sequence(F.lit(1), F.lit(max_pages))))
 
 
-def search_url(platform_idx: Column, keyword: Column, page_no: Column) -> Column:
-    url = F.lit(None).cast("string")
+def _per_platform(platform_idx: Column, of) -> Column:
+    """A column chosen by platform, in the order of ``PLATFORMS``."""
+    chosen = F.lit(None).cast("string")
     for i, p in reversed(list(enumerate(PLATFORMS))):
-        place = page_no if p["step"] is None else (page_no - 1) * p["step"]
-        built = F.concat(F.lit(p["url"]), encode_component(keyword), F.lit(p["filters"]), place.cast("string"))
-        url = F.when(platform_idx == i, built).otherwise(url)
-    return url
+        chosen = F.when(platform_idx == i, of(p)).otherwise(chosen)
+    return chosen
 
 
-def search_urls(frontier: DataFrame) -> DataFrame:
-    return frontier.withColumn("search_url", search_url(F.col("platform_idx"), F.col("keyword"), F.col("page_no")))
+def search_urls(plan: DataFrame, max_pages: int = 10) -> DataFrame:
+    """The expanded plan with ``search_url``.
+
+    Keywords are encoded before the pages are expanded, once each.
+    """
+    idx, page = F.col("platform_idx"), F.col("page_no")
+    head = _per_platform(idx, lambda p: F.concat(F.lit(p["url"]), F.col("_encoded"), F.lit(p["filters"])))
+    heads = plan.withColumn("_encoded", encode_component(F.col("keyword"))).withColumn("_head", head)
+    place = _per_platform(idx, lambda p: (page if p["step"] is None else (page - 1) * p["step"]).cast("string"))
+    pages = expand_plan(heads, max_pages)
+    return pages.withColumn("search_url", F.concat("_head", place)).drop("_encoded", "_head")
