@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from postsieve.session import materialise
 
-# Up to this rank Spark cuts each key in every map task, before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold, default 1000).
-GROUP_LIMIT = 1000
+# Up to this rank each key is cut in every map task, before the shuffle; a key then
+# brings at most this many rows per map task. Spark itself does so up to
+# spark.sql.optimizer.windowGroupLimitThreshold (1000).
+GROUP_LIMIT = 100
 
 
 def _top(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str) -> DataFrame:

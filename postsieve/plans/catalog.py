@@ -389,14 +389,15 @@ def score_batch(spark: SparkSession, sf: str) -> DataFrame:
 def scored_until_target(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf).select(
         F.col("lang").alias("run_id"),
-        F.col("doc_id").alias("seq"),
+        (F.col("doc_id") + 1).alias("seq"),
         _job_url().alias("url"),
         F.lit("Indeed").alias("platform"),
         "text",
     )
     folder = new_dir(spark, "postings")
     curate.score_in_waves(docs, _verdict, folder, f"{folder}-rejected", target=40, wave=50)
-    return store.read_log(spark, folder).select("run_id", "seq", "title", "job_url")
+    found = store.read_log(spark, folder)
+    return found.select("run_id", (F.col("seq") - 1).alias("seq"), "title", "job_url")
 
 
 def reply_content(spark: SparkSession, sf: str) -> DataFrame:

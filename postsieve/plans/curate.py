@@ -9,7 +9,6 @@ from postsieve.operators.dedup import cut_at_target, dedup_title_company, drop_s
 from postsieve.operators.replies import parse_reply_strict, rejects, to_posting
 from postsieve.operators.scoring import Scorer, build_prompt, score_batch, score_from_table
 from postsieve.operators.keyed import first_n_per_key
-from postsieve.operators.visits import crawl_seq
 from postsieve.session import materialise
 from postsieve.sources.store import append_batch, init_store, read_log
 
@@ -54,23 +53,24 @@ def score_in_waves(
 ) -> int:
     """Score details in crawl order until each run has its target; returns the number of waves.
 
-    Spark cannot stop a scorer half way, so details go through it in waves, each twice
-    as wide as the one before: runs that have reached the target drop out, and no run
-    pays for more than about twice the calls it needs. Only the wave number lives on
-    the driver. ``details`` has ``run_id, seq, url, platform, text``; postings go to
-    ``store`` and replies without a posting to ``rejected``, one folder per wave.
+    Spark cannot stop a scorer half way, so details go through it in waves of ``seq``
+    ranges, each twice as wide as the one before: runs that have reached the target
+    drop out, and no run pays for more than about twice the calls it needs. Only the
+    wave number lives on the driver. ``details`` is a stored table with ``run_id, seq,
+    url, platform, text`` whose ``seq`` numbers each run from 1, gaps allowed; a wave
+    reads its own range of it. Postings go to ``store``, replies without a posting to
+    ``rejected``, one folder per wave.
     """
     spark = details.sparkSession
     init_store(spark, store)
-    ranked = materialise(crawl_seq(details.drop("rank"), ["seq"], name="rank"), "ranked")
     low, n = 0, 0
     while True:
         log = read_log(spark, store).filter(F.col("batch_id") < n)
         full = log.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= target)
-        todo = ranked.filter(F.col("rank") > low).join(full, "run_id", "left_anti")
+        todo = details.filter(F.col("seq") > low).join(full, "run_id", "left_anti")
         if todo.isEmpty():
             return n
-        part = build_prompt(todo.filter(F.col("rank") <= low + wave), system=None).drop("rank", "text")
+        part = build_prompt(todo.filter(F.col("seq") <= low + wave), system=None).drop("text")
         # Written, so that the scorer runs once for postings and rejects alike.
         scored = materialise(score_batch(part, scorer), "scored")
         append_batch(select_new(postings_of(scored), log, target), store, n)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from postsieve.operators.capture import capture
+from postsieve.streaming.thin import thin
 
 
 def stream_capture(pages: DataFrame) -> DataFrame:
@@ -18,11 +19,12 @@ def stream_dedup(links: DataFrame, keys: list[str] = ["run_id", "url"], ttl: tup
 
     State grows with the number of distinct URLs and is kept in RocksDB on the
     executors. ``ttl``, a time column and a delay, lets a URL return after the delay
-    and bounds the state.
+    and bounds the state. A URL that most pages show is thinned out before the shuffle.
     """
+    thinned = thin(links, keys, 1)
     if ttl is None:
-        return links.dropDuplicates(keys)
-    return links.withWatermark(*ttl).dropDuplicatesWithinWatermark(keys)
+        return thinned.dropDuplicates(keys)
+    return thinned.withWatermark(*ttl).dropDuplicatesWithinWatermark(keys)
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postsieve.operators.stop import KEYWORD, MAX_DUPES, MAX_PAGES
+from postsieve.streaming.thin import thin
 
 
 def stream_stop_rule(
@@ -53,8 +54,9 @@ def stream_stop_rule(
         state.update((consec, seen, stopped))
         yield pd.DataFrame(kept, columns=result.names)
 
+    # No batch takes a keyword past the cap, so later pages need not travel.
+    first_pages = thin(pages.select(*columns), keyword, max_pages, page)
     return (
-        pages.select(*columns)
-        .groupBy(*keyword)
+        first_pages.groupBy(*keyword)
         .applyInPandasWithState(advance, result, state_type, "append", GroupStateTimeout.NoTimeout)
     )
