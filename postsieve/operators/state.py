@@ -59,7 +59,7 @@ def run_progress(postings: DataFrame, runs: DataFrame) -> DataFrame:
         "run_id",
         "collected",
         F.col("target").cast("bigint").alias("target"),
-        F.least(F.lit(100), share.cast("bigint")).alias("pct"),
+        F.when(share > 100, F.lit(100)).otherwise(share).cast("bigint").alias("pct"),
         F.concat_ws("/", F.col("collected"), F.col("target")).alias("progress"),
         ((F.col("status") == "done") | (F.col("collected") >= F.col("target"))).alias("is_done"),
         ((F.col("collected") > 0) | (F.col("n_visited") > 0)).alias("has_progress"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +24,17 @@ SETTINGS = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if "postsieve.zip" not in context._python_includes:
+        root = pathlib.Path(__file__).resolve().parent
+        base = pathlib.Path(tempfile.mkdtemp(prefix="run-")) / root.name
+        context.addPyFile(shutil.make_archive(str(base), "zip", root.parent, root.name))
+
+
 def configure(spark: SparkSession) -> SparkSession:
+    ship_package(spark)
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
