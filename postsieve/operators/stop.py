@@ -17,10 +17,10 @@ KEYWORD = ["run_id", "platform_idx", "keyword_idx"]
 def first_sights(links: DataFrame, keyword: list[str], page: str = "page_no", pos: str = "pos") -> DataFrame:
     """Where each URL is first seen within its keyword, as ``page`` and ``pos``.
 
-    One minimum per keyword and URL, combined before the shuffle.
+    Two minima per keyword and URL, hashed and combined before the shuffle.
     """
-    first = links.groupBy(*keyword, "url").agg(F.min(F.struct(page, pos)).alias("_at"))
-    return first.select(*keyword, "url", f"_at.{page}", f"_at.{pos}")
+    at = [F.min(page).alias(page), F.min_by(pos, page).alias(pos)]
+    return links.groupBy(*keyword, "url").agg(*at)
 
 
 def page_counts(

@@ -18,7 +18,7 @@ from postsieve.functions.urls import canonical_url, host_of, resolve_url
 from postsieve.operators import capture, dedup, details, links, platforms, replies, scoring, state, stop, visits
 from postsieve.operators.keyed import last_per_key
 from postsieve.plans import crawl, curate
-from postsieve.session import configure, new_dir
+from postsieve.session import configure, materialise, new_dir
 from postsieve.sources import export, search_plan, store, tables
 from postsieve.streaming import pages as stream_pages
 from postsieve.streaming import stop as stream_stop
@@ -58,6 +58,11 @@ def _listing(spark: SparkSession, sf: str) -> DataFrame:
     return links.page_links(_pages(spark, sf)).withColumn("host", _host())
 
 
+def _stored_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a table, for queries that read the links twice but should parse the pages once."""
+    return materialise(_listing(spark, sf), "listing")
+
+
 def _job_pages(pages: DataFrame) -> DataFrame:
     """Result pages of the three platforms: every link of a page made a job link."""
     number = (F.col("page_id") % 3).cast("int")
@@ -272,7 +277,7 @@ def skip_walled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _page_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return crawl.listing_counts(_listing(spark, sf), None, ["host"], "page_id")[0]
+    return crawl.listing_counts(_stored_listing(spark, sf), None, ["host"], "page_id")[0]
 
 
 def page_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,7 +301,7 @@ def event_keyword_stop(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frontier(spark: SparkSession, sf: str) -> DataFrame:
-    found = crawl.keyword_frontier(_listing(spark, sf), None, ["host"], [], "page_id")
+    found = crawl.keyword_frontier(_stored_listing(spark, sf), None, ["host"], [], "page_id")
     return found.select("seq", "host", "page_id", "url")
 
 
@@ -314,14 +319,14 @@ def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
 
 def drop_visited(spark: SparkSession, sf: str) -> DataFrame:
     """Links of a page that no Spanish page of any host has."""
-    listing = _listing(spark, sf)
+    listing = _stored_listing(spark, sf)
     rows = links.link_rows(listing, ["page_id"])
     seen = links.link_rows(listing.filter(F.contains("url", F.lit("/es/"))), ["page_id"])
     return visits.drop_visited(rows, seen, ["url"]).select("page_id", "url")
 
 
 def visited_union(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _listing(spark, sf)
+    pages = _stored_listing(spark, sf)
     full = F.transform("links", lambda h: resolve_url(h, F.col("url")))
     shown = links.link_rows(pages.withColumn("links", full), [])
     return visits.mark_visited(pages.select(canonical_url(F.col("url")).alias("url")), shown, ["url"])

@@ -17,8 +17,9 @@ def listing_counts(
 ) -> tuple[DataFrame, DataFrame]:
     """Per-page counts and first sights, each keyword on its own.
 
-    ``listing`` has one row per page with its distinct ``links``. A link is new where
-    its keyword shows it first, unless ``visited`` (``run_id, url``) has it.
+    ``listing`` has one row per page with its distinct ``links``; it is read twice and
+    should be a stored table. A link is new where its keyword shows it first, unless
+    ``visited`` (``run_id, url``) has it.
     """
     pages = listing.select(*keyword, page, F.size("links").cast("bigint").alias("n_links"))
     firsts = first_sights(link_rows(listing, [*keyword, page]), keyword, page)

@@ -24,10 +24,14 @@ SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application."""
     context = spark.sparkContext
-    if "postsieve.zip" not in context._python_includes:
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
         root = pathlib.Path(__file__).resolve().parent
         base = pathlib.Path(tempfile.mkdtemp(prefix="run-")) / root.name
         context.addPyFile(shutil.make_archive(str(base), "zip", root.parent, root.name))
