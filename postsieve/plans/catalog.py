@@ -317,6 +317,15 @@ def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("run_id", F.col("keyword_idx").alias("host"), F.col("page_no").alias("page_id"), "url", "seq")
 
 
+def pending_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """Open orders pending, partly shipped ones found, shipped ones done."""
+    orders = _table(spark, sf, "orders")
+    url = F.concat(F.lit("u"), F.col("o_custkey"), F.lit("-"), F.col("o_orderpriority"))
+    orders = orders.select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("seq"), url.alias("url"), "o_orderstatus")
+    links_ = {s: orders.filter(F.col("o_orderstatus") == s).drop("o_orderstatus") for s in "FOP"}
+    return visits.pop_processed(visits.enqueue(links_["O"], links_["P"]), links_["F"]).select("run_id", "seq", "url")
+
+
 def drop_visited(spark: SparkSession, sf: str) -> DataFrame:
     """Links of a page that no Spanish page of any host has."""
     listing = _stored_listing(spark, sf)
@@ -427,6 +436,11 @@ def quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return rejected.groupBy("run_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def replay(spark: SparkSession, sf: str) -> DataFrame:
+    rejected = replies.rejects(replies.parse_reply_strict(_replies(spark, sf)))
+    return replies.replayable(rejected).select("doc_id", "url")
+
+
 def qualified_postings(spark: SparkSession, sf: str) -> DataFrame:
     return replies.qualify(_postings(spark, sf)).select("job_url", "title", "company", "location", "source")
 
@@ -493,6 +507,15 @@ def curated_postings(spark: SparkSession, sf: str) -> DataFrame:
     return curate.select_new(found, target=20).select("run_id", "seq", "job_key", "job_url")
 
 
+def next_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """What documents without labels add to runs that saved the labelled ones."""
+    labels = _table(spark, sf, "labels").select(F.col("doc_id").alias("seq"))
+    keyed = _keyed(spark, sf)
+    saved = dedup.dedup_title_company(keyed.join(labels, "seq", "left_semi"))
+    found = curate.select_new(keyed.join(labels, "seq", "left_anti"), saved.select("run_id", "job_key"), target=200)
+    return found.select("run_id", "seq", "job_key")
+
+
 def upsert(spark: SparkSession, sf: str) -> DataFrame:
     events = _table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     batch = F.col("event_type") == "purchase"
@@ -552,6 +575,10 @@ def merge_run_state(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select("run_id", "status", "target", "collected", "last_updated")
 
 
+def reset_run_state(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(state.reset_run_state(_stored_runs(spark, sf), F.lit(1700000000000)))
+
+
 def latest_run_state(spark: SparkSession, sf: str) -> DataFrame:
     log = _table(spark, sf, "events").select(
         F.col("user_id").alias("run_id"), F.col("event_type").alias("status"), F.col("event_id").alias("last_updated")
@@ -674,6 +701,7 @@ QUERIES = [
     event_keyword_stop,
     frontier,
     crawl_frontier,
+    pending_queue,
     drop_visited,
     visited_union,
     recent_postings,
@@ -687,6 +715,7 @@ QUERIES = [
     reply_validation,
     reply_postings,
     quarantine,
+    replay,
     qualified_postings,
     rule_labels,
     quality_flags,
@@ -694,12 +723,14 @@ QUERIES = [
     new_keys,
     target_cut,
     curated_postings,
+    next_batch,
     upsert,
     clear_postings,
     stored_postings,
     count_postings,
     state_defaults,
     merge_run_state,
+    reset_run_state,
     latest_run_state,
     run_progress,
     resume,

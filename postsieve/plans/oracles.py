@@ -185,6 +185,12 @@ starts AS (
   FROM runs)
 """
 
+_OTHER_DEFAULTS = """CAST(50 AS INTEGER) AS target, CAST(0 AS INTEGER) AS current_keyword_index,
+       CAST(1 AS INTEGER) AS current_page, CAST(0 AS INTEGER) AS pages_per_keyword,
+       CAST(10 AS INTEGER) AS max_pages_per_keyword, CAST(0 AS INTEGER) AS consecutive_dupes,
+       CAST(0 AS INTEGER) AS current_platform_index, CAST(NULL AS BIGINT) AS active_tab_id,
+       '0,1,2' AS selected_platform_indices"""
+
 _RULE_TEXT = """
 texts AS (
   SELECT doc_id, lower(text || CASE doc_id % 8
@@ -254,6 +260,42 @@ WITH {_PAGE_RUNS}
 SELECT row_number() OVER (ORDER BY l.host, l.page_id, l.ord) AS seq, l.host, l.page_id, l.href AS url
 FROM links l JOIN first_sight f ON l.host = f.host AND l.href = f.href AND l.page_id = f.page_id
 JOIN kept k ON l.host = k.host AND l.page_id = k.page_id""",
+    "crawl_frontier": rf"""
+WITH RECURSIVE {_LINKS},
+lists AS (SELECT page_id, list(href ORDER BY ord) AS hrefs FROM links GROUP BY page_id),
+p AS (
+  SELECT page_id, regexp_extract(url, '://[^/]+/([a-z]+)/', 1) AS run_id,
+         regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, coalesce(hrefs, []) AS hrefs
+  FROM pages LEFT JOIN lists USING (page_id)),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY host, page_id) AS idx,
+         row_number() OVER (PARTITION BY run_id, host ORDER BY page_id) AS ordinal
+  FROM p),
+walk AS (
+  SELECT run_id, CAST(0 AS BIGINT) AS idx, '' AS host, CAST(0 AS BIGINT) AS page_id, CAST([] AS VARCHAR[]) AS used,
+         CAST([] AS VARCHAR[]) AS visited, CAST(0 AS BIGINT) AS consec, false AS stopped
+  FROM o WHERE idx = 1
+  UNION ALL
+  SELECT run_id, idx, host, page_id, CASE WHEN stopped THEN [] ELSE fresh END,
+         CASE WHEN stopped THEN visited ELSE list_concat(visited, fresh) END, consec, stopped
+  FROM (
+    SELECT *, was_stopped OR consec >= 5 OR ordinal >= 10 AS stopped
+    FROM (
+      SELECT *, CASE WHEN len(fresh) > 0 THEN 0 ELSE before + greatest(len(hrefs), 1) END AS consec
+      FROM (
+        SELECT o.run_id, o.idx, o.host, o.page_id, o.ordinal, o.hrefs, w.visited,
+               o.ordinal > 1 AND w.stopped AS was_stopped, CASE WHEN o.ordinal > 1 THEN w.consec ELSE 0 END AS before,
+               list_filter(o.hrefs, lambda x: NOT list_contains(w.visited, x)) AS fresh
+        FROM walk w JOIN o ON o.run_id = w.run_id AND o.idx = w.idx + 1)))),
+steps AS (SELECT run_id, idx, host, page_id, unnest(used) AS url, generate_subscripts(used, 1) AS pos FROM walk)
+SELECT run_id, host, page_id, url, row_number() OVER (PARTITION BY run_id ORDER BY idx, pos) AS seq FROM steps""",
+    "pending_queue": """
+WITH o AS (SELECT o_custkey AS run_id, o_orderkey AS seq, 'u' || o_custkey || '-' || o_orderpriority AS url, o_orderstatus AS s
+           FROM orders),
+last AS (SELECT run_id, max(seq) AS n FROM o WHERE s = 'O' GROUP BY run_id),
+queue AS (SELECT run_id, seq, url FROM o WHERE s = 'O'
+          UNION ALL SELECT run_id, seq + coalesce(n, 0), url FROM o LEFT JOIN last USING (run_id) WHERE s = 'P')
+SELECT run_id, seq, url FROM queue WHERE url NOT IN (SELECT url FROM o WHERE s = 'F')""",
     "drop_visited": f"""
 WITH {_LINKS} SELECT page_id, href AS url FROM links
 WHERE href NOT IN (SELECT href FROM links WHERE contains(url, '/es/'))""",
@@ -296,6 +338,7 @@ SELECT 't' AS title, source AS company, lang AS location, '' AS salary, lang ||
 FROM replies WHERE status = 'ok'""",
     "quarantine": f"""
 WITH {_REPLIES} SELECT lang AS run_id, status, count(*) AS n FROM replies WHERE status <> 'ok' GROUP BY lang, status""",
+    "replay": f"WITH {_REPLIES} SELECT doc_id, job_url AS url FROM replies WHERE status = 'call_failed'",
     "qualified_postings": f"""
 WITH {_POSTINGS} SELECT job_url, title, company, location, source FROM postings WHERE is_ai_engineer AND is_campus_or_intern""",
     "rule_labels": f"""
@@ -323,6 +366,17 @@ WITH {_REPLIES}, keyed AS (SELECT lang AS run_id, doc_id AS seq, 't||' || source
 firsts AS (SELECT *, row_number() OVER (PARTITION BY run_id, job_key ORDER BY seq) AS n FROM keyed),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS place FROM firsts WHERE n = 1)
 SELECT run_id, seq, job_key, job_url FROM ranked WHERE place <= 20""",
+    "next_batch": f"""
+WITH {_KEYED}, l AS (SELECT doc_id AS seq FROM labels),
+saved AS (SELECT DISTINCT run_id, job_key FROM keyed JOIN l USING (seq)),
+done AS (SELECT run_id, count(*) AS n FROM saved GROUP BY run_id),
+firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY run_id, job_key ORDER BY seq) AS n
+  FROM keyed WHERE seq NOT IN (SELECT seq FROM l)),
+fresh AS (SELECT run_id, seq, job_key FROM firsts f WHERE n = 1
+          AND NOT EXISTS (SELECT 1 FROM saved s WHERE s.run_id = f.run_id AND s.job_key = f.job_key)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS place FROM fresh)
+SELECT run_id, seq, job_key FROM ranked LEFT JOIN done USING (run_id) WHERE place + coalesce(n, 0) <= 200""",
     "upsert": """
 WITH r AS (SELECT event_id, user_id, event_type, value,
   row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'purchase' DESC, event_id DESC) AS n FROM events)
@@ -333,12 +387,13 @@ WITH {_POSTINGS}
 SELECT title, company, location, CASE WHEN location = 'en' THEN 'new' ELSE salary END AS salary, tech_tags, requirements,
        source, job_url FROM postings""",
     "count_postings": "SELECT count(*) AS n_postings FROM documents",
-    "state_defaults": """
-SELECT c_custkey AS run_id, nullif(c_mktsegment, 'BUILDING') AS status, c_nationkey AS collected,
-       CAST(50 AS INTEGER) AS target, CAST(0 AS INTEGER) AS current_keyword_index, CAST(1 AS INTEGER) AS current_page,
-       CAST(0 AS INTEGER) AS pages_per_keyword, CAST(10 AS INTEGER) AS max_pages_per_keyword,
-       CAST(0 AS INTEGER) AS consecutive_dupes, CAST(0 AS INTEGER) AS current_platform_index,
-       CAST(NULL AS BIGINT) AS active_tab_id, '0,1,2' AS selected_platform_indices, CAST(0 AS BIGINT) AS last_updated
+    "state_defaults": f"""
+SELECT c_custkey AS run_id, nullif(c_mktsegment, 'BUILDING') AS status, c_nationkey AS collected, {_OTHER_DEFAULTS},
+       CAST(0 AS BIGINT) AS last_updated
+FROM customer""",
+    "reset_run_state": f"""
+SELECT c_custkey AS run_id, 'idle' AS status, CAST(0 AS INTEGER) AS collected, {_OTHER_DEFAULTS},
+       CAST(1700000000000 AS BIGINT) AS last_updated
 FROM customer""",
     "merge_run_state": """
 WITH cur AS (SELECT c_custkey AS run_id, nullif(c_mktsegment, 'BUILDING') AS status, c_nationkey AS collected FROM customer),

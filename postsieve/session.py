@@ -76,8 +76,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
-    """A fresh, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh, unused path in the shared folder, under one folder per application.
+
+    What an application leaves there is scratch once it has ended.
+    """
+    return f"{shared_dir(spark)}/postsieve-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

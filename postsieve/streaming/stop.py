@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +29,7 @@ def stream_stop_rule(
     """
     types = {f.name: f.dataType for f in pages.schema}
     columns = [*keyword, page, "n_links", "n_new"]
+    at = len(keyword)
     result = T.StructType(
         [T.StructField(c, types[c]) for c in columns]
         + [T.StructField("ordinal", T.LongType()), T.StructField("consec", T.LongType())]
@@ -37,22 +39,22 @@ def stream_stop_rule(
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         consec, seen, stopped = state.get if state.exists else (0, 0, False)
         # The cap is reached within this many pages; only the earliest are held.
-        first = None
+        first: list[tuple] = []
         for batch in batches:
             if not stopped:
-                both = batch if first is None else pd.concat([first, batch])
-                first = both.sort_values(page, kind="stable").head(max_pages - seen)
+                rows = zip(*[batch[c].tolist() for c in columns])
+                first = heapq.nsmallest(max_pages - seen, [*first, *rows], key=lambda row: row[at])
         kept = []
-        for row in () if first is None else first[columns].itertuples(index=False):
+        for *head, n_links, n_new in first:
             seen += 1
-            new, dup = int(row.n_new), int(row.n_links - row.n_new)
-            consec = 0 if new > 0 else consec + max(dup, 1)
+            consec = 0 if n_new > 0 else consec + max(n_links - n_new, 1)
             stopped = consec >= max_dupes or seen >= max_pages
             if stopped:
                 break
-            kept.append((*row, seen, consec))
+            kept.append((*head, n_links, n_new, seen, consec))
         state.update((consec, seen, stopped))
-        yield pd.DataFrame(kept, columns=result.names)
+        if kept:
+            yield pd.DataFrame(kept, columns=result.names)
 
     # No batch takes a keyword past the cap, so later pages need not travel.
     first_pages = thin(pages.select(*columns), keyword, max_pages, page)
