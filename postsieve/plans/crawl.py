@@ -84,8 +84,8 @@ def crawl_frontier(
     # The page that reaches the cap is never used; a keyword with fewer pages uses all.
     never = F.lit(max_pages).cast("bigint")
     stops = pages.select(*keyword).distinct().withColumn("stop_at", never)
-    rounds, active = 0, None
-    while active is None or not active.isEmpty():
+    rounds, active, moving = 0, None, True
+    while moving:
         if rounds == max_rounds:
             raise RuntimeError(f"stops still move after {rounds} rounds")
         some = (lambda df: df) if active is None else (lambda df: df.join(active, "run_id", "left_semi"))
@@ -98,8 +98,8 @@ def crawl_frontier(
         merged = materialise(
             merged.select(*keyword, F.coalesce("_found", "stop_at").alias("stop_at"), "moved"), "stops"
         )
-        stops, active = merged.drop("moved"), merged.filter("moved").select("run_id").distinct()
-        rounds += 1
+        stops, active = merged.drop("moved"), merged.filter("moved").select("run_id")
+        rounds, moving = rounds + 1, not active.isEmpty()
     links = fresh(firsts, stops).join(stops, keyword).filter(F.col("ordinal") < F.col("stop_at"))
     links = links.join(pages.select(*keyword, "ordinal", "page_no"), [*keyword, "ordinal"])
     links = links.select(*keyword, "page_no", "pos", "url")

@@ -10,7 +10,7 @@ from postsieve.operators.replies import parse_reply_strict, rejects, to_posting
 from postsieve.operators.scoring import Scorer, build_prompt, score_batch, score_from_table
 from postsieve.operators.keyed import first_n_per_key
 from postsieve.session import materialise
-from postsieve.sources.store import append_batch, init_store, read_log
+from postsieve.sources.store import append_batch, init_store, next_batch_id, read_log
 
 
 def judged(scored: DataFrame) -> DataFrame:
@@ -59,13 +59,15 @@ def score_in_waves(
     wave number lives on the driver. ``details`` is a stored table with ``run_id, seq,
     url, platform, text`` whose ``seq`` numbers each run from 1, gaps allowed; a wave
     reads its own range of it. Postings go to ``store``, replies without a posting to
-    ``rejected``, one folder per wave.
+    ``rejected``, one folder per wave, numbered on from the batches the store has:
+    what those saved for a run counts. After a failure, call again with the details
+    not judged yet.
     """
     spark = details.sparkSession
     init_store(spark, store)
-    low, n = 0, 0
+    base, low, n = next_batch_id(spark, store), 0, 0
     while True:
-        log = read_log(spark, store).filter(F.col("batch_id") < n)
+        log = read_log(spark, store).filter(F.col("batch_id") < base + n)
         full = log.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= target)
         todo = details.filter(F.col("seq") > low).join(full, "run_id", "left_anti")
         if todo.isEmpty():
@@ -73,6 +75,6 @@ def score_in_waves(
         part = build_prompt(todo.filter(F.col("seq") <= low + wave), system=None).drop("text")
         # Written, so that the scorer runs once for postings and rejects alike.
         scored = materialise(score_batch(part, scorer), "scored")
-        append_batch(select_new(postings_of(scored), log, target), store, n)
-        rejects(judged(scored)).write.mode("overwrite").parquet(f"{rejected.rstrip('/')}/wave={n}")
+        append_batch(select_new(postings_of(scored), log, target), store, base + n)
+        rejects(judged(scored)).write.mode("overwrite").parquet(f"{rejected.rstrip('/')}/batch_id={base + n}")
         low, wave, n = low + wave, wave * 2, n + 1

@@ -44,6 +44,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_WITH_BATCH).parquet(path)
 
 
+def next_batch_id(spark: SparkSession, path: str) -> int:
+    """The first number no batch of the store has used."""
+    return read_log(spark, path).agg(F.coalesce(F.max("batch_id") + 1, F.lit(0))).first()[0]
+
+
 def append_batch(postings: DataFrame, path: str, batch_id: int) -> None:
     """Save a batch; repeating it with the same ``batch_id`` changes nothing."""
     target = f"{path.rstrip('/')}/batch_id={batch_id}"

@@ -10,16 +10,21 @@ from postsieve.plans.curate import select_new
 from postsieve.sources.store import append_batch, init_store, read_log
 
 
-def stream_upsert(postings: DataFrame, store: str, checkpoint: str, target: int = 50) -> StreamingQuery:
+def stream_upsert(
+    postings: DataFrame, store: str, checkpoint: str, target: int = 50, first_batch: int = 0
+) -> StreamingQuery:
     """Save a stream of postings (``run_id, seq`` and the posting) and stop when all is read.
 
     Each micro-batch keeps the first of each title and company that no earlier batch
     of its run saved, up to the target. A batch sees only earlier batches and replaces
-    its own folder, so running it again after a failure gives the same store.
+    its own folder, so running it again after a failure gives the same store. A stream
+    into a store that has batches of others takes ``first_batch`` from
+    ``next_batch_id`` once and keeps it with its checkpoint.
     """
     init_store(postings.sparkSession, store)
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        batch_id += first_batch
         batch.persist()  # read twice: its runs, its rows
         saved = read_log(batch.sparkSession, store).filter(F.col("batch_id") < batch_id)
         runs = batch.select("run_id").distinct()

@@ -179,6 +179,10 @@ def test_score_in_waves(spark, tmp_path):
     # First of each title among the even numbers, seven at most.
     assert got == {"a": [2, 4, 8, 12, 16, 20, 24], "b": [6, 12]}
     assert waves == 2
+    # Called again, it adds nothing and leaves what is there.
+    curate.score_in_waves(df, make_scorer(), path, rejected, target=7, wave=8)
+    again = store.read_log(spark, path).groupBy("run_id").count().collect()
+    assert {r.run_id: r["count"] for r in again} == {"a": 7, "b": 2}
     scored = spark.read.parquet(rejected)
     assert scored.filter("run_id = 'a'").agg(F.max("seq")).first()[0] <= 24
     assert {r.status for r in scored.select("status").distinct().collect()} == {"not_qualified", "call_failed"}

@@ -127,6 +127,13 @@ def test_stream_upsert(spark, tmp_path):
         stream_upsert(stream, path, ckpt, target=3).awaitTermination()
     got = {(r.run_id, r.seq, r.batch_id) for r in store.read_log(spark, path).collect()}
     assert got == {("a", 1, 0), ("a", 3, 0), ("b", 1, 0), ("a", 5, 1), ("b", 2, 1)}
+    # Another stream into the same store goes on from its batches.
+    first = store.next_batch_id(spark, path)
+    assert first == 2  # the third batch saved nothing
+    stream = spark.readStream.schema(schema).parquet(source)
+    stream_upsert(stream, path, f"{ckpt}-2", target=4, first_batch=first).awaitTermination()
+    new = {(r.run_id, r.seq) for r in store.read_log(spark, path).filter("batch_id >= 2").collect()}
+    assert new == {("a", 6)}
 
 
 def test_stream_dedup(spark, tmp_path):
