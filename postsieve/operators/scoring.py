@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,11 +57,14 @@ def score_batch(prompts: DataFrame, scorer: Scorer) -> DataFrame:
     """
     schema = T.StructType([*prompts.schema.fields, T.StructField("reply", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(reply=scorer(batch).to_numpy(dtype=object, na_value=None))
+            replies = scorer(batch.to_pandas())
+            # Only the reply comes from pandas, which would turn whole numbers with gaps into floats.
+            reply = pa.array(replies, pa.string(), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, reply], names=[*batch.schema.names, "reply"])
 
-    return prompts.mapInPandas(run, schema)
+    return prompts.mapInArrow(run, schema)
 
 
 def score_from_table(details: DataFrame, replies: DataFrame, keys: list[str] = ["url"]) -> DataFrame:

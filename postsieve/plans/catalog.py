@@ -409,7 +409,7 @@ def scored_until_target(spark: SparkSession, sf: str) -> DataFrame:
         "text",
     )
     folder = new_dir(spark, "postings")
-    curate.score_in_waves(docs, _verdict, folder, f"{folder}-rejected", target=40, wave=50)
+    curate.score_in_waves(docs, _verdict, folder, f"{folder}-rejected", target=40, wave=100)
     found = store.read_log(spark, folder)
     return found.select("run_id", (F.col("seq") - 1).alias("seq"), "title", "job_url")
 

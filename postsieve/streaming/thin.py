@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -15,10 +15,14 @@ def thin(rows: DataFrame, keys: list[str], n: int, order: str | None = None) ->
     of the rows would send them all to one task. Fit for steps that need no more than
     the first ``n`` rows of a key.
     """
+    needed = [*keys] if order is None else [*keys, order]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ordered = batch if order is None else batch.sort_values(order, kind="stable")
-            yield ordered.groupby(keys, sort=False, dropna=False).head(n)
+            frame = batch.select(needed).to_pandas()
+            if order is not None:
+                frame = frame.sort_values(order, kind="stable")
+            kept = frame.groupby(keys, sort=False, dropna=False).head(n).index
+            yield batch.take(pa.array(kept.to_numpy()))
 
-    return rows.mapInPandas(run, rows.schema)
+    return rows.mapInArrow(run, rows.schema)

@@ -150,9 +150,10 @@ def test_prompt(spark):
 
 
 def test_scorer_may_fail_on_a_row(spark):
-    df = spark.createDataFrame([(1, "p"), (2, "q")], "i int, prompt string")
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "p"), (None, "q")], "i long, prompt string").coalesce(1)
     scored = scoring.score_batch(df, lambda b: b["prompt"].map(lambda p: None if p == "q" else p))
-    assert {r.i: r.reply for r in scored.collect()} == {1: "p", 2: None}
+    assert {r.i: r.reply for r in scored.collect()} == {big: "p", None: None}
 
 
 def make_scorer(good=GOOD):

@@ -10,6 +10,7 @@ from postsieve.schemas import POSTING, RUN_DEFAULTS
 from postsieve.sources import export, store, tables
 from postsieve.streaming.pages import append_to, stream_dedup
 from postsieve.streaming.store import stream_upsert
+from postsieve.streaming.thin import thin
 
 ROWS = [
     (
@@ -147,6 +148,14 @@ def test_stream_dedup(spark, tmp_path):
     assert got == [("a", "u"), ("a", "v"), ("b", "u")]
 
 
+def test_thin(spark):
+    big = 2**60 + 1
+    rows = [("hot", i, big + i) for i in range(500, 0, -1)] + [(None, 1, None), (None, 2, 7), ("x", 9, None)]
+    df = spark.createDataFrame(rows, "k string, o int, v long").coalesce(1)
+    got = {tuple(r) for r in thin(df, ["k"], 2, "o").collect()}
+    assert got == {("hot", 1, big + 1), ("hot", 2, big + 2), (None, 1, None), (None, 2, 7), ("x", 9, None)}
+
+
 def test_state_defaults(spark, tmp_path):
     spark.createDataFrame([("r", "searching", 10, "x")], "run_id string, status string, collected int, extra string").write.parquet(
         str(tmp_path / "s")
