@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import licences, lines, packing, quality, sharding
+from postsieve.llm import compression, decontamination, language, licences, lines, near_duplicates, packing, private, quality, sharding
 from postsieve.session import configure
 
 
@@ -38,6 +38,14 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_docs(spark, sf), vocabulary())
 
 
+def op3_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_docs(spark, sf))
+
+
+def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return private.digest(private.personal_data(_docs(spark, sf)))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(_docs(spark, sf))
 
@@ -50,6 +58,10 @@ def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.decontaminate(_docs(spark, sf), _table(spark, sf, "benchmark"))
+
+
 def op8_decision_list(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality.judge(_docs(spark, sf), _table(spark, sf, "labels"))
     return judged.select(
@@ -57,7 +69,26 @@ def op8_decision_list(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = [op1_licences, op2_packing, op5_hilbert_shards, op6_line_dedup, op8_decision_list]
+def op9_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(_docs(spark, sf))
+
+
+def op10_code_length(spark: SparkSession, sf: str) -> DataFrame:
+    return compression.score_documents(_docs(spark, sf))
+
+
+QUERIES = [
+    op1_licences,
+    op2_packing,
+    op3_near_duplicates,
+    op4_personal_data,
+    op5_hilbert_shards,
+    op6_line_dedup,
+    op7_decontamination,
+    op8_decision_list,
+    op9_language,
+    op10_code_length,
+]
 
 
 def queries() -> dict:
