@@ -2,8 +2,8 @@
 
 The trie of byte contexts is learned from all training texts: their runs of ``ORDER + 1`` bytes are counted in every
 task and added up, and shorter contexts follow from longer ones. A byte is coded in the longest context seen before;
-where it never followed, an escape is coded (as likely as the context has distinct successors) and the next shorter
-context tried, without the symbols already ruled out. What the counts say of a symbol and of an escape in a context
+where it never followed, an escape is coded (half a count for each distinct successor, taken from the successors) and
+the next shorter context tried, without the symbols already ruled out. A-Z count as a-z. What the counts say of a symbol and of an escape in a context
 is the same at every place, so both are computed once per node and texts only look them up.
 
 The trie goes to the tasks in blocks of bounded size, split by the last two bytes of a context, so that all longer
@@ -45,7 +45,7 @@ def symbols(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[
     step = order + 1
     flat = np.full(len(data) + step * len(lengths), PAD, np.uint64)
     shift = np.repeat(np.arange(len(lengths)) * step + order, lengths)
-    flat[np.arange(len(data)) + shift] = data
+    flat[np.arange(len(data)) + shift] = arrays.BLANK_SEPARATED.lower[data]
     ends = offsets[1:] + (np.arange(len(lengths)) + 1) * step - 1
     flat[ends] = END
     keys = np.zeros(max(0, len(flat) - order), np.uint64)
@@ -174,10 +174,9 @@ class Level:
         self.counts = counts
         self.total = np.add.reduceat(counts, at) if len(at) else counts
         self.distinct = np.diff(np.append(at, len(keys)))
-        self.log_count = np.log10(counts)
-        whole = self.total + self.distinct
-        self.plain = self.log_count - np.log10(np.repeat(whole, self.distinct))
-        self.escape = np.log10(self.distinct / whole)
+        self.log_count = np.log10(counts - 0.5)
+        self.plain = self.log_count - np.log10(np.repeat(self.total, self.distinct))
+        self.escape = np.log10(0.5 * self.distinct / self.total)
         if shorter is None:
             return
         # In the shorter context, the symbols seen here are ruled out.
@@ -185,9 +184,9 @@ class Level:
         there = shorter.counts[_find(shorter.keys, keys & _low(order))]
         gone = np.add.reduceat(there, at) if len(at) else there
         new = shorter.distinct[parent] - self.distinct
-        rest = shorter.total[parent] - gone + new
+        rest = shorter.total[parent] - gone
         self.down_whole = np.log10(np.maximum(rest, 1))
-        self.down_escape = np.where(new > 0, np.log10(np.maximum(new, 1)) - self.down_whole, 0.0)
+        self.down_escape = np.where(new > 0, np.log10(np.maximum(0.5 * new, 0.5)) - self.down_whole, 0.0)
 
 
 class Trie:

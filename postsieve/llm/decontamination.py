@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.llm import arrays
@@ -23,8 +23,8 @@ WINDOW = 10
 SHINGLE = 3
 # Bytes of item text in a block.
 BLOCK = 1 << 20
-_FOUND = "doc_id bigint, text string, items array<string>, starts array<int>, ends array<int>"
-_RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+_FOUND = "doc_id bigint, text_key bigint, text string, items array<string>, starts array<int>, ends array<int>"
+_RESULT = "doc_id bigint, text_key bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 
 
 class Index:
@@ -149,10 +149,10 @@ def _mark(docs: DataFrame, index: Index, last: bool) -> DataFrame:
             for rows, data, offsets in arrays.pieces(batch, "text"):
                 found = arrays.words(data, offsets, arrays.ALPHANUMERIC)
                 doc, item, start, end = _hits(found, index)
-                items: list[set] = [set(x or ()) for x in rows.column(2).to_pylist()]
+                items: list[set] = [set(x or ()) for x in rows.column(3).to_pylist()]
                 spans: list[set] = [
                     set(zip(a or (), b or (), strict=True))
-                    for a, b in zip(rows.column(3).to_pylist(), rows.column(4).to_pylist(), strict=True)
+                    for a, b in zip(rows.column(4).to_pylist(), rows.column(5).to_pylist(), strict=True)
                 ]
                 for d, i, a, b in zip(doc.tolist(), item.tolist(), start.tolist(), end.tolist(), strict=True):
                     base = int(found.bounds[d])
@@ -162,14 +162,14 @@ def _mark(docs: DataFrame, index: Index, last: bool) -> DataFrame:
                     n_words = np.diff(found.bounds)
                     hit = [_covered(s) for s in spans]
                     digest = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
-                    columns = [rows.column(0), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64())]
+                    columns = [*rows.columns[:2], pa.array(n_words, pa.int64()), pa.array(hit, pa.int64())]
                     columns += [pa.array([len(i) for i in items], pa.int64()), pa.array(digest), pa.array([h > 0 for h in hit])]
-                    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+                    names = ["doc_id", "text_key", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
                 else:
                     kind = pa.list_(pa.int32())
-                    columns = [rows.column(0), rows.column(1), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+                    columns = [*rows.columns[:3], pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
                     columns += [pa.array([[x[k] for x in sorted(s)] for s in spans], kind) for k in (0, 1)]
-                    names = ["doc_id", "text", "items", "starts", "ends"]
+                    names = ["doc_id", "text_key", "text", "items", "starts", "ends"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(mark, _RESULT if last else _FOUND)
@@ -183,12 +183,16 @@ def _covered(spans: set[tuple[int, int]]) -> int:
     return total
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """Words of each row of ``(doc_id, text)`` that lie in an occurrence of a window of ``(item_id, text)``.
 
     Null texts have no words; documents without words and items without words never meet. Items that share an id count
     once, items without id as "null". Repeated documents are answered one by one; an empty table gives no rows, and
-    without items nothing is hit. Further columns are ignored.
+    without items nothing is hit. Further columns are ignored. ``text_key`` is a hash of the row's text.
     """
     sized = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -196,6 +200,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     out = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
+        text_key(F.col("text")).alias("text_key"),
         F.col("text"),
         F.lit(None).cast("array<string>").alias("items"),
         *[F.lit(None).cast("array<int>").alias(c) for c in ("starts", "ends")],
@@ -205,3 +210,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
         index.order(shingle_counts(docs, index.shingles) if index.sizes else {})
         out = _mark(out, index, last=k == blocks - 1)
     return out
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows that hold no window of an item, with all columns."""
+    hit = decontaminate(docs, items).filter("contaminated")
+    hit = hit.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == text_key(F.col("text")))
+    return docs.join(hit, same, "left_anti")

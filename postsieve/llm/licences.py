@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +94,14 @@ def bigrams(found: Column) -> Column:
     return tx.let(found, lambda w: F.when(F.size(w) > 1, F.array_distinct(pairs(w))))
 
 
+def anchors(grams: list[str], low: float) -> set[str]:
+    """Words of which every unit that reaches the threshold holds one: of all but the required share of bigrams, one
+    must occur. Longer words are taken first, as they are rarer."""
+    by_length = sorted(grams, key=lambda g: (-max(map(len, g.split(" "))), g))
+    needed = max(1, math.ceil(low * len(grams) - 1e-9))
+    return {max(g.split(" "), key=len) for g in by_length[: len(grams) - needed + 1]}
+
+
 def licence_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Licences in each row of ``(doc_id, text)``, compared with every line and with the whole text.
 
@@ -104,6 +114,7 @@ def licence_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES
     table = [(name, grams) for name, grams in table if grams]
     vocabulary = sorted({g for _, grams in table for g in grams})
     low = threshold / (2 - threshold)
+    first = sorted(set().union(*[anchors(g, low) for _, g in table]))
     least = min(len(g) for _, g in table) * low
     most = max(len(g) for _, g in table) / low
 
@@ -135,7 +146,11 @@ def licence_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES
         return F.when(F.size(lines) == 1, each).otherwise(F.concat(each, F.array(unit(F.array_join(lines, "\n"), F.lit(-1)))))
 
     text = F.coalesce("text", F.lit(""))
-    found = tx.let(F.split(text, "\n"), units)
+    # Most texts hold no anchor, and end here.
+    may = F.exists(normal_words(text), lambda w: w.isin(first))
+    found = F.when(may, tx.let(F.split(text, "\n"), units)).otherwise(
+        F.array().cast("array<struct<licence:string,dice:double,line:int>>")
+    )
     matches = docs.select("doc_id", F.filter(found, lambda m: m["dice"] >= threshold).alias("matches"))
     top = F.array_min(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("d"), m["licence"].alias("l"))))
     return matches.select("doc_id", top["l"].alias("licence"), (-top["d"]).alias("dice"), "matches")

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postsieve.llm import arrays
@@ -35,7 +35,7 @@ SIDES = 11
 AGREE = 3
 # Nodes outside a bucket's largest component from which on the bucket goes through the exact join.
 CROWDED = 64
-_FEATURES = "doc_id bigint, n_shingles bigint, digest binary, sig array<bigint>"
+_FEATURES = "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, sig array<bigint>"
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -77,8 +77,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k, s in zip(some.tolist(), signatures(values, np.append(bounds[some], bounds[-1])), strict=True):
                     sig[k] = s
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(np.diff(bounds)), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "sig"],
+                [*rows.columns[:2], pa.array(np.diff(bounds)), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n_shingles", "digest", "sig"],
             )
 
 
@@ -100,11 +100,15 @@ def _near_sizes(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 class _Corpus:
     """The nodes of one table of documents, and what links them."""
 
     def __init__(self, docs: DataFrame):
-        docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
         self.docs = docs
         self.rows = materialise(docs.mapInArrow(_features, _FEATURES), "features")
         nodes = self.rows.filter("digest is not null").groupBy("digest").agg(
@@ -208,7 +212,9 @@ class _Corpus:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for each row of ``(doc_id, text)``.
+    """``(doc_id, n_shingles, component_id, kept, text_key, group)`` for each row of ``(doc_id, text)``.
+
+    ``text_key`` is a hash of the text, ``group`` a number of the component, null for a row without words.
 
     A document without words has no shingles and stands alone; one of fewer than five words has one. Rows of equal
     sets always belong together, repeated rows too. A component is named by its least doc_id, ``kept`` marks the rows
@@ -223,9 +229,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     named = materialise(named, "named")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    names = materialise(named.join(materialise(least, "names"), "component").select("digest", "component_id"), "members")
+    held = named.join(materialise(least, "names"), "component")
+    names = materialise(held.select("digest", "component_id", F.col("component").alias("group")), "members")
     found = corpus.rows.join(names, "digest", "left")
     name = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select(
-        "doc_id", "n_shingles", name.alias("component_id"), F.coalesce(F.col("doc_id") == name, F.lit(False)).alias("kept")
+        "doc_id",
+        "n_shingles",
+        name.alias("component_id"),
+        F.coalesce(F.col("doc_id") == name, F.lit(False)).alias("kept"),
+        "text_key",
+        "group",
     )
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates: that of the least doc_id, rows without doc_id last.
+
+    Rows without words are near duplicates of nothing and all stay. All columns are kept.
+    """
+    found = near_duplicates(docs).filter("group is not null")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("f"))
+    first = materialise(first.select(F.col("f.doc_id").alias("_id"), F.col("f.text_key").alias("_key")), "first")
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == text_key(F.col("text")))
+    with_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = docs.filter(with_words).join(first, same, "left_semi")
+    # Of rows repeated with all they hold in common, the first stays.
+    one = Window.partitionBy("doc_id", text_key(F.col("text"))).orderBy(F.lit(0))
+    kept = kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+    return kept.unionByName(docs.filter(~with_words))

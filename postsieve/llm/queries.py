@@ -39,7 +39,8 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return near_duplicates.near_duplicates(_docs(spark, sf))
+    found = near_duplicates.near_duplicates(_docs(spark, sf))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
-    return decontamination.decontaminate(_docs(spark, sf), _table(spark, sf, "benchmark"))
+    return decontamination.decontaminate(_docs(spark, sf), _table(spark, sf, "benchmark")).drop("text_key")
 
 
 def op8_decision_list(spark: SparkSession, sf: str) -> DataFrame:
