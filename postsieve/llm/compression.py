@@ -54,7 +54,7 @@ def symbols(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[
     valid = np.ones(len(keys), bool)
     if order:
         for k in range(order):
-            valid[ends[:-1] + 1 - k] = False
+            valid[ends[:-1] - k] = False
     return keys[valid], np.concatenate(([0], np.cumsum(lengths + 1)))
 
 

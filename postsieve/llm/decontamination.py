@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.llm import arrays
+from postsieve.llm.text import text_key
 
 WINDOW = 10
 # Words in a shingle; a shorter window is one shingle.
@@ -183,10 +184,6 @@ def _covered(spans: set[tuple[int, int]]) -> int:
     return total
 
 
-def text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """Words of each row of ``(doc_id, text)`` that lie in an occurrence of a window of ``(item_id, text)``.
 
@@ -216,5 +213,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows that hold no window of an item, with all columns."""
     hit = decontaminate(docs, items).filter("contaminated")
     hit = hit.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == text_key(F.col("text")))
+    same = hit["_id"].eqNullSafe(docs["doc_id"]) & (hit["_key"] == text_key(docs["text"]))
     return docs.join(hit, same, "left_anti")

@@ -27,6 +27,8 @@ PIECE = 2048
 # The bounded sample the classifier is fitted on: texts per language, and characters of each.
 PER_LANGUAGE = 400
 SAMPLE_CHARS = 4000
+# Of more labels than this, the most frequent are learned.
+MOST_LANGUAGES = 500
 LANDMARKS = 256
 RIDGE = 1e-2
 # Sharpness of the score, fitted to nothing: it only maps margins to shares.
@@ -58,7 +60,8 @@ def presence(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         if count <= 0:
             break
         code = (code[:count] << np.uint32(8)) | low[size - 1 :]
-        hashed = ((code + np.uint32(size * 0x51ED27)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        hashed = (code + np.uint32(size * 0x51ED27)) * np.uint32(0x9E3779B1)
+        hashed = ((hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS)
         place = row[:count] + hashed
         flat[place if size == 1 else place[left[:count] >= size]] = True
     return out
@@ -124,12 +127,17 @@ def _kernel(own: np.ndarray, land: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, lang: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """At most ``per_language`` texts of each language, cut to ``SAMPLE_CHARS``, drawn by a hash of the text."""
-    held = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull())
-    cut = held.select(F.col(lang).alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    """At most ``per_language`` texts of each language, cut to ``SAMPLE_CHARS``, drawn by hashes of doc_id and text."""
+    held = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    held = held.select("doc_id", F.col(lang).alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    # Thinned by a hash first, to a few times what is wanted, so that what is sorted does not grow with the corpus.
+    sizes = docs.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
+    cut = held.join(F.broadcast(sizes.orderBy(F.desc("n")).limit(MOST_LANGUAGES)), "lang")
+    cut = cut.filter(share * F.col("n") < 4 * per_language).select("lang", "text")
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     rows = cut.withColumn("k", F.row_number().over(by_hash)).filter(F.col("k") <= per_language)
-    rows = rows.filter(F.col("text").rlike(r"\p{L}")).toArrow().to_pydict()
+    rows = rows.toArrow().to_pydict()
     return rows["text"], rows["lang"]
 
 

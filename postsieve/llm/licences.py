@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.llm import text as tx
 
-THRESHOLD = 0.8
+# Percent; whole numbers keep scores at the threshold exact.
+THRESHOLD = 80
 
 # Notices and short licences as published.
 TEMPLATES = {
@@ -94,35 +93,36 @@ def bigrams(found: Column) -> Column:
     return tx.let(found, lambda w: F.when(F.size(w) > 1, F.array_distinct(pairs(w))))
 
 
-def anchors(grams: list[str], low: float) -> set[str]:
+def anchors(grams: list[str], threshold: int) -> set[str]:
     """Words of which every unit that reaches the threshold holds one: of all but the required share of bigrams, one
     must occur. Longer words are taken first, as they are rarer."""
     by_length = sorted(grams, key=lambda g: (-max(map(len, g.split(" "))), g))
-    needed = max(1, math.ceil(low * len(grams) - 1e-9))
+    needed = -(-threshold * len(grams) // (200 - threshold))
     return {max(g.split(" "), key=len) for g in by_length[: len(grams) - needed + 1]}
 
 
-def licence_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def licence_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: int = THRESHOLD) -> DataFrame:
     """Licences in each row of ``(doc_id, text)``, compared with every line and with the whole text.
 
     ``matches`` lists ``(licence, dice, line)`` for the best template of each line, or of the whole text as line -1,
-    whose Dice coefficient reaches ``threshold``; of equal scores the first licence by name counts. ``licence`` and
+    whose Dice coefficient reaches ``threshold`` percent; of equal scores the first licence by name counts. ``licence`` and
     ``dice`` are the best of them, null where there is none. A unit of fewer than two words has no bigrams and never
     matches. Null text is empty. Repeated rows are answered one by one; further columns are ignored.
     """
     table = sorted((name, bigram_set(t)) for name, texts in templates.items() for t in texts)
     table = [(name, grams) for name, grams in table if grams]
     vocabulary = sorted({g for _, grams in table for g in grams})
-    low = threshold / (2 - threshold)
-    first = sorted(set().union(*[anchors(g, low) for _, g in table]))
-    least = min(len(g) for _, g in table) * low
-    most = max(len(g) for _, g in table) / low
+    # A set of size a reaches the threshold with one of size b only if a * threshold <= b * rest.
+    rest = 200 - threshold
+    first = sorted(set().union(*[anchors(g, threshold) for _, g in table]))
+    least = min(len(g) for _, g in table)
+    most = max(len(g) for _, g in table)
 
     def scored(unit: Column) -> Column:
         """Dice of a unit's bigrams with each template whose size lets it reach the threshold."""
 
         def one(name: str, grams: list[str]) -> Column:
-            fits = (F.size(unit) >= len(grams) * low) & (F.size(unit) <= len(grams) / low)
+            fits = (F.size(unit) * rest >= len(grams) * threshold) & (F.size(unit) * threshold <= len(grams) * rest)
             shared = F.size(F.array_intersect(unit, F.array(*map(F.lit, grams))))
             dice = F.when(fits, 2.0 * shared / (F.size(unit) + len(grams))).otherwise(0.0)
             return F.struct((-dice).alias("d"), F.lit(name).alias("licence"))
@@ -132,8 +132,8 @@ def licence_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES
     def best(grams: Column) -> Column:
         """Sizes first, then how many bigrams occur in any template at all, and only then each template."""
         known = F.size(F.filter(grams, lambda g: g.isin(vocabulary)))
-        sized = (F.size(grams) >= least) & (F.size(grams) <= most)
-        return F.when(sized & (known >= low * F.size(grams)), scored(grams))
+        sized = (F.size(grams) * rest >= least * threshold) & (F.size(grams) * threshold <= most * rest)
+        return F.when(sized & (known * rest >= threshold * F.size(grams)), scored(grams))
 
     def unit(text: Column, line: Column) -> Column:
         return tx.let(
@@ -151,6 +151,6 @@ def licence_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES
     found = F.when(may, tx.let(F.split(text, "\n"), units)).otherwise(
         F.array().cast("array<struct<licence:string,dice:double,line:int>>")
     )
-    matches = docs.select("doc_id", F.filter(found, lambda m: m["dice"] >= threshold).alias("matches"))
+    matches = docs.select("doc_id", F.filter(found, lambda m: 100 * m["dice"] >= threshold - 1e-9).alias("matches"))
     top = F.array_min(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("d"), m["licence"].alias("l"))))
     return matches.select("doc_id", top["l"].alias("licence"), (-top["d"]).alias("dice"), "matches")

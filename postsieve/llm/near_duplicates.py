@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from postsieve.llm import arrays
 from postsieve.llm.graph import components
+from postsieve.llm.text import fresh, text_key
 from postsieve.session import materialise
 
 SHINGLE = 5
@@ -100,10 +101,6 @@ def _near_sizes(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
 
-def text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 class _Corpus:
     """The nodes of one table of documents, and what links them."""
 
@@ -251,10 +248,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs).filter("group is not null")
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("f"))
     first = materialise(first.select(F.col("f.doc_id").alias("_id"), F.col("f.text_key").alias("_key")), "first")
-    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == text_key(F.col("text")))
+    same = first["_id"].eqNullSafe(docs["doc_id"]) & (first["_key"] == text_key(docs["text"]))
     with_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     kept = docs.filter(with_words).join(first, same, "left_semi")
     # Of rows repeated with all they hold in common, the first stays.
     one = Window.partitionBy("doc_id", text_key(F.col("text"))).orderBy(F.lit(0))
-    kept = kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+    n = fresh(docs, "n")
+    kept = kept.withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1).drop(n)
     return kept.unionByName(docs.filter(~with_words))

@@ -153,10 +153,6 @@ def _confidences(docs: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataF
     return patterns, instances
 
 
-def text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def personal_data(docs: DataFrame) -> DataFrame:
     """Spans of personal data in each row of ``(doc_id, text)``, as ``array<struct<start,n,kind,end>>`` in order.
 
@@ -167,7 +163,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = {k: _found(t, FORMS[k]) for k, t in _prepared(F.col("text")).items()}
-    rows = source.select("doc_id", text_key(F.col("text")).alias("text_key"), F.monotonically_increasing_id().alias("row"), *[c.alias(k) for k, c in found.items()])
+    rows = source.select("doc_id", tx.text_key(F.col("text")).alias("text_key"), F.monotonically_increasing_id().alias("row"), *[c.alias(k) for k, c in found.items()])
     rows = materialise(rows, "found")
     mentions = materialise(_mentions(rows), "mentions")
     patterns, instances = _confidences(source, mentions)
@@ -210,16 +206,17 @@ def mask(docs: DataFrame) -> DataFrame:
     # Equal texts of one doc_id have equal spans.
     found = found.groupBy("doc_id", "text_key").agg(F.first("spans").alias("spans"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == text_key(F.col("text")))
+    same = found["_id"].eqNullSafe(docs["doc_id"]) & (found["_key"] == tx.text_key(docs["text"]))
+    text, spans = docs["text"], found["_spans"]
 
     def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), state["at"] + 1, s["start"].cast("int") - state["at"])
-        text = F.concat(state["text"], gap, F.lit("["), s["kind"], F.lit("]"))
-        taken = F.struct(s["end"].cast("int").alias("at"), text.alias("text"))
+        gap = F.substring(text, state["at"] + 1, s["start"].cast("int") - state["at"])
+        out = F.concat(state["text"], gap, F.lit("["), s["kind"], F.lit("]"))
+        taken = F.struct(s["end"].cast("int").alias("at"), out.alias("text"))
         return F.when(s["start"] >= state["at"], taken).otherwise(state)
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    tail = lambda state: F.concat(state["text"], F.substring(F.col("text"), state["at"] + 1, F.length("text")))
-    masked = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", start, step, tail))
+    tail = lambda state: F.concat(state["text"], F.substring(text, state["at"] + 1, F.length(text)))
+    masked = F.when(spans.isNull(), text).otherwise(F.aggregate(spans, start, step, tail))
     joined = docs.join(found, same, "left")
     return joined.select(*[masked.alias("text") if c == "text" else docs[c] for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: what separates words.
@@ -17,6 +17,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def text_key(text: Column) -> Column:
+    """A hash of a text, null like empty, to find rows again beside their doc_id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{BLANK}+"), lambda w: w != "")
 
