@@ -1,6 +1,6 @@
 """Text and links of nested page elements.
 
-Balanced nesting and rendered text are beyond regular expressions, so one Arrow
+Balanced nesting is beyond regular expressions, so one Arrow
 batch of pages at a time goes through the HTML parser of the standard library. The
 helper only finds elements; priorities, labels and everything after are columns.
 """
@@ -51,43 +51,27 @@ class Sel:
 class Pick:
     """The first element, in document order, that any of the selectors matches.
 
-    Its text is that of all nodes inside, or, if ``rendered``, as a browser shows it.
+    Its text is that of all nodes inside, or, if ``lines``, what is visible, a line per tag that is not inline.
     """
 
     any_of: tuple[Sel, ...]
-    rendered: bool = False
+    lines: bool = False
 
 
 # Facts of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _UNSEEN = frozenset("script style noscript template head".split())
-_BLOCKS = frozenset(
-    "address article aside blockquote body dd div dl dt fieldset figure footer form header hr li main "
-    "nav ol p pre section table tr ul h1 h2 h3 h4 h5 h6".split()
-)
-_SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th")}
-_SIBLINGS |= {"td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_BR = None
-
-
-def _shown(parts: list) -> str:
-    """Join text, line breaks (``_BR``) and block borders (a number of breaks)."""
-    out: list[str] = []
-    due = 0
-    for part in parts:
-        if isinstance(part, int):
-            due = max(due, part)
-            continue
-        text = "\n" if part is _BR else re.sub(r"[ \t\n\r\f]+", " ", part)
-        if due and text == " ":
-            continue
-        if due:
-            out.append("\n" * due if out else "")
-            due = 0
-        if out and out[-1].endswith((" ", "\n")) and text != "\n":
-            text = text.lstrip(" ")
-        out.append(text)
-    return re.sub(r" *\n", "\n", "".join(out))
+_INLINE = frozenset("a abbr b bdi bdo cite code em font i kbd mark q s small span strong sub sup time u var".split())
+_BREAK = None
+# Characters of a page read at once, between looks at whether all is found.
+_STEP = 16_384
+
+
+def _as_lines(parts: list[str | None]) -> str:
+    """Join text and breaks; runs of blanks count as one, empty lines are dropped."""
+    text = "".join("\n" if part is _BREAK else re.sub(r"[ \t\n\r\f]+", " ", part) for part in parts)
+    found = [re.sub(" +", " ", line).strip(" ") for line in text.split("\n")]
+    return "\n".join(line for line in found if line)
 
 
 class _Capture:
@@ -114,29 +98,21 @@ class _Finder(HTMLParser):
         self.taken: set[int] = set()
         # Last children so far, by slot.
         self.last: dict[int, _Capture] = {}
-        self.hidden = self.pre = 0
+        self.hidden = 0
 
     def _matches(self, sel: Sel, tag: str, attrs: dict) -> bool:
         if not sel.fits(tag, attrs):
             return False
         return sel.inside is None or any(sel.inside.fits(n.tag, n.attrs) for n in self.open)
 
-    def _text(self, data: str, as_shown: list):
-        for capture in self.running:
-            if not self.picks[capture.slot].rendered:
-                capture.parts.append(data)
-            elif not self.hidden:
-                capture.parts.extend(as_shown)
-
-    def _break(self, part):
+    def _add(self, part: str | None):
         for capture in self.running:
-            if self.picks[capture.slot].rendered and not self.hidden:
+            if self.picks[capture.slot].lines:
+                if not self.hidden:
+                    capture.parts.append(part)
+            elif part is not _BREAK:
                 capture.parts.append(part)
 
-    def _border(self, tag: str):
-        if self.running and tag in _BLOCKS:
-            self._break(2 if tag == "p" else 1)
-
     def _close(self):
         node = self.open.pop()
         for capture in [c for c in self.last.values() if c.parent is node]:
@@ -145,37 +121,25 @@ class _Finder(HTMLParser):
                 self.taken.add(capture.slot)
                 self._finish(capture)
         self.hidden -= node.tag in _UNSEEN
-        self.pre -= node.tag == "pre"
         for capture in node.captures:
             self.running = [c for c in self.running if c is not capture]
             if capture.parent is None:
                 self._finish(capture)
-        self._border(node.tag)
+        if node.tag not in _INLINE:
+            self._add(_BREAK)
 
     def _finish(self, capture: _Capture):
-        rendered = self.picks[capture.slot].rendered
-        text = _shown(capture.parts) if rendered else "".join(capture.parts)
+        text = _as_lines(capture.parts) if self.picks[capture.slot].lines else "".join(capture.parts)
         self.texts[capture.slot] = text.strip(BLANKS)
 
-    def _imply_ends(self, tag: str):
-        if tag in _BLOCKS:
-            for depth in range(len(self.open) - 1, -1, -1):
-                if self.open[depth].tag in ("p", "td", "th", "table", "button"):
-                    if self.open[depth].tag == "p":
-                        while len(self.open) > depth:
-                            self._close()
-                    break
-        while self.open and self.open[-1].tag in _SIBLINGS.get(tag, ()):
-            self._close()
-
     def handle_starttag(self, tag, attrs):
-        self._imply_ends(tag)
         attrs = {k: v or "" for k, v in reversed(attrs)}
         node = _Node(tag, attrs)
         if tag == "a" and any(self._matches(s, tag, attrs) for s in self.anchors):
             self.targets.append(attrs.get("href", ""))
         parent = self.open[-1] if self.open else None
-        self._border(tag)
+        if tag not in _INLINE:
+            self._add(_BREAK)
         if self.last:
             self.last = {s: c for s, c in self.last.items() if c.parent is not parent}
         for slot in range(len(self.picks)) if attrs else self.bare:
@@ -189,11 +153,8 @@ class _Finder(HTMLParser):
                     self.last[slot] = _Capture(slot, parent)
                     node.captures.append(self.last[slot])
         self.running += node.captures
-        if tag == "br":
-            self._break(_BR)
         self.open.append(node)
         self.hidden += tag in _UNSEEN
-        self.pre += tag == "pre"
         if tag in _VOID:
             self._close()
 
@@ -207,16 +168,19 @@ class _Finder(HTMLParser):
             self._close()
 
     def handle_data(self, data):
-        if not self.running:
-            return
-        shown = [data]
-        if self.pre:
-            # Lines of preformatted text stay lines.
-            shown = [p for line in data.split("\n") for p in (_BR, line)][1:]
-        self._text(data, shown)
+        if self.running:
+            self._add(data)
+
+    @property
+    def done(self) -> bool:
+        """Whether every text is found, so that the rest of the page adds nothing."""
+        return not self.anchors and None not in self.texts
 
     def run(self, html: str) -> _Finder:
-        self.feed(html)
+        for start in range(0, len(html), _STEP):
+            self.feed(html[start : start + _STEP])
+            if self.done:
+                return self
         self.close()
         while self.open:
             self._close()
@@ -224,36 +188,39 @@ class _Finder(HTMLParser):
 
 
 def element_texts(html: Column, platform: Column, picks: dict[str, tuple[Pick, ...]]) -> Column:
-    """One text per pick of the page's platform; null where no element matches or on failure."""
+    """``texts``, one per pick of the page's platform, null where no element matches, and ``failed``.
+
+    A page the parser gives up on has no texts and is marked as failed.
+    """
 
-    @F.pandas_udf("array<string>")
-    def texts(pages: pd.Series, platforms: pd.Series) -> pd.Series:
+    @F.pandas_udf("texts array<string>, failed boolean")
+    def texts(pages: pd.Series, platforms: pd.Series) -> pd.DataFrame:
         def one(page, name):
             if page is None or name not in picks:
-                return None
+                return None, False
             try:
-                return _Finder(picks[name]).run(page).texts
-            except Exception:  # a page the parser gives up on counts as empty
-                return None
+                return _Finder(picks[name]).run(page).texts, False
+            except Exception:
+                return None, True
 
-        return pd.Series([one(*row) for row in zip(pages, platforms)], dtype=object)
+        return pd.DataFrame([one(*row) for row in zip(pages, platforms)], columns=["texts", "failed"], dtype=object)
 
     return texts(html, platform)
 
 
 def anchor_targets(html: Column, anchors: tuple[Sel, ...]) -> Column:
-    """``href`` of the anchors any selector matches, in document order; empty on failure."""
+    """``targets``, the ``href`` of the anchors any selector matches, in document order, and ``failed``."""
 
-    @F.pandas_udf("array<string>")
-    def targets(pages: pd.Series) -> pd.Series:
+    @F.pandas_udf("targets array<string>, failed boolean")
+    def targets(pages: pd.Series) -> pd.DataFrame:
         def one(page):
             if page is None:
-                return None
+                return None, False
             try:
-                return _Finder((), anchors).run(page).targets
-            except Exception:  # as above
-                return []
+                return _Finder((), anchors).run(page).targets, False
+            except Exception:
+                return [], True
 
-        return pd.Series([one(page) for page in pages], dtype=object)
+        return pd.DataFrame([one(page) for page in pages], columns=["targets", "failed"], dtype=object)
 
     return targets(html)

@@ -73,10 +73,3 @@ def _normal(url: Column) -> Column:
 def resolve_url(href: Column, base: Column) -> Column:
     """Absolute form of a link found on page ``base``; null if it is not a web link."""
     return let(js_trim(href), lambda h: let(_absolute(h, base), _normal))
-
-
-def canonical_url(url: Column) -> Column:
-    """One spelling per page: https, no ``www.``/``m.``, query, fragment, ``.html`` or final slash."""
-    bare = F.regexp_replace(url, r"[?#].*$", "")
-    bare = F.regexp_replace(bare, r"^https?://(www\.|m\.)?", "https://")
-    return F.regexp_replace(bare, r"(\.html|/)$", "")

@@ -20,7 +20,7 @@ def canonical_job_url(url: Column, platform: Column) -> Column:
 
 
 def capture(pages: DataFrame) -> DataFrame:
-    """Pages of known platforms with ``platform, job_url, walled, links, text``.
+    """Pages of known platforms with ``platform, job_url, walled, links, text, parse_failed``.
 
     A page with a ``job_url`` is a detail page and gives ``text``; any other is a
     listing page and gives ``links``. Walled pages give neither.
@@ -36,4 +36,6 @@ def capture(pages: DataFrame) -> DataFrame:
             "_detail": F.when(~F.col("walled") & detail, F.col("html")),
         }
     ).drop("html")
-    return extract_detail_text(extract_links(split, html="_listing"), html="_detail")
+    listed = extract_links(split, html="_listing").withColumnRenamed("parse_failed", "_failed")
+    found = extract_detail_text(listed, html="_detail")
+    return found.withColumn("parse_failed", F.col("parse_failed") | F.col("_failed")).drop("_failed")

@@ -42,7 +42,7 @@ class Rules:
     @property
     def picks(self) -> tuple[Pick, ...]:
         single = [Pick((s,)) for _, selectors in self.fields for s in selectors]
-        return (*single, *[Pick(s, rendered=True) for s in (self.tags, self.body, self.fallback)])
+        return (*single, *[Pick(s, lines=True) for s in (self.tags, self.body, self.fallback)])
 
 
 def _c(*names: str) -> Sel:
@@ -170,10 +170,10 @@ def extract_detail_text(
     html: str = "html",
     platform: str = "platform",
 ) -> DataFrame:
-    """Detail pages with ``text``: labelled lines, empty parts left out."""
+    """Detail pages with ``text``: labelled lines, empty parts left out; ``parse_failed`` marks pages that broke the parser."""
     picks = {name: r.picks for name, r in rules.items()}
-    found = pages.withColumn("_texts", element_texts(F.col(html), F.col(platform), picks)).drop(html)
+    found = pages.withColumn("_found", element_texts(F.col(html), F.col(platform), picks)).drop(html)
     text = F.lit("")
     for name, r in rules.items():
-        text = F.when(F.col(platform) == name, _assemble(F.col("_texts"), r)).otherwise(text)
-    return found.withColumn("text", text).drop("_texts")
+        text = F.when(F.col(platform) == name, _assemble(F.col("_found.texts"), r)).otherwise(text)
+    return found.withColumns({"text": text, "parse_failed": F.col("_found.failed")}).drop("_found")

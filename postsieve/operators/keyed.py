@@ -7,12 +7,6 @@ from pyspark.sql import functions as F
 
 from postsieve.session import materialise
 
-# Up to this rank each key is cut in every map task, before the shuffle; a key then
-# brings at most this many rows per map task. Spark itself does so up to
-# spark.sql.optimizer.windowGroupLimitThreshold (1000).
-GROUP_LIMIT = 100
-
-
 def _top(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
@@ -27,6 +21,15 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return _top(df, keys, [F.col(c).desc() for c in order], 1, "_rank").drop("_rank")
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null being equal to null; the key columns appear once, as ``left`` has them."""
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for key in keys:
+        same = same & left[key].eqNullSafe(renamed[f"_right_{key}"])
+    return left.join(renamed, same, how).drop(*[f"_right_{c}" for c in keys])
+
+
 def ordered_chunks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Split the rows of each key into runs of consecutive rows, numbered by ``_chunk``.
 
@@ -57,8 +60,5 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str) ->
 
 
 def first_n_per_key(df: DataFrame, keys: list[str], order: list[str], n: int, name: str) -> DataFrame:
-    """The first ``n`` rows of each key with their rank."""
-    if n <= GROUP_LIMIT:
-        top = _top(df, keys, [F.col(c) for c in order], n, name)
-        return top.withColumn(name, F.col(name).cast("bigint"))
-    return number_rows(df, keys, order, name).filter(F.col(name) <= n)
+    """The first ``n`` rows of each key with their rank. Every map task sends at most ``n`` rows per key."""
+    return _top(df, keys, [F.col(c) for c in order], n, name).withColumn(name, F.col(name).cast("bigint"))

@@ -73,7 +73,7 @@ def page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
 
 
 def extract_links(pages: DataFrame, html: str = "html", url: str = "url", platform: str = "platform") -> DataFrame:
-    """Listing pages with ``links``: canonical job URLs, distinct, in document order.
+    """Listing pages with ``links``: canonical job URLs, distinct, in document order; ``parse_failed`` as in details.
 
     One pass over the pages. Only the anchors of Indeed depend on the elements around
     them; only its pages are handed to Python.
@@ -81,10 +81,11 @@ def extract_links(pages: DataFrame, html: str = "html", url: str = "url", platfo
     name = F.col(platform)
     in_python = F.when(name == "Indeed", F.col(html))
     found = pages.withColumn("_anchors", anchor_targets(in_python, INDEED_ANCHORS))
-    found = found.withColumn("_hrefs", F.when(name == "Indeed", F.col("_anchors")).otherwise(hrefs(F.col(html))))
+    found = found.withColumn("_hrefs", F.when(name == "Indeed", F.col("_anchors.targets")).otherwise(hrefs(F.col(html))))
     jobs = distinct_links(F.transform("_hrefs", lambda h: job_link(h, F.col(url), name)))
     links = F.coalesce(jobs, F.array().cast("array<string>"))
-    return found.withColumn("links", links).drop("_anchors", "_hrefs", html)
+    failed = F.col("_anchors.failed")
+    return found.withColumns({"links": links, "parse_failed": failed}).drop("_anchors", "_hrefs", html)
 
 
 def link_rows(pages: DataFrame, keys: list[str], links: str = "links") -> DataFrame:

@@ -11,28 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postsieve.functions.text import clip, contains_any
-
-# What the scorer is told before each posting; callers may pass their own.
-SYSTEM_TEXT = """You read one job posting at a time for somebody who has just graduated and wants to build AI systems.
-
-Decide two things.
-is_ai_engineer: true if the main work is building, training or deploying AI or machine learning systems, for
-instance as AI, ML, LLM, NLP, CV, algorithm, MLOps, AI platform, AI agent or AI research engineer, applied scientist
-or ML data scientist. False for general software, back-end, front-end or data engineering, testing and QA, art and
-design, operations and SRE, product, analysis, sales and marketing, even around an AI product.
-is_campus_or_intern: true for internships, co-ops, campus recruiting, new or recent graduates, early career, entry
-level, up to two years of experience, 校招, 应届, 实习. When in doubt, true. False only where three or more years of
-experience are plainly required and no entry track is mentioned.
-
-Answer with a single JSON object and nothing else. Its keys: is_ai_engineer and is_campus_or_intern (booleans);
-title, company, location, salary and requirements (strings); tech_tags (array of strings).
-If both flags are true, fill in all fields: tech_tags never empty (take the technologies named, or else what the
-title implies), requirements one or two sentences on the core skills, salary empty only if none is given. Otherwise
-the remaining fields may be empty."""
-
+from postsieve.operators.keyed import last_per_key
 
 def build_prompt(
-    details: DataFrame, text: str = "text", url: str = "url", limit: int = 5000, system: str | None = SYSTEM_TEXT
+    details: DataFrame, text: str = "text", url: str = "url", limit: int = 5000, system: str | None = None
 ) -> DataFrame:
     """Add ``prompt`` and, unless ``system`` is None, ``system``.
 
@@ -67,9 +49,16 @@ def score_batch(prompts: DataFrame, scorer: Scorer) -> DataFrame:
     return prompts.mapInArrow(run, schema)
 
 
-def score_from_table(details: DataFrame, replies: DataFrame, keys: list[str] = ["url"]) -> DataFrame:
-    """Add ``reply`` from a table of captured replies, null where there is none."""
-    return details.join(replies.select(*keys, "reply"), keys, "left")
+def score_from_table(
+    details: DataFrame, replies: DataFrame, keys: list[str] = ["url"], order: str = "reply_seq"
+) -> DataFrame:
+    """Add ``reply`` from a table of captured replies, null where there is none.
+
+    Of several replies to a key the last by ``order`` counts; without that column, a reply
+    that arrived before one that failed.
+    """
+    by = [c for c in (order, "reply") if c in replies.columns]
+    return details.join(last_per_key(replies, keys, by).select(*keys, "reply"), keys, "left")
 
 
 # Terms of the written criteria, lower case.
@@ -87,6 +76,11 @@ ROLE_TERMS = [
     "mlops engineer",
     "ai platform engineer",
     "ai agent engineer",
+    "机器学习工程师",
+    "算法工程师",
+    "人工智能工程师",
+    "大模型工程师",
+    "深度学习工程师",
 ]
 NOT_ROLE_TERMS = [
     "generic software engineer",
@@ -132,14 +126,19 @@ LEVEL_TERMS = [
     "2025 graduate",
     "2026 graduate",
 ]
-SENIOR_PATTERN = r"(?:^|[^0-9])(?:[3-9]|[1-9][0-9])\+? ?(?:-|to)? ?[0-9]* ?years"
+# Three or more years, in digits or words, English or Chinese.
+SENIOR_PATTERN = (
+    r"(?:^|[^0-9])(?:[3-9]|[1-9][0-9])(?: or more)?\+? ?(?:-|to|~|至)? ?[0-9]* ?(?:\+ ?)?(?:years|yrs|年)"
+    r"|(?:three|four|five|six|seven|eight|nine|ten)(?: or more|\+)? ?(?:to [a-z]+ )?(?:years|yrs)"
+    r"|[三四五六七八九十]年"
+)
 
 
 def terms_pattern(terms: list[str]) -> str:
-    """One pattern for all terms; Latin ones have to stand as words of their own."""
+    """One pattern for all terms; Latin ones have to stand as words of their own, also in the plural."""
     latin = "|".join(t for t in terms if t.isascii())
     other = "|".join(t for t in terms if not t.isascii())
-    bounded = f"(?:^|[^a-z0-9])(?:{latin})(?:$|[^a-z0-9])"
+    bounded = f"(?:^|[^a-z0-9])(?:{latin})s?(?:$|[^a-z0-9])"
     return f"{bounded}|{other}" if other else bounded
 
 
@@ -158,7 +157,7 @@ def role_rules(low: Column) -> Column:
 
 def level_rules(low: Column) -> Column:
     """False only for texts that ask for three or more years and name no entry track."""
-    senior = F.contains(low, F.lit("years")) & low.rlike(SENIOR_PATTERN)
+    senior = contains_any(low, ["years", "yrs", "年"]) & low.rlike(SENIOR_PATTERN)
     return ~senior | names_any(low, LEVEL_TERMS)
 
 

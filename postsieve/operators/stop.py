@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postsieve.operators.keyed import first_n_per_key, ordered_chunks
+from postsieve.operators.keyed import first_n_per_key, ordered_chunks, same_keys
 
 # Limits of a keyword.
 MAX_DUPES = 5
@@ -33,7 +33,7 @@ def page_counts(
     Pages without links are kept.
     """
     new = firsts.groupBy(*keyword, page).agg(F.count(F.lit(1)).alias("n_new"))
-    counted = pages.join(new, [*keyword, page], "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
+    counted = same_keys(pages, new, [*keyword, page], "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
     return counted.withColumn("n_dup", F.col("n_links") - F.col("n_new"))
 
 
@@ -71,7 +71,7 @@ def consecutive_dupes(pages: DataFrame, keyword: list[str] = KEYWORD, page: str
     carried = F.sum("_tail").over(island.rowsBetween(Window.unboundedPreceding, 0))
     before = Window.partitionBy(*keyword).orderBy("_chunk")
     ends = ends.withColumn("_end", carried).withColumn("_carry", F.coalesce(F.lag("_end").over(before), F.lit(0)))
-    joined = counted.join(ends.select(*keyword, "_chunk", "_carry"), [*keyword, "_chunk"])
+    joined = same_keys(counted, ends.select(*keyword, "_chunk", "_carry"), [*keyword, "_chunk"])
     carry = F.when(F.col("_resets") == 0, F.col("_carry")).otherwise(F.lit(0))
     return joined.withColumn("consec", (F.col("_run") + carry).cast("bigint")).select(*columns, "consec")
 

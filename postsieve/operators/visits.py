@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.operators.keyed import number_rows
+from postsieve.operators.keyed import number_rows, same_keys
 from postsieve.schemas import STOPPED
 
 
@@ -25,10 +25,13 @@ def crawl_seq(df: DataFrame, order: list[str], keys: list[str] = ["run_id"], nam
 
 
 def enqueue(pending: DataFrame, new: DataFrame, keys: list[str] = ["run_id"]) -> DataFrame:
-    """Append ``new`` behind ``pending``; both carry ``seq``, places need not be dense."""
+    """Append ``new`` behind ``pending``; both carry ``seq``, whose places may start anywhere and leave gaps."""
     last = pending.groupBy(*keys).agg(F.max("seq").alias("_last"))
-    moved = new.join(last, keys, "left").withColumn("seq", F.col("seq") + F.coalesce("_last", F.lit(0)))
-    return pending.unionByName(moved.drop("_last"))
+    first = new.groupBy(*keys).agg(F.min("seq").alias("_first"))
+    moved = same_keys(same_keys(new, first, keys, "left"), last, keys, "left")
+    # The first new link takes the place after the last pending one.
+    place = F.coalesce(F.col("seq") + F.col("_last") + 1 - F.col("_first"), F.col("seq"))
+    return pending.unionByName(moved.withColumn("seq", place).drop("_last", "_first"))
 
 
 def pop_processed(pending: DataFrame, done: DataFrame, keys: list[str] = ["run_id", "url"]) -> DataFrame:

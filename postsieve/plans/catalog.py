@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.functions.text import encode_component
-from postsieve.functions.urls import canonical_url, host_of, resolve_url
+from postsieve.functions.urls import host_of
 from postsieve.operators import capture, dedup, details, links, platforms, replies, scoring, state, stop, visits
 from postsieve.operators.keyed import last_per_key
 from postsieve.plans import crawl, curate
@@ -34,7 +34,7 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.spread(_table(spark, sf, "documents"))
+    return _table(spark, sf, "documents")
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -137,7 +137,8 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, sf: str) -> DataFrame:
-    return _labelled(spark, sf).select(
+    labels = _table(spark, sf, "labels")
+    return _docs(spark, sf).join(labels, "doc_id", "left").select(
         F.col("lang").alias("run_id"),
         F.col("doc_id").alias("seq"),
         _title().alias("title"),
@@ -206,7 +207,7 @@ def _replies(spark: SparkSession, sf: str) -> DataFrame:
 
 def _plan(spark: SparkSession, sf: str) -> DataFrame:
     """Part names as keywords, searched on all platforms."""
-    parts = tables.spread(_table(spark, sf, "part")).select(
+    parts = _table(spark, sf, "part").select(
         F.explode(F.sequence(F.lit(0), F.lit(2))).alias("platform_idx"),
         F.col("p_partkey").alias("keyword_idx"),
         F.concat("p_name", F.lit(" & co's 实习 (intern)")).alias("keyword"),
@@ -238,7 +239,9 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
-    return _pages(spark, sf).select("page_id", canonical_url(F.col("url")).alias("url"))
+    """Addresses of visited job pages in the form in which visits are compared."""
+    pages = platforms.with_platform(_job_details(_pages(spark, sf)))
+    return pages.select("page_id", capture.canonical_job_url(F.col("url"), F.col("platform")).alias("url"))
 
 
 def job_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -248,7 +251,7 @@ def job_links(spark: SparkSession, sf: str) -> DataFrame:
 
 def detail_text(spark: SparkSession, sf: str) -> DataFrame:
     found = details.extract_detail_text(platforms.with_platform(_job_details(_pages(spark, sf))))
-    return found.select("page_id", "platform", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    return found.select("page_id", "platform", "text", "parse_failed")
 
 
 def job_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -335,10 +338,9 @@ def drop_visited(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def visited_union(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _stored_listing(spark, sf)
-    full = F.transform("links", lambda h: resolve_url(h, F.col("url")))
-    shown = links.link_rows(pages.withColumn("links", full), [])
-    return visits.mark_visited(pages.select(canonical_url(F.col("url")).alias("url")), shown, ["url"])
+    """Job pages visited, and the jobs that result pages show."""
+    shown = links.link_rows(links.extract_links(platforms.with_platform(_job_pages(_pages(spark, sf)))), [])
+    return visits.mark_visited(canonical_urls(spark, sf), shown, ["url"])
 
 
 # Filters and lookups --------------------------------------------------------------
@@ -454,6 +456,8 @@ def rule_labels(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 3, " 算法 Algorithm Engineer 校招, 10 years")
         .when(kind == 4, " international sales")
         .when(kind == 5, " NLP engineer 0-2 years")
+        .when(kind == 6, " 机器学习工程师, 5年以上经验")
+        .when(kind == 7, " AI engineers, at least five years")
         .otherwise("")
     )
     docs = _docs(spark, sf).select("doc_id", F.concat("text", ending).alias("text"))
@@ -519,7 +523,7 @@ def next_batch(spark: SparkSession, sf: str) -> DataFrame:
 def upsert(spark: SparkSession, sf: str) -> DataFrame:
     events = _table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     batch = F.col("event_type") == "purchase"
-    return store.upsert_postings(events.filter(~batch), events.filter(batch), "user_id", "event_id")
+    return store.upsert_postings(events.filter(~batch), events.filter(batch), "user_id", ("event_id",))
 
 
 def clear_postings(spark: SparkSession, sf: str) -> DataFrame:
@@ -641,12 +645,17 @@ def csv_export(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_capture(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of result pages and texts of job pages, both off one stream."""
     pages = _stream(spark, sf, "pages")
-    found = stream_pages.stream_capture(_job_pages(pages))
+    found = stream_pages.stream_capture(_job_pages(pages).unionByName(_job_details(pages)))
     out = new_dir(spark, "captured")
-    query = stream_pages.append_to(found.select("page_id", "platform", "links"), out, f"{out}-state")
+    query = stream_pages.append_to(found.select("page_id", "platform", "job_url", "links", "text"), out, f"{out}-state")
     query.awaitTermination()
-    return links.link_rows(spark.read.parquet(out), ["page_id", "platform"]).withColumn("pos", _n("pos"))
+    captured = spark.read.parquet(out)
+    rows = links.link_rows(captured.filter("job_url is null"), ["page_id", "platform"])
+    rows = rows.withColumn("pos", _n("pos")).withColumn("n_text", F.lit(None).cast("bigint"))
+    texts = captured.filter("job_url is not null").select("page_id", "platform", _n(F.length("text")).alias("n_text"))
+    return rows.unionByName(texts, allowMissingColumns=True)
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -664,10 +673,9 @@ def stream_stop_rule(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _stream(spark, sf, "documents")
+def _posted(docs: DataFrame) -> DataFrame:
     texts = {c: F.lit("") for c in ("salary", "requirements", "location")}
-    postings = docs.select(
+    return docs.select(
         F.col("lang").alias("run_id"),
         F.col("doc_id").alias("seq"),
         _title().alias("title"),
@@ -677,11 +685,60 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
         _job_url().alias("job_url"),
         *[v.alias(c) for c, v in texts.items()],
     )
-    folder = new_dir(spark, "postings")
+
+
+def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    postings, folder = _posted(_stream(spark, sf, "documents")), new_dir(spark, "postings")
     stream_store.stream_upsert(postings, folder, f"{folder}-state", 50).awaitTermination()
     return store.read_log(spark, folder).select("run_id", "seq", "job_key")
 
 
+def two_writers(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream saves a third of the postings, a batch another, and the stream goes on with the last."""
+    keyed, folder = dedup.with_job_key(_posted(_docs(spark, sf))), new_dir(spark, "postings")
+    incoming = new_dir(spark, "incoming")
+    # More than any run of the tables saves.
+    target = 1_000_000_000
+
+    def stream_on(part: int) -> None:
+        keyed.filter(F.col("seq") % 3 == part).drop("job_key").coalesce(1).write.mode("append").parquet(incoming)
+        source = spark.readStream.schema(keyed.drop("job_key").schema).parquet(incoming)
+        stream_store.stream_upsert(source, folder, f"{folder}-state", target).awaitTermination()
+
+    stream_on(0)
+    batch = keyed.filter(F.col("seq") % 3 == 1).drop("job_key")
+    store.append_batch(curate.select_new(batch, store.read_keys(spark, folder), target), folder, 1, "batch")
+    stream_on(2)
+    return store.read_log(spark, folder).select("run_id", "seq", "job_key")
+
+
+def captured_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings and rejects from replies captured before; each URL has an earlier reply that failed."""
+    found = _replies(spark, sf)
+    last = found.select("url", "reply", F.lit(2).alias("reply_seq"))
+    replies_ = last.unionByName(last.select("url", F.lit("busy").alias("reply"), F.lit(1).alias("reply_seq")))
+    postings, rejected = curate.curate(found.drop("reply"), replies_, target=20)
+    saved = postings.select("run_id", "seq", "job_url", F.lit("saved").alias("outcome"))
+    return saved.unionByName(rejected.select("run_id", "seq", F.col("url").alias("job_url"), F.col("status").alias("outcome")))
+
+
+def run_state_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Run state out of files of two versions: odd runs know a target, which may be null, even ones do not."""
+    folder = new_dir(spark, "states")
+    runs = _table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("run_id"), F.col("c_mktsegment").alias("status"), F.nullif("c_nationkey", F.lit(3)).alias("target")
+    )
+    runs.filter("run_id % 2 = 0").drop("target").write.parquet(folder)
+    runs.filter("run_id % 2 = 1").write.mode("append").parquet(folder)
+    return tables.read_run_state(spark, folder).select("run_id", "status", "target")
+
+
+def toggle_platform(spark: SparkSession, sf: str) -> DataFrame:
+    number = (F.col("page_id") % 4).cast("int")
+    chosen = search_plan.toggle_platform(F.array(*map(F.lit, (0, 1, 2))), number)
+    return _table(spark, sf, "pages").select("page_id", F.array_join(chosen, ",").alias("chosen"))
+
+
 QUERIES = [
     expand_plan,
     search_urls,
@@ -741,6 +798,10 @@ QUERIES = [
     stream_dedup,
     stream_stop_rule,
     stream_upsert,
+    two_writers,
+    captured_replies,
+    run_state_files,
+    toggle_platform,
 ]
 
 

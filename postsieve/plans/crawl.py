@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postsieve.operators.links import link_rows
 from postsieve.operators.stop import KEYWORD, MAX_DUPES, MAX_PAGES, first_sights, keyword_stop, page_counts, stop_points
-from postsieve.operators.keyed import first_n_per_key
+from postsieve.operators.keyed import first_n_per_key, same_keys
 from postsieve.operators.visits import crawl_seq, drop_visited
 from postsieve.session import materialise
 
@@ -42,7 +42,7 @@ def keyword_frontier(
     """
     counts, firsts = listing_counts(listing, visited, keyword, page)
     kept = keyword_stop(counts, keyword, page).select(*keyword, page)
-    links = firsts.join(kept, [*keyword, page], "left_semi")
+    links = same_keys(firsts, kept, [*keyword, page], "left_semi")
     return crawl_seq(links, [c for c in keyword if c not in run] + [page, "pos"], run)
 
 
@@ -76,9 +76,9 @@ def crawl_frontier(
 
     def fresh(seen: DataFrame, stops: DataFrame) -> DataFrame:
         """First sights that no earlier keyword has used up, given the stops."""
-        taken = seen.join(stops, keyword).filter(F.col("ordinal") < F.col("stop_at"))
+        taken = same_keys(seen, stops, keyword).filter(F.col("ordinal") < F.col("stop_at"))
         owner = taken.groupBy("run_id", "url").agg(F.min("_kw").alias("_owner"))
-        joined = seen.join(owner, ["run_id", "url"], "left")
+        joined = same_keys(seen, owner, ["run_id", "url"], "left")
         return joined.filter(F.col("_owner").isNull() | (F.col("_owner") >= F.col("_kw")))
 
     # The page that reaches the cap is never used; a keyword with fewer pages uses all.
@@ -88,19 +88,19 @@ def crawl_frontier(
     while moving:
         if rounds == max_rounds:
             raise RuntimeError(f"stops still move after {rounds} rounds")
-        some = (lambda df: df) if active is None else (lambda df: df.join(active, "run_id", "left_semi"))
+        some = (lambda df: df) if active is None else (lambda df: same_keys(df, active, ["run_id"], "left_semi"))
         counts = page_counts(some(pages).drop("page_no"), fresh(some(firsts), stops), keyword, "ordinal")
         marked = stop_points(counts, keyword, "ordinal", max_dupes, max_pages)
         first_stop = F.coalesce(F.min(F.when(F.col("stopped"), F.col("ordinal"))), never)
         found = marked.groupBy(*keyword).agg(first_stop.alias("_found"))
         moved = F.coalesce(F.col("_found") != F.col("stop_at"), F.lit(False))
-        merged = stops.join(found, keyword, "left").withColumn("moved", moved)
+        merged = same_keys(stops, found, keyword, "left").withColumn("moved", moved)
         merged = materialise(
             merged.select(*keyword, F.coalesce("_found", "stop_at").alias("stop_at"), "moved"), "stops"
         )
         stops, active = merged.drop("moved"), merged.filter("moved").select("run_id")
         rounds, moving = rounds + 1, not active.isEmpty()
-    links = fresh(firsts, stops).join(stops, keyword).filter(F.col("ordinal") < F.col("stop_at"))
-    links = links.join(pages.select(*keyword, "ordinal", "page_no"), [*keyword, "ordinal"])
+    links = same_keys(fresh(firsts, stops), stops, keyword).filter(F.col("ordinal") < F.col("stop_at"))
+    links = same_keys(links, pages.select(*keyword, "ordinal", "page_no"), [*keyword, "ordinal"])
     links = links.select(*keyword, "page_no", "pos", "url")
     return crawl_seq(links, ["platform_pos", "keyword_idx", "page_no", "pos"])

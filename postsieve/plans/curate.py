@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.operators.dedup import cut_at_target, dedup_title_company, drop_saved_keys
 from postsieve.operators.replies import parse_reply_strict, rejects, to_posting
 from postsieve.operators.scoring import Scorer, build_prompt, score_batch, score_from_table
-from postsieve.operators.keyed import first_n_per_key
+from postsieve.operators.keyed import first_n_per_key, same_keys
 from postsieve.session import materialise
-from postsieve.sources.store import append_batch, init_store, next_batch_id, read_log
-
-
-def judged(scored: DataFrame) -> DataFrame:
-    """Scored details with the ``status`` of their reply."""
-    return parse_reply_strict(scored)
-
-
-def postings_of(scored: DataFrame) -> DataFrame:
-    """Qualified postings with ``run_id`` and ``seq``."""
-    return to_posting(parse_reply_strict(scored), "run_id", "seq")
+from postsieve.sources.store import append_batch, init_store, read_keys
 
 
 def select_new(postings: DataFrame, saved: DataFrame | None = None, target: int = 50) -> DataFrame:
@@ -42,14 +34,15 @@ def curate(
 ) -> tuple[DataFrame, DataFrame]:
     """Postings to save and rejects of details whose replies are captured.
 
-    ``details`` has ``run_id, seq, url, platform``, ``replies`` has ``url, reply``.
+    ``details`` has ``run_id, seq, url, platform``, ``replies`` has ``url, reply`` in the order of ``reply_seq`` if there
+    is such a column; of several replies to one URL the last counts. Replies are joined and parsed once, and written.
     """
-    scored = score_from_table(details, replies)
-    return select_new(postings_of(scored), saved, target), rejects(judged(scored))
+    judged = materialise(parse_reply_strict(score_from_table(details, replies)), "judged")
+    return select_new(to_posting(judged, "run_id", "seq"), saved, target), rejects(judged)
 
 
 def score_in_waves(
-    details: DataFrame, scorer: Scorer, store: str, rejected: str, target: int = 50, wave: int = 100
+    details: DataFrame, scorer: Scorer, store: str, rejected: str, target: int = 50, wave: int = 100, calls: int | None = None
 ) -> int:
     """Score details in crawl order until each run has its target; returns the number of waves.
 
@@ -58,23 +51,30 @@ def score_in_waves(
     drop out, and no run pays for more than about twice the calls it needs. Only the
     wave number lives on the driver. ``details`` is a stored table with ``run_id, seq,
     url, platform, text`` whose ``seq`` numbers each run from 1, gaps allowed; a wave
-    reads its own range of it. Postings go to ``store``, replies without a posting to
-    ``rejected``, one folder per wave, numbered on from the batches the store has:
-    what those saved for a run counts. After a failure, call again with the details
+    reads its own range of it, the first also what has no number or one below 1. Each
+    wave is dealt out by URL to ``calls`` tasks (as many as the cluster has cores), so
+    that the scorer works in parallel however the details are stored. Postings go to
+    ``store``, replies without a posting to ``rejected``, one folder per wave and call;
+    what others saved for a run counts. After a failure, call again with the details
     not judged yet.
     """
     spark = details.sparkSession
     init_store(spark, store)
-    base, low, n = next_batch_id(spark, store), 0, 0
+    writer, low, n = uuid.uuid4().hex, None, 0
+    calls = calls or spark.sparkContext.defaultParallelism
+    place = F.coalesce("seq", F.lit(0))
     while True:
-        log = read_log(spark, store).filter(F.col("batch_id") < base + n)
-        full = log.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= target)
-        todo = details.filter(F.col("seq") > low).join(full, "run_id", "left_anti")
+        keys = read_keys(spark, store).filter((F.col("writer") != writer) | (F.col("batch_id") < n))
+        full = keys.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= target)
+        left = details if low is None else details.filter(F.col("seq") > low)
+        todo = same_keys(left, full.select("run_id"), ["run_id"], "left_anti")
         if todo.isEmpty():
             return n
-        part = build_prompt(todo.filter(F.col("seq") <= low + wave), system=None).drop("text")
+        high = (low or 0) + wave
+        part = todo.filter(place <= high).repartition(calls, F.xxhash64("url"))
         # Written, so that the scorer runs once for postings and rejects alike.
-        scored = materialise(score_batch(part, scorer), "scored")
-        append_batch(select_new(postings_of(scored), log, target), store, base + n)
-        rejects(judged(scored)).write.mode("overwrite").parquet(f"{rejected.rstrip('/')}/batch_id={base + n}")
-        low, wave, n = low + wave, wave * 2, n + 1
+        scored = materialise(score_batch(build_prompt(part).drop("text"), scorer), "scored")
+        judged = parse_reply_strict(scored)
+        append_batch(select_new(to_posting(judged, "run_id", "seq"), keys, target), store, n, writer)
+        rejects(judged).write.mode("overwrite").parquet(f"{rejected.rstrip('/')}/writer={writer}/batch_id={n}")
+        low, wave, n = high, wave * 2, n + 1

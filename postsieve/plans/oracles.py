@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from postsieve.functions.text import BLANKS
-from postsieve.operators.scoring import LEVEL_TERMS, NOT_ROLE_TERMS, ROLE_TERMS, SENIOR_PATTERN, terms_pattern
 
 _BLANK = "".join(rf"\x{{{ord(c):x}}}" for c in BLANKS)
 
@@ -72,8 +71,8 @@ _PAGE_RUNS = _COUNTS + "," + _runs("host", "page_id")
 _EVENT_RUNS = _EVENT_COUNTS + "," + _runs("user_id", "page_no")
 _KEEP = "consec, n_dup, n_links, n_new"
 
-_CANONICAL = r"""regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''),
-  '^https?://(www\.|m\.)?', 'https://'), '(\.html|/)$', '')"""
+_CANONICAL = """CASE page_id % 3 WHEN 0 THEN 'https://www.linkedin.com/jobs/view/' || page_id || '/'
+  WHEN 1 THEN 'https://www.indeed.com/viewjob?jk=' || page_id ELSE 'https://www.zhipin.com/job_detail/' || page_id || '.html' END"""
 
 
 def _component(text: str) -> str:
@@ -123,10 +122,19 @@ job_links AS (
 )
 
 
-def _shown(html: str) -> str:
-    out = rf"regexp_replace(regexp_replace({html}, '</?(p|br|h1)>', ' ', 'g'), '</?b>', '', 'g')"
-    out = rf"""regexp_replace(regexp_replace({out}, '&quot;?', '"', 'g'), '&amp;?', '&', 'g')"""
-    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+def _decoded(html: str) -> str:
+    return rf"""regexp_replace(regexp_replace({html}, '&quot;?', '"', 'g'), '&amp;?', '&', 'g')"""
+
+
+def _text(html: str) -> str:
+    """All text, blanks as they are."""
+    return _trim(_decoded(rf"regexp_replace({html}, '</?(p|br|h1|b)>', '', 'g')"))
+
+
+def _lines(html: str) -> str:
+    """A line per tag that is not inline, blanks squeezed, empty lines dropped."""
+    out = _decoded(rf"regexp_replace(regexp_replace(regexp_replace({html}, '[ \t\n\r\f]+', ' ', 'g'), '</?(p|br|h1)>', chr(10), 'g'), '</?b>', '', 'g')")
+    return _trim(rf"regexp_replace(regexp_replace({out}, ' +', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')")
 
 
 _WALLED = r"""walls AS (
@@ -140,7 +148,7 @@ postings AS (
          CASE WHEN n_chars > 2000 THEN n_chars || ' "K"' ELSE '' END AS salary,
          lang || '; ' || source AS tech_tags, 'needs: ' || {_TITLE} AS requirements, source,
          {_URL} AS job_url, quality = 1 AS is_ai_engineer, toxic = 0 AS is_campus_or_intern
-  FROM documents JOIN labels USING (doc_id))
+  FROM documents LEFT JOIN labels USING (doc_id))
 """
 
 _LINE = " || ',' || ".join(
@@ -200,10 +208,24 @@ texts AS (
     WHEN 3 THEN ' 算法 Algorithm Engineer 校招, 10 years'
     WHEN 4 THEN ' international sales'
     WHEN 5 THEN ' NLP engineer 0-2 years'
+    WHEN 6 THEN ' 机器学习工程师, 5年以上经验'
+    WHEN 7 THEN ' AI engineers, at least five years'
     ELSE '' END) AS low
   FROM documents)
 """
 
+_DETAIL_TEXT = rf"""
+WITH parts AS (
+  SELECT page_id, {_text("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")} AS title,
+         {_lines("regexp_extract(html, '(?is)<article>(.*?)</article>', 1)")} AS body,
+         {_text("regexp_extract(html, '(?is)<div class=.ad.>(.*?)</div>', 1)")} AS advert
+  FROM pages)
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'LinkedIn' WHEN 1 THEN 'Indeed' ELSE 'Boss直聘' END AS platform, false AS parse_failed,
+       CASE WHEN title <> '' THEN 'Title: ' || title || chr(10) ELSE '' END
+       || CASE WHEN advert = '' THEN '' WHEN page_id % 3 = 2 THEN 'Company: ' || advert || chr(10) ELSE 'Location: ' || advert || chr(10) END
+       || chr(10) || 'Job Description:' || chr(10) || body AS text
+FROM parts"""
+
 ORACLES = {
     "expand_plan": f"WITH {_PLAN} SELECT CAST(platform_pos AS BIGINT) AS platform_pos, CAST(platform_idx AS BIGINT) AS platform_idx, keyword_idx, page_no FROM plan",
     "search_urls": f"""
@@ -218,17 +240,7 @@ FROM enc""",
     "page_links": f"WITH {_LINKS} SELECT page_id, ord, href FROM links",
     "canonical_urls": f"SELECT page_id, {_CANONICAL} AS url FROM pages",
     "job_links": f"WITH {_JOB_LINKS} SELECT page_id, platform, pos, url FROM job_links",
-    "detail_text": rf"""
-WITH parts AS (
-  SELECT page_id, {_shown("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")} AS title,
-         {_shown("regexp_extract(html, '(?is)<article>(.*?)</article>', 1)")} AS body,
-         {_shown("regexp_extract(html, '(?is)<div class=.ad.>(.*?)</div>', 1)")} AS advert
-  FROM pages)
-SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'LinkedIn' WHEN 1 THEN 'Indeed' ELSE 'Boss直聘' END AS platform,
-       trim(CASE WHEN title <> '' THEN 'Title: ' || title ELSE '' END
-       || CASE WHEN advert = '' THEN '' WHEN page_id % 3 = 2 THEN ' Company: ' || advert ELSE ' Location: ' || advert END
-       || ' Job Description: ' || body) AS text
-FROM parts""",
+    "detail_text": _DETAIL_TEXT,
     "job_pages": f"""
 WITH {_JOB_LINKS}, n AS (SELECT page_id, count(*) AS n FROM job_links GROUP BY page_id),
 named AS (
@@ -293,17 +305,15 @@ SELECT run_id, host, page_id, url, row_number() OVER (PARTITION BY run_id ORDER
 WITH o AS (SELECT o_custkey AS run_id, o_orderkey AS seq, 'u' || o_custkey || '-' || o_orderpriority AS url, o_orderstatus AS s
            FROM orders),
 last AS (SELECT run_id, max(seq) AS n FROM o WHERE s = 'O' GROUP BY run_id),
+lead AS (SELECT run_id, min(seq) AS f FROM o WHERE s = 'P' GROUP BY run_id),
 queue AS (SELECT run_id, seq, url FROM o WHERE s = 'O'
-          UNION ALL SELECT run_id, seq + coalesce(n, 0), url FROM o LEFT JOIN last USING (run_id) WHERE s = 'P')
+          UNION ALL SELECT run_id, coalesce(seq + n + 1 - f, seq), url
+          FROM o LEFT JOIN last USING (run_id) LEFT JOIN lead USING (run_id) WHERE s = 'P')
 SELECT run_id, seq, url FROM queue WHERE url NOT IN (SELECT url FROM o WHERE s = 'F')""",
     "drop_visited": f"""
 WITH {_LINKS} SELECT page_id, href AS url FROM links
 WHERE href NOT IN (SELECT href FROM links WHERE contains(url, '/es/'))""",
-    "visited_union": rf"""
-WITH {_LINKS}
-SELECT {_CANONICAL} AS url FROM pages
-UNION
-SELECT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') FROM links""",
+    "visited_union": f"WITH {_JOB_LINKS} SELECT {_CANONICAL} AS url FROM pages UNION SELECT url FROM job_links",
     "recent_postings": """
 SELECT event_id, event_type FROM events
 WHERE ts >= TIMESTAMP '2024-01-31' - CASE event_type WHEN 'view' THEN INTERVAL 10 DAY WHEN 'click' THEN INTERVAL 20 DAY
@@ -344,8 +354,13 @@ WITH {_POSTINGS} SELECT job_url, title, company, location, source FROM postings
     "rule_labels": f"""
 WITH {_RULE_TEXT}
 SELECT doc_id,
-       regexp_matches(low, '{terms_pattern(ROLE_TERMS)}') AND NOT regexp_matches(low, '{terms_pattern(NOT_ROLE_TERMS)}') AS rule_role,
-       regexp_matches(low, '{terms_pattern(LEVEL_TERMS)}') OR NOT regexp_matches(low, '{SENIOR_PATTERN}') AS rule_level
+       (regexp_matches(low, '(^|[^a-z0-9])((ai|ml|llm|machine learning|algorithm|ai research|nlp|cv|mlops|ai platform|ai agent) engineer|applied scientist|data scientist)s?([^a-z0-9]|$)')
+        OR regexp_matches(low, '(机器学习|算法|人工智能|大模型|深度学习)工程师'))
+       AND NOT regexp_matches(low, '(^|[^a-z0-9])((generic software|backend|frontend|data|big data|test|qa|operations) engineer|sdet|ai artist|aigc designer|image generator|devops|sre|product manager|business analyst|sales|marketing)s?([^a-z0-9]|$)|生图师|运维工程师') AS rule_role,
+       regexp_matches(low, '(^|[^a-z0-9])(intern|internship|co-op|campus recruit|new graduate|new grad|university graduate|university grad|college graduate|new college grad|recent graduate|early career|entry level|entry-level|0-2 years|2025 graduate|2026 graduate)s?([^a-z0-9]|$)|校招|应届|实习')
+       OR NOT (regexp_matches(low, '(^|[^0-9])([3-9]|[1-9][0-9])( or more)?[+]? ?(-|to|~|至)? ?[0-9]* ?([+] ?)?(years|yrs|年)')
+               OR regexp_matches(low, '(three|four|five|six|seven|eight|nine|ten)( or more|[+])? ?(to [a-z]+ )?(years|yrs)')
+               OR regexp_matches(low, '[三四五六七八九十]年')) AS rule_level
 FROM texts""",
     "quality_flags": f"""
 WITH {_POSTINGS}
@@ -421,8 +436,31 @@ AND url NOT IN (SELECT url FROM o WHERE s = 'F')""",
     "csv_export": f"""
 WITH {_POSTINGS} SELECT {_LINE} AS line FROM postings
 UNION ALL SELECT 'title,company,location,salary,tech_tags,requirements,source,job_url'""",
-    "stream_capture": f"WITH {_JOB_LINKS} SELECT page_id, platform, pos, url FROM job_links",
+    "stream_capture": f"""
+WITH {_JOB_LINKS} SELECT page_id, platform, pos, url, CAST(NULL AS BIGINT) AS n_text FROM job_links
+UNION ALL SELECT page_id, platform, NULL, NULL, length(text) FROM ({_DETAIL_TEXT})""",
     "stream_dedup": f"WITH {_LINKS} SELECT DISTINCT host, href AS url FROM links",
     "stream_stop_rule": f"WITH {_EVENT_RUNS} SELECT user_id, page_no, n_links, n_new, ordinal, consec FROM kept",
     "stream_upsert": _CUT,
+    "toggle_platform": """
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN '1,2' WHEN 1 THEN '0,2' WHEN 2 THEN '0,1' ELSE '0,1,2,3' END AS chosen FROM pages""",
+    "run_state_files": f"""
+SELECT c_custkey AS run_id, c_mktsegment AS status, CASE WHEN c_custkey % 2 = 0 THEN 50 ELSE nullif(c_nationkey, 3) END AS target
+FROM customer""",
+    "captured_replies": f"""
+WITH {_REPLIES}, keyed AS (SELECT lang AS run_id, doc_id AS seq, 't||' || source AS job_key, job_url, status FROM replies),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY run_id, job_key ORDER BY seq) AS n FROM keyed WHERE status = 'ok'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS place FROM firsts WHERE n = 1)
+SELECT run_id, seq, job_url, 'saved' AS outcome FROM ranked WHERE place <= 20
+UNION ALL SELECT run_id, seq, job_url, status FROM keyed WHERE status <> 'ok'""",
+    "two_writers": f"""
+WITH {_KEYED},
+early AS (SELECT * FROM keyed WHERE seq % 3 = 0), firsts AS (
+  SELECT run_id, seq, job_key, row_number() OVER (PARTITION BY run_id, job_key ORDER BY seq) AS n FROM early),
+a AS (SELECT run_id, seq, job_key FROM firsts WHERE n = 1),
+b AS (SELECT run_id, seq, job_key FROM (SELECT run_id, seq, job_key, row_number() OVER (PARTITION BY run_id, job_key ORDER BY seq) AS n
+      FROM keyed k WHERE seq % 3 = 1 AND NOT EXISTS (SELECT 1 FROM a WHERE a.run_id = k.run_id AND a.job_key = k.job_key)) WHERE n = 1),
+c AS (SELECT run_id, seq, job_key FROM (SELECT run_id, seq, job_key, row_number() OVER (PARTITION BY run_id, job_key ORDER BY seq) AS n
+      FROM keyed k WHERE seq % 3 = 2 AND NOT EXISTS (SELECT 1 FROM (FROM a UNION ALL FROM b) s WHERE s.run_id = k.run_id AND s.job_key = k.job_key)) WHERE n = 1)
+FROM a UNION ALL FROM b UNION ALL FROM c""",
 }

@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
+    # Ranks up to this are cut in every map task, before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     # A repeated key in a reply takes its last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

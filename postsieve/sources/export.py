@@ -34,17 +34,24 @@ def export_csv(postings: DataFrame, folder: str, at_ms: int | None = None) -> st
     range partitioned and written in parallel.
     """
     path = f"{folder.rstrip('/')}/{export_name(at_ms)}"
+    spark = postings.sparkSession
     lines = csv_lines(postings)
-    first = lines.agg(F.min("job_url")).first()[0]
-    if first is None:
+    least = lines.agg(F.min(F.struct(F.col("job_url").isNotNull().alias("some"), "job_url", "line")).alias("f")).first()["f"]
+    if least is None:
         # The writer needs some separator; splitting the header at its last letter gives one.
-        header = postings.sparkSession.createDataFrame([(HEADER[:-1],)], "value string")
+        header = spark.createDataFrame([(HEADER[:-1],)], "value string")
         header.coalesce(1).write.option("lineSep", HEADER[-1]).text(path)
         return path
     # A line is written with its line break in front and closed by the quote that ends
-    # every line, so no break follows the last one. The header precedes the first line.
-    head = F.when(F.col("job_url") == first, F.lit(HEADER)).otherwise(F.lit(""))
+    # every line, so no break follows the last one. The header stands before one line,
+    # a first by URL; rows that repeat it whole are written as plain lines.
+    is_least = F.col("job_url").eqNullSafe(F.lit(least["job_url"])) & (F.col("line") == least["line"])
+    more = lines.filter(is_least).count() - 1
+    again = spark.range(more).select(F.lit(1).alias("part"), F.lit(least["job_url"]).cast("string").alias("job_url"), F.lit(least["line"]).alias("line"))
+    head = spark.createDataFrame([(0, least["job_url"], least["line"])], "part int, job_url string, line string")
+    rest = lines.filter(~is_least).select(F.lit(1).alias("part"), "job_url", "line")
+    header = F.when(F.col("part") == 0, F.lit(HEADER)).otherwise(F.lit(""))
+    placed = head.unionByName(again).unionByName(rest).orderBy("part", "job_url")
     body = F.expr("substring(line, 1, length(line) - 1)")
-    placed = lines.orderBy("job_url").select(F.concat(head, F.lit("\n"), body).alias("value"))
-    placed.write.option("lineSep", '"').text(path)
+    placed.select(F.concat(header, F.lit("\n"), body).alias("value")).write.option("lineSep", '"').text(path)
     return path

