@@ -17,7 +17,7 @@ from postsieve.functions.text import encode_component
 from postsieve.functions.urls import host_of
 from postsieve.operators import capture, dedup, details, links, platforms, replies, scoring, state, stop, visits
 from postsieve.operators.keyed import last_per_key
-from postsieve.plans import crawl, curate
+from postsieve.plans import crawl, curate, run
 from postsieve.session import configure, materialise, new_dir
 from postsieve.sources import export, search_plan, store, tables
 from postsieve.streaming import pages as stream_pages
@@ -308,15 +308,19 @@ def frontier(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("seq", "host", "page_id", "url")
 
 
-def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
-    listing = _listing(spark, sf).select(
+def _run_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as listing pages of a run per language, the host as keyword."""
+    return _listing(spark, sf).select(
         F.regexp_extract("url", "://[^/]+/([a-z]+)/", 1).alias("run_id"),
         F.lit(0).alias("platform_pos"),
         F.col("host").alias("keyword_idx"),
         F.col("page_id").alias("page_no"),
         "links",
     )
-    found = crawl.crawl_frontier(listing)
+
+
+def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    found = crawl.crawl_frontier(_run_listing(spark, sf))
     return found.select("run_id", F.col("keyword_idx").alias("host"), F.col("page_no").alias("page_id"), "url", "seq")
 
 
@@ -693,6 +697,26 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return store.read_log(spark, folder).select("run_id", "seq", "job_key")
 
 
+def whole_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages to stored postings: every link has a detail page, and a reply that its address decides."""
+    listing = materialise(_run_listing(spark, sf), "listing")
+    details = links.link_rows(listing, []).select("url", F.lit("LinkedIn").alias("platform")).distinct()
+    n = F.length("url")
+    fields = {"title": F.substring("url", 2, 100_000), "company": F.lit("c"), "location": F.lit(""), "salary": F.lit(""), "requirements": F.lit("r")}
+    reply = F.to_json(
+        F.struct(
+            (n % 3 > 0).alias("is_ai_engineer"),
+            F.lit(True).alias("is_campus_or_intern"),
+            *[c.alias(k) for k, c in fields.items()],
+            F.array(F.lit("t")).alias("tech_tags"),
+        )
+    )
+    replies_ = details.select("url", F.when(n % 5 == 4, "busy").otherwise(reply).alias("reply"))
+    folder = new_dir(spark, "postings")
+    run.run_captured(listing, details, replies_, folder, f"{folder}-rejected", target=30)
+    return store.read_log(spark, folder).select("run_id", "seq", "title", "job_url")
+
+
 def two_writers(spark: SparkSession, sf: str) -> DataFrame:
     """A stream saves a third of the postings, a batch another, and the stream goes on with the last."""
     keyed, folder = dedup.with_job_key(_posted(_docs(spark, sf))), new_dir(spark, "postings")
@@ -798,6 +822,7 @@ QUERIES = [
     stream_dedup,
     stream_stop_rule,
     stream_upsert,
+    whole_run,
     two_writers,
     captured_replies,
     run_state_files,

@@ -226,6 +226,36 @@ SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'LinkedIn' WHEN 1 THEN 'Indeed' ELS
        || chr(10) || 'Job Description:' || chr(10) || body AS text
 FROM parts"""
 
+_CRAWL = rf"""
+WITH RECURSIVE {_LINKS},
+lists AS (SELECT page_id, list(href ORDER BY ord) AS hrefs FROM links GROUP BY page_id),
+p AS (
+  SELECT page_id, regexp_extract(url, '://[^/]+/([a-z]+)/', 1) AS run_id,
+         regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, coalesce(hrefs, []) AS hrefs
+  FROM pages LEFT JOIN lists USING (page_id)),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY host, page_id) AS idx,
+         row_number() OVER (PARTITION BY run_id, host ORDER BY page_id) AS ordinal
+  FROM p),
+walk AS (
+  SELECT run_id, CAST(0 AS BIGINT) AS idx, '' AS host, CAST(0 AS BIGINT) AS page_id, CAST([] AS VARCHAR[]) AS used,
+         CAST([] AS VARCHAR[]) AS visited, CAST(0 AS BIGINT) AS consec, false AS stopped
+  FROM o WHERE idx = 1
+  UNION ALL
+  SELECT run_id, idx, host, page_id, CASE WHEN stopped THEN [] ELSE fresh END,
+         CASE WHEN stopped THEN visited ELSE list_concat(visited, fresh) END, consec, stopped
+  FROM (
+    SELECT *, was_stopped OR consec >= 5 OR ordinal >= 10 AS stopped
+    FROM (
+      SELECT *, CASE WHEN len(fresh) > 0 THEN 0 ELSE before + greatest(len(hrefs), 1) END AS consec
+      FROM (
+        SELECT o.run_id, o.idx, o.host, o.page_id, o.ordinal, o.hrefs, w.visited,
+               o.ordinal > 1 AND w.stopped AS was_stopped, CASE WHEN o.ordinal > 1 THEN w.consec ELSE 0 END AS before,
+               list_filter(o.hrefs, lambda x: NOT list_contains(w.visited, x)) AS fresh
+        FROM walk w JOIN o ON o.run_id = w.run_id AND o.idx = w.idx + 1)))),
+steps AS (SELECT run_id, idx, host, page_id, unnest(used) AS url, generate_subscripts(used, 1) AS pos FROM walk)
+SELECT run_id, host, page_id, url, row_number() OVER (PARTITION BY run_id ORDER BY idx, pos) AS seq FROM steps"""
+
 ORACLES = {
     "expand_plan": f"WITH {_PLAN} SELECT CAST(platform_pos AS BIGINT) AS platform_pos, CAST(platform_idx AS BIGINT) AS platform_idx, keyword_idx, page_no FROM plan",
     "search_urls": f"""
@@ -272,35 +302,7 @@ WITH {_PAGE_RUNS}
 SELECT row_number() OVER (ORDER BY l.host, l.page_id, l.ord) AS seq, l.host, l.page_id, l.href AS url
 FROM links l JOIN first_sight f ON l.host = f.host AND l.href = f.href AND l.page_id = f.page_id
 JOIN kept k ON l.host = k.host AND l.page_id = k.page_id""",
-    "crawl_frontier": rf"""
-WITH RECURSIVE {_LINKS},
-lists AS (SELECT page_id, list(href ORDER BY ord) AS hrefs FROM links GROUP BY page_id),
-p AS (
-  SELECT page_id, regexp_extract(url, '://[^/]+/([a-z]+)/', 1) AS run_id,
-         regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, coalesce(hrefs, []) AS hrefs
-  FROM pages LEFT JOIN lists USING (page_id)),
-o AS (
-  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY host, page_id) AS idx,
-         row_number() OVER (PARTITION BY run_id, host ORDER BY page_id) AS ordinal
-  FROM p),
-walk AS (
-  SELECT run_id, CAST(0 AS BIGINT) AS idx, '' AS host, CAST(0 AS BIGINT) AS page_id, CAST([] AS VARCHAR[]) AS used,
-         CAST([] AS VARCHAR[]) AS visited, CAST(0 AS BIGINT) AS consec, false AS stopped
-  FROM o WHERE idx = 1
-  UNION ALL
-  SELECT run_id, idx, host, page_id, CASE WHEN stopped THEN [] ELSE fresh END,
-         CASE WHEN stopped THEN visited ELSE list_concat(visited, fresh) END, consec, stopped
-  FROM (
-    SELECT *, was_stopped OR consec >= 5 OR ordinal >= 10 AS stopped
-    FROM (
-      SELECT *, CASE WHEN len(fresh) > 0 THEN 0 ELSE before + greatest(len(hrefs), 1) END AS consec
-      FROM (
-        SELECT o.run_id, o.idx, o.host, o.page_id, o.ordinal, o.hrefs, w.visited,
-               o.ordinal > 1 AND w.stopped AS was_stopped, CASE WHEN o.ordinal > 1 THEN w.consec ELSE 0 END AS before,
-               list_filter(o.hrefs, lambda x: NOT list_contains(w.visited, x)) AS fresh
-        FROM walk w JOIN o ON o.run_id = w.run_id AND o.idx = w.idx + 1)))),
-steps AS (SELECT run_id, idx, host, page_id, unnest(used) AS url, generate_subscripts(used, 1) AS pos FROM walk)
-SELECT run_id, host, page_id, url, row_number() OVER (PARTITION BY run_id ORDER BY idx, pos) AS seq FROM steps""",
+    "crawl_frontier": _CRAWL,
     "pending_queue": """
 WITH o AS (SELECT o_custkey AS run_id, o_orderkey AS seq, 'u' || o_custkey || '-' || o_orderpriority AS url, o_orderstatus AS s
            FROM orders),
@@ -453,6 +455,12 @@ firsts AS (SELECT *, row_number() OVER (PARTITION BY run_id, job_key ORDER BY se
 ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS place FROM firsts WHERE n = 1)
 SELECT run_id, seq, job_url, 'saved' AS outcome FROM ranked WHERE place <= 20
 UNION ALL SELECT run_id, seq, job_url, status FROM keyed WHERE status <> 'ok'""",
+    "whole_run": f"""
+WITH f AS ({_CRAWL}),
+ok AS (SELECT run_id, seq, url, substr(url, 2) AS title FROM f WHERE length(url) % 5 <> 4 AND length(url) % 3 > 0),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY run_id, {_key("title", "'c'")} ORDER BY seq) AS n FROM ok),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS place FROM firsts WHERE n = 1)
+SELECT run_id, seq, title, url AS job_url FROM ranked WHERE place <= 30""",
     "two_writers": f"""
 WITH {_KEYED},
 early AS (SELECT * FROM keyed WHERE seq % 3 = 0), firsts AS (
