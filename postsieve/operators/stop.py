@@ -82,14 +82,25 @@ def stop_points(
     page: str = "page_no",
     max_dupes: int = MAX_DUPES,
     max_pages: int = MAX_PAGES,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Pages up to the cap with ``ordinal``, ``consec`` and ``stopped``.
 
     The cap ends a keyword whatever its pages hold, so pages past it are cut in every
-    map task and the windows below see at most ``max_pages`` rows per keyword.
+    map task and the windows below see at most ``max_pages`` rows per keyword. A keyword
+    that a resumed run goes on with starts from its saved counters: ``carried`` has
+    ``consec`` and ``pages`` of such keywords, one row each.
     """
     capped = first_n_per_key(pages, keyword, [page], max_pages, "ordinal")
-    counted = _counter(capped, keyword, [page]).withColumn("consec", F.col("_run").cast("bigint"))
+    start = F.lit(0)
+    if carried is not None:
+        saved = carried.select(*keyword, F.col("consec").alias("_consec"), F.col("pages").alias("_pages"))
+        capped = same_keys(capped, saved, keyword, "left")
+        capped = capped.withColumn("ordinal", (F.col("ordinal") + F.coalesce("_pages", F.lit(0))).cast("bigint"))
+        start = F.coalesce("_consec", F.lit(0))
+    counted = _counter(capped, keyword, [page])
+    before = F.when(F.col("_resets") == 0, start).otherwise(F.lit(0))
+    counted = counted.withColumn("consec", (F.col("_run") + before).cast("bigint")).drop("_consec", "_pages")
     so_far = Window.partitionBy(*keyword).orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
     hit = (F.col("consec") >= max_dupes) | (F.col("ordinal") >= max_pages)
     return counted.withColumn("stopped", F.max(hit).over(so_far)).drop("_run", "_resets")
@@ -101,6 +112,7 @@ def keyword_stop(
     page: str = "page_no",
     max_dupes: int = MAX_DUPES,
     max_pages: int = MAX_PAGES,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Pages whose links are used: those before the page that trips a limit."""
-    return stop_points(pages, keyword, page, max_dupes, max_pages).filter(~F.col("stopped")).drop("stopped")
+    return stop_points(pages, keyword, page, max_dupes, max_pages, carried).filter(~F.col("stopped")).drop("stopped")

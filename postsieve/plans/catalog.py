@@ -303,6 +303,14 @@ def event_keyword_stop(spark: SparkSession, sf: str) -> DataFrame:
     return stop.keyword_stop(_event_pages(_table(spark, sf, "events")), ["user_id"])
 
 
+def resumed_keyword_stop(spark: SparkSession, sf: str) -> DataFrame:
+    """Two thirds of the users go on with counters saved before."""
+    events = _table(spark, sf, "events")
+    user = F.col("user_id")
+    saved = events.filter(user % 3 > 0).select(user, (user % 5).alias("consec"), (user % 4).alias("pages")).distinct()
+    return stop.keyword_stop(_event_pages(events), ["user_id"], carried=saved)
+
+
 def frontier(spark: SparkSession, sf: str) -> DataFrame:
     found = crawl.keyword_frontier(_stored_listing(spark, sf), None, ["host"], [], "page_id")
     return found.select("seq", "host", "page_id", "url")
@@ -780,6 +788,7 @@ QUERIES = [
     keyword_stop,
     event_consecutive_dupes,
     event_keyword_stop,
+    resumed_keyword_stop,
     frontier,
     crawl_frontier,
     pending_queue,

@@ -297,6 +297,22 @@ SELECT page_id, host FROM seen WHERE w = 0""",
     "keyword_stop": f"WITH {_PAGE_RUNS} SELECT host, page_id, ordinal, {_KEEP} FROM kept",
     "event_consecutive_dupes": f"WITH {_EVENT_RUNS} SELECT user_id, page_no, {_KEEP} FROM running",
     "event_keyword_stop": f"WITH {_EVENT_RUNS} SELECT user_id, page_no, ordinal, {_KEEP} FROM kept",
+    "resumed_keyword_stop": f"""
+WITH {_EVENT_COUNTS},
+saved AS (SELECT *, CASE WHEN user_id % 3 > 0 THEN user_id % 5 ELSE 0 END AS c0, CASE WHEN user_id % 3 > 0 THEN user_id % 4 ELSE 0 END AS p0
+          FROM counts),
+islands AS (
+  SELECT *, sum(CASE WHEN n_new > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY page_no) AS island,
+         row_number() OVER (PARTITION BY user_id ORDER BY page_no) + p0 AS ordinal
+  FROM saved),
+running AS (
+  SELECT *, CAST(sum(CASE WHEN n_new > 0 THEN 0 ELSE greatest(n_dup, 1) END) OVER (PARTITION BY user_id, island ORDER BY page_no)
+                 + CASE WHEN island = 0 THEN c0 ELSE 0 END AS BIGINT) AS consec
+  FROM islands),
+stops AS (
+  SELECT *, max(CASE WHEN consec >= 5 OR ordinal >= 10 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY page_no) AS stopped
+  FROM running)
+SELECT user_id, page_no, n_links, n_new, n_dup, ordinal, consec FROM stops WHERE stopped = 0""",
     "frontier": f"""
 WITH {_PAGE_RUNS}
 SELECT row_number() OVER (ORDER BY l.host, l.page_id, l.ord) AS seq, l.host, l.page_id, l.href AS url

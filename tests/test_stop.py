@@ -11,10 +11,10 @@ from postsieve.streaming.pages import append_to
 from postsieve.streaming.stop import stream_stop_rule
 
 
-def simulate_keyword(pages, max_dupes=5, max_pages=10):
+def simulate_keyword(pages, max_dupes=5, max_pages=10, consec=0, seen=0):
     """Pages used, and the counter after every page up to the stop."""
-    consec, used = 0, []
-    for ordinal, (page, n_links, n_new) in enumerate(sorted(pages), 1):
+    used = []
+    for ordinal, (page, n_links, n_new) in enumerate(sorted(pages), 1 + seen):
         consec = 0 if n_new else consec + max(n_links - n_new, 1)
         if consec >= max_dupes or ordinal >= max_pages:
             break
@@ -63,6 +63,19 @@ def test_keyword_stop(spark, keywords):
     assert {(r.keyword_idx, r.page_no, r.ordinal, r.consec) for r in got} == want
 
 
+def test_keyword_stop_goes_on_with_saved_counters(spark, keywords):
+    saved = {k: (k % 6, k % 12) for k in keywords if k % 4}
+    rows = [("r", 0, k, *c) for k, c in saved.items()]
+    carried = spark.createDataFrame(rows, "run_id string, platform_idx int, keyword_idx int, consec int, pages int")
+    got = stop.keyword_stop(frame(spark, keywords), carried=carried).collect()
+    want = {
+        (k, *row)
+        for k, pages in keywords.items()
+        for row in simulate_keyword(pages, consec=saved.get(k, (0, 0))[0], seen=saved.get(k, (0, 0))[1])
+    }
+    assert {(r.keyword_idx, r.page_no, r.ordinal, r.consec) for r in got} == want
+
+
 @pytest.mark.parametrize("limits", [(1, 3), (3, 2000)])
 def test_keyword_stop_limits(spark, keywords, limits):
     got = stop.keyword_stop(frame(spark, keywords), max_dupes=limits[0], max_pages=limits[1]).collect()
