@@ -8,9 +8,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
+from postsieve.session import configure
+
+# Rows of text that are passed to Python at once.
+BATCH_ROWS = 1000
 # Bytes handled at once; a longer text is one piece of its own.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """The package's settings, and batches small enough for rows of long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return configure(spark)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

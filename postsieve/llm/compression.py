@@ -14,7 +14,6 @@ each task sends its distinct words to the bucket that holds their counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ BLOCK = 4_000_000
 BUCKETS = 32
 BUCKET_WORDS = 1_000_000
 # Distinct values a task gathers before it merges them.
-GATHERED = 4_000_000
+GATHERED = 1_000_000
 NGRAM, WORD = 0, 1
 
 
@@ -95,7 +94,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies = {NGRAM: _Tally(), WORD: _Tally()}
         for batch in batches:
-            for _, data, offsets in arrays.pieces(batch, "text"):
+            for _, data, offsets in arrays.pieces(batch, "text", 1 << 20):
                 tallies[NGRAM].add(symbols(data, offsets)[0])
                 tallies[WORD].add(arrays.words(data, offsets, arrays.BLANK_SEPARATED).hashes)
         for kind, tally in tallies.items():
@@ -188,6 +187,11 @@ class Level:
         self.down_whole = np.log10(np.maximum(rest, 1))
         self.down_escape = np.where(new > 0, np.log10(np.maximum(0.5 * new, 0.5)) - self.down_whole, 0.0)
 
+    def trim(self) -> None:
+        """Drop what only longer contexts needed while they were built."""
+        del self.counts, self.total
+        self.plain, self.log_count = self.plain.astype(np.float32), self.log_count.astype(np.float32)
+
 
 class Trie:
     """The levels of one block of contexts."""
@@ -201,10 +205,18 @@ class Trie:
         self.levels: list[Level] = []
         for k, (own, n) in enumerate([*tables, *reversed(longer)][: order + 1]):
             self.levels.append(Level(own, n, self.levels[-1] if k else None, k))
+        self.seen = int(self.levels[0].distinct[0]) if len(keys) else 0
+        for level in self.levels:
+            level.trim()
+            del level.distinct
+        del self.levels[-1].log_count
 
     def open(self) -> None:
+        """Turn the longest contexts into a table, once in every worker."""
         top = self.levels[self.order]
-        self.table = Table(top.keys, top.plain.astype(np.float32))
+        if hasattr(top, "plain"):
+            self.table = Table(top.keys, top.plain)
+            del top.keys, top.plain
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol in its context."""
@@ -232,8 +244,7 @@ class Trie:
                 total[mask] += add(mask)
             open_ &= ~hit
             node = context
-        seen = self.levels[0].distinct[0] if len(self.levels[0].distinct) else 0
-        total[open_] -= np.log10(max(1, SYMBOLS - seen))
+        total[open_] -= np.log10(max(1, SYMBOLS - self.seen))
         out[left] = total
         return out
 
@@ -242,32 +253,12 @@ def _block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return ((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(blocks)
 
 
-@lru_cache(2)
-def _opened(sent: _Key) -> Trie:
-    trie = sent.value.value
-    trie.open()
-    return trie
-
-
-class _Key:
-    """A broadcast as a key of the cache of opened tries in a worker."""
-
-    def __init__(self, name: str, value: Broadcast):
-        self.name, self.value = name, value
-
-    def __hash__(self):
-        return hash(self.name)
-
-    def __eq__(self, other):
-        return self.name == other.name
-
-
-def _scored(docs: DataFrame, trie: Trie, block: int, blocks: int, name: str) -> DataFrame:
-    """Add to ``score`` what the contexts of one block say of each text of ``(doc_id, text, held_out, score)``."""
-    sent = _Key(name, docs.sparkSession.sparkContext.broadcast(trie))
+def _scorer(sent: Broadcast, block: int, blocks: int):
+    """Adds to ``score`` what the contexts of one block say of each text of ``(doc_id, text, held_out, score)``."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _opened(sent)
+        trie = sent.value
+        trie.open()
         for batch in batches:
             for rows, data, offsets in arrays.pieces(batch, "text", 1 << 20):
                 keys, bounds = symbols(data, offsets)
@@ -280,11 +271,14 @@ def _scored(docs: DataFrame, trie: Trie, block: int, blocks: int, name: str) ->
                 score = rows.column(3).to_numpy(zero_copy_only=False) + np.add.reduceat(logs, bounds[:-1])
                 yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(score)], rows.schema.names)
 
-    return docs.mapInArrow(add, docs.schema)
+    return add
 
 
-def trie_scores(docs: DataFrame, counts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``score`` of every row of ``(doc_id, text, held_out)`` under the counts of :func:`corpus_counts`."""
+def trie_scores(docs: DataFrame, counts: DataFrame, after, schema: str, block: int = BLOCK) -> DataFrame:
+    """``score`` of every row of ``(doc_id, text, held_out)`` under the counts of :func:`corpus_counts`.
+
+    ``after`` goes on with the scored batches in the same Python worker, into rows of ``schema``.
+    """
     runs = counts.filter(F.col("kind") == NGRAM).select("key", "n")
     blocks = -(-max(1, runs.count()) // block)
     # At most 65,536 pairs of bytes.
@@ -295,10 +289,16 @@ def trie_scores(docs: DataFrame, counts: DataFrame, block: int = BLOCK) -> DataF
     for k in range(blocks):
         own = runs.filter(part == k).toArrow()
         keys, n = _summed(own["key"].to_numpy().view(np.uint64), own["n"].to_numpy())
-        out = _scored(out, Trie(keys, n, pair_keys, pair_counts), k, blocks, f"{docs.sparkSession.sparkContext.applicationId}-{id(own)}-{k}")
+        sent = docs.sparkSession.sparkContext.broadcast(Trie(keys, n, pair_keys, pair_counts))
+        add = _scorer(sent, k, blocks)
+        out = out.mapInArrow(add, out.schema) if k < blocks - 1 else out.mapInArrow(_chained(add, after), schema)
     return out
 
 
+def _chained(first, second):
+    return lambda batches: second(first(batches))
+
+
 _CHUNK = (
     "chunk bigint, bucket int, hashes binary, docs binary, counts binary,"
     " ids array<bigint>, held array<boolean>, tokens array<bigint>, scores array<double>"
@@ -391,12 +391,12 @@ def _base(train_tokens: int, train_words: int):
 
 def _packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``(bucket, key, n)`` of a task as few rows of packed arrays."""
-    for batch in parts:
-        bucket, key, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        bucket, key, n = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(3))
         by = np.argsort(bucket, kind="stable")
-        at = np.flatnonzero(np.concatenate(([True], np.diff(bucket[by]) != 0))[: len(by)])
-        groups = np.split(by, at[1:]) if len(by) else []
-        yield pa.RecordBatch.from_arrays(
+        groups = np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1)
+        return pa.RecordBatch.from_arrays(
             [
                 pa.array([int(bucket[g[0]]) for g in groups], pa.int32()),
                 pa.array([key[g].astype(np.int64).tobytes() for g in groups], pa.binary()),
@@ -405,6 +405,16 @@ def _packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["bucket", "hashes", "counts"],
         )
 
+    held: list[pa.RecordBatch] = []
+    for batch in parts:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= 200_000:
+            yield pack(held)
+            held = []
+    if held:
+        yield pack(held)
+
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
@@ -425,8 +435,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     train_tokens, train_words = (total["n"] or 0) + ends, total["v"] + (ends > 0)
     buckets = max(BUCKETS, -(-train_words // BUCKET_WORDS))
-    scored = trie_scores(marked, counts)
-    chunks = materialise(scored.mapInArrow(_word_rows(buckets), _CHUNK), "chunks")
+    chunks = materialise(trie_scores(marked, counts, _word_rows(buckets), _CHUNK), "chunks")
     vocabulary = words.select(_bucket(F.col("key"), buckets).alias("bucket"), "key", "n").mapInArrow(
         _packed, "bucket int, hashes binary, counts binary"
     )

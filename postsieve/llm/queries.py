@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import compression, decontamination, language, licences, lines, near_duplicates, packing, private, quality, sharding
-from postsieve.session import configure
+from postsieve.llm import arrays, compression, decontamination, language, licences, lines, near_duplicates, packing, private, quality, sharding
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf}/{name}.parquet")
+    return arrays.prepare(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
