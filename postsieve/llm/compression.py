@@ -34,7 +34,7 @@ BLOCK = 4_000_000
 BUCKETS = 32
 BUCKET_WORDS = 1_000_000
 # Distinct values a task gathers before it merges them.
-GATHERED = 1_000_000
+GATHERED = 500_000
 NGRAM, WORD = 0, 1
 
 
@@ -277,8 +277,10 @@ def _scorer(sent: Broadcast, block: int, blocks: int):
 def trie_scores(docs: DataFrame, counts: DataFrame, after, schema: str, block: int = BLOCK) -> DataFrame:
     """``score`` of every row of ``(doc_id, text, held_out)`` under the counts of :func:`corpus_counts`.
 
-    ``after`` goes on with the scored batches in the same Python worker, into rows of ``schema``.
+    ``after`` goes on with the scored batches in the same Python worker, into rows of ``schema``, which are written;
+    then the workers drop the trie.
     """
+    tries = []
     runs = counts.filter(F.col("kind") == NGRAM).select("key", "n")
     blocks = -(-max(1, runs.count()) // block)
     # At most 65,536 pairs of bytes.
@@ -290,8 +292,12 @@ def trie_scores(docs: DataFrame, counts: DataFrame, after, schema: str, block: i
         own = runs.filter(part == k).toArrow()
         keys, n = _summed(own["key"].to_numpy().view(np.uint64), own["n"].to_numpy())
         sent = docs.sparkSession.sparkContext.broadcast(Trie(keys, n, pair_keys, pair_counts))
+        tries.append(sent)
         add = _scorer(sent, k, blocks)
         out = out.mapInArrow(add, out.schema) if k < blocks - 1 else out.mapInArrow(_chained(add, after), schema)
+    out = materialise(out, "scored")
+    for sent in tries:
+        sent.unpersist()
     return out
 
 
@@ -435,7 +441,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     train_tokens, train_words = (total["n"] or 0) + ends, total["v"] + (ends > 0)
     buckets = max(BUCKETS, -(-train_words // BUCKET_WORDS))
-    chunks = materialise(trie_scores(marked, counts, _word_rows(buckets), _CHUNK), "chunks")
+    chunks = trie_scores(marked, counts, _word_rows(buckets), _CHUNK)
     vocabulary = words.select(_bucket(F.col("key"), buckets).alias("bucket"), "key", "n").mapInArrow(
         _packed, "bucket int, hashes binary, counts binary"
     )
