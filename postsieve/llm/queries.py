@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import arrays, compression, decontamination, language, licences, lines, near_duplicates, packing, private, quality, sharding
+from postsieve.llm import arrays, compression, decontamination, language, licences, lines, near_duplicates, packing, passages, private, quality, sharding
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -50,14 +50,21 @@ def op5_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(_docs(spark, sf))
 
 
-def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    found = lines.dedup_lines(_docs(spark, sf))
+def _without_spans(found: DataFrame) -> DataFrame:
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
     return found.select(
         "doc_id", "text", F.size("removed").cast("bigint").alias("n_removed"), F.array_join(spans, ",").alias("removed")
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return _without_spans(lines.dedup_lines(_docs(spark, sf)))
+
+
+def op6_passage_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return _without_spans(passages.dedup_passages(_docs(spark, sf)))
+
+
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.decontaminate(_docs(spark, sf), _table(spark, sf, "benchmark")).drop("text_key")
 
@@ -84,6 +91,7 @@ QUERIES = [
     op4_personal_data,
     op5_hilbert_shards,
     op6_line_dedup,
+    op6_passage_dedup,
     op7_decontamination,
     op8_decision_list,
     op9_language,
