@@ -1,4 +1,8 @@
-"""Licence texts and notices found by the Dice coefficient over word bigrams."""
+"""Licence texts and notices found by the Dice coefficient over word bigrams.
+
+Units are each line, the whole text, and every run of consecutive words of about a template's length, which finds
+notices that are wrapped or stand inside longer lines.
+"""
 
 from __future__ import annotations
 
@@ -72,6 +76,9 @@ TEMPLATES = {
 }
 
 
+_RUNS = "array<struct<d:double,n:int,start:int,licence:string>>"
+
+
 def plain_words(text: str) -> list[str]:
     """The normal form on the driver, for templates: what :func:`normal_words` does to a column."""
     low = "".join(c.lower() if c.isascii() else c for c in text)
@@ -101,12 +108,71 @@ def anchors(grams: list[str], threshold: int) -> set[str]:
     return {max(g.split(" "), key=len) for g in by_length[: len(grams) - needed + 1]}
 
 
+def passages(found: Column, table: list[tuple[str, list[str], int]], threshold: int) -> Column:
+    """Runs of the words ``found`` that reach the threshold with a template, as ``(d, n, start, licence)`` in order of place.
+
+    ``d`` is the negative Dice coefficient, ``n`` the negative number of words. Runs have at most as many words, against the template's, as
+    size lets reach the threshold. Of overlapping runs the best stays, then the longer, the earlier, the first licence by name.
+    """
+    rest = 200 - threshold
+    vocabulary = sorted({g for _, grams, _ in table for g in grams})
+    entries = F.array(*[
+        F.struct(
+            F.lit(name).alias("licence"),
+            F.array(*map(F.lit, grams)).alias("grams"),
+            # So many bigrams must be shared at least, and so many places a run has at most.
+            F.lit(-(-threshold * len(grams) // rest)).alias("need"),
+            F.lit((size - 1) * rest // threshold).alias("span"),
+        )
+        for name, grams, size in table
+    ])
+
+    def run(t: Column, hits: Column, pairs: Column, j: Column) -> Column:
+        """From the first of ``hits`` to the ``j``-th: runs that end elsewhere share no more and are longer."""
+        begin, last = F.get(hits, F.lit(0))["p"], F.get(hits, j)["p"]
+        shared = F.size(F.array_distinct(F.transform(F.slice(hits, 1, j + 1), lambda h: h["g"])))
+        own = F.size(F.array_distinct(F.slice(pairs, begin + 1, last - begin + 1)))
+        dice = 2.0 * shared / (own + F.size(t["grams"]))
+        return F.struct((-dice).alias("d"), (begin - last - 2).alias("n"), begin.alias("start"), t["licence"].alias("licence"))
+
+    def from_place(t: Column, hits: Column, pairs: Column, i: Column) -> Column:
+        begin = F.get(hits, i)["p"]
+        near = F.filter(F.slice(hits, i + 1, t["span"]), lambda h: h["p"] < begin + t["span"])
+        ends = lambda own: F.transform(F.sequence(t["need"] - 1, F.size(own) - 1), lambda j: run(t, own, pairs, j))
+        return tx.let(near, lambda own: F.when(F.size(own) >= t["need"], F.filter(ends(own), lambda r: -100 * r["d"] >= threshold - 1e-9)))
+
+    def of_template(t: Column, known: Column, pairs: Column) -> Column:
+        def runs(hits: Column) -> Column:
+            # Enough of them must follow closely.
+            full = lambda h, i: F.get(hits, i + t["need"] - 1)["p"] < h["p"] + t["span"]
+            starts = F.filter(F.transform(hits, lambda h, i: F.when(full(h, i), i)), lambda i: i.isNotNull())
+            return F.flatten(F.filter(F.transform(starts, lambda i: from_place(t, hits, pairs, i)), lambda r: r.isNotNull()))
+
+        return tx.let(F.filter(known, lambda k: F.array_contains(t["grams"], k["g"])), runs)
+
+    def of_text(pairs: Column) -> Column:
+        placed = F.transform(pairs, lambda g, i: F.when(g.isin(vocabulary), F.struct(i.alias("p"), g.alias("g"))))
+        known = F.filter(placed, lambda k: k.isNotNull())
+        return tx.let(known, lambda own: F.flatten(F.transform(entries, lambda t: of_template(t, own, pairs))))
+
+    def apart(runs: Column) -> Column:
+        meets = lambda a, b: (a["start"] < b["start"] - b["n"]) & (b["start"] < a["start"] - a["n"])
+        free = lambda taken, r: ~F.exists(taken, lambda x: meets(x, r))
+        none = F.array().cast(_RUNS)
+        kept = F.aggregate(F.sort_array(runs), none, lambda taken, r: F.when(free(taken, r), F.concat(taken, F.array(r))).otherwise(taken))
+        return F.array_sort(kept, lambda a, b: (a["start"] - b["start"]).cast("int"))
+
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return tx.let(found, lambda w: F.when(F.size(w) > 1, apart(tx.let(pairs(w), of_text)).cast(_RUNS)).otherwise(F.array().cast(_RUNS)))
+
+
 def licence_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: int = THRESHOLD) -> DataFrame:
-    """Licences in each row of ``(doc_id, text)``, compared with every line and with the whole text.
+    """Licences in each row of ``(doc_id, text)``, compared with every line, the whole text and runs of its words.
 
     ``matches`` lists ``(licence, dice, line)`` for the best template of each line, or of the whole text as line -1,
-    whose Dice coefficient reaches ``threshold`` percent; of equal scores the first licence by name counts. ``licence`` and
-    ``dice`` are the best of them, null where there is none. A unit of fewer than two words has no bigrams and never
+    whose Dice coefficient reaches ``threshold`` percent; of equal scores the first licence by name counts. ``passages``
+    lists ``(licence, dice, start, words)`` for runs of consecutive words, wherever lines break, that reach it and do not
+    overlap; see :func:`passages`. ``licence`` and ``dice`` are the best of both, null where there is none. A unit of fewer than two words has no bigrams and never
     matches. Null text is empty. Repeated rows are answered one by one; further columns are ignored.
     """
     table = sorted((name, bigram_set(t)) for name, texts in templates.items() for t in texts)
@@ -151,6 +217,14 @@ def licence_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES
     found = F.when(may, tx.let(F.split(text, "\n"), units)).otherwise(
         F.array().cast("array<struct<licence:string,dice:double,line:int>>")
     )
-    matches = docs.select("doc_id", F.filter(found, lambda m: 100 * m["dice"] >= threshold - 1e-9).alias("matches"))
-    top = F.array_min(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("d"), m["licence"].alias("l"))))
-    return matches.select("doc_id", top["l"].alias("licence"), (-top["d"]).alias("dice"), "matches")
+    sized = sorted((name, bigram_set(t), len(plain_words(t))) for name, texts in templates.items() for t in texts)
+    runs = F.when(may, passages(normal_words(text), [s for s in sized if s[1]], threshold)).otherwise(F.array().cast(_RUNS))
+    listed = F.transform(
+        runs, lambda r: F.struct(r["licence"].alias("licence"), (-r["d"]).alias("dice"), r["start"].alias("start"), (-r["n"]).alias("words"))
+    )
+    matches = docs.select(
+        "doc_id", F.filter(found, lambda m: 100 * m["dice"] >= threshold - 1e-9).alias("matches"), listed.alias("passages")
+    )
+    scores = lambda name: F.transform(name, lambda m: F.struct((-m["dice"]).alias("d"), m["licence"].alias("l")))
+    top = F.array_min(F.concat(scores("matches"), scores("passages")))
+    return matches.select("doc_id", top["l"].alias("licence"), (-top["d"]).alias("dice"), "matches", "passages")

@@ -30,6 +30,8 @@ def op1_licences(spark: SparkSession, sf: str) -> DataFrame:
         F.round("dice", 6).alias("dice"),
         F.size("matches").cast("bigint").alias("n_matches"),
         F.transform("matches", lambda m: m["line"]).cast("string").alias("lines"),
+        F.size("passages").cast("bigint").alias("n_passages"),
+        F.transform("passages", lambda p: F.concat_ws(":", p["licence"], p["start"], p["words"])).cast("string").alias("passages"),
     )
 
 

@@ -55,3 +55,55 @@ def test_anchors_cover_every_match():
             found = licences.anchors(grams, licences.THRESHOLD)
             free = [g for g in grams if not set(g.split(" ")) & found]
             assert 200 * len(free) < licences.THRESHOLD * (len(free) + len(grams)) or not free
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+GPL = """int x;
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+int y;
+"""
+ISC = """def f():
+# Permission to use, copy, modify, and/or distribute this software for any
+# purpose with or without fee is hereby granted, provided that the above
+# copyright notice and this permission notice appear in all copies.
+    return 1
+"""
+
+
+def test_wrapped_and_embedded_notices(spark):
+    rows = [
+        (1, MIT, ["mit", "mit"]),
+        (2, GPL, ["gpl-3.0"]),
+        (3, ISC, ["isc"]),
+        (4, "This package is released under the MIT License. See the docs for more of it.", ["mit"]),
+        (5, "Some text before it ends. All rights reserved.", ["all-rights-reserved"]),
+        (6, "All rights were reserved by the owner of the licence, and the software stays under the rug.", []),
+        (7, "It is licensed under CC BY-SA 4.0. " * 2, ["cc-by-sa-4.0"] * 2),
+    ]
+    got = {r.doc_id: r for r in licences.licence_matches(docs_of(spark, [r[:2] for r in rows])).collect()}
+    for doc_id, text, want in rows:
+        assert [p.licence for p in got[doc_id].passages] == want, doc_id
+        assert got[doc_id].licence == (want[0] if want else None)
+        words = licences.plain_words(text)
+        for p in got[doc_id].passages:
+            own = set(licences.bigram_set(" ".join(words[p.start : p.start + p.words])))
+            grams = [set(licences.bigram_set(t)) for t in licences.TEMPLATES[p.licence]]
+            assert abs(p.dice - max(2 * len(own & g) / (len(own) + len(g)) for g in grams)) < 1e-9
+    # Lines and whole texts alone miss these.
+    assert not any(got[k].matches for k in (4, 5))
