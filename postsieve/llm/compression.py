@@ -6,8 +6,8 @@ where it never followed, an escape is coded (half a count for each distinct succ
 the next shorter context tried, without the symbols already ruled out. A-Z count as a-z. What the counts say of a symbol and of an escape in a context
 is the same at every place, so both are computed once per node and texts only look them up.
 
-The trie goes to the tasks in blocks of bounded size, split by the last two bytes of a context, so that all longer
-contexts of a place lie in one block. Word counts for the base score go another way, since a vocabulary has no bound:
+The trie goes to the tasks in blocks of bounded size, one after another, split by the last two bytes of a context, so
+that all longer contexts of a place lie in one block. Word counts for the base score go another way, since a vocabulary has no bound:
 each task sends its distinct words to the bucket that holds their counts.
 """
 
@@ -253,8 +253,8 @@ def _block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return ((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(blocks)
 
 
-def _scorer(sent: Broadcast, block: int, blocks: int):
-    """Adds to ``score`` what the contexts of one block say of each text of ``(doc_id, text, held_out, score)``."""
+def _scorer(sent: Broadcast):
+    """Adds to ``score`` what the contexts say of each text of ``(doc_id, text, held_out, score)``."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = sent.value
@@ -262,43 +262,69 @@ def _scorer(sent: Broadcast, block: int, blocks: int):
         for batch in batches:
             for rows, data, offsets in arrays.pieces(batch, "text", 1 << 20):
                 keys, bounds = symbols(data, offsets)
-                if blocks == 1:
-                    logs = trie.log10(keys)
-                else:
-                    own = _block_of(keys, blocks) == block
-                    logs = np.zeros(len(keys))
-                    logs[own] = trie.log10(keys[own])
-                score = rows.column(3).to_numpy(zero_copy_only=False) + np.add.reduceat(logs, bounds[:-1])
+                score = rows.column(3).to_numpy(zero_copy_only=False) + np.add.reduceat(trie.log10(keys), bounds[:-1])
                 yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(score)], rows.schema.names)
 
     return add
 
 
+def _block_scorer(sent: Broadcast, block: int, blocks: int):
+    """What the contexts of one block say of each text of ``(row, text)``."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = sent.value
+        trie.open()
+        for batch in batches:
+            for rows, data, offsets in arrays.pieces(batch, "text", 1 << 20):
+                keys, bounds = symbols(data, offsets)
+                own = _block_of(keys, blocks) == block
+                logs = np.zeros(len(keys))
+                logs[own] = trie.log10(keys[own])
+                number = pa.array(np.full(rows.num_rows, block, np.int32))
+                yield pa.RecordBatch.from_arrays([rows.column(0), number, pa.array(np.add.reduceat(logs, bounds[:-1]))], ["row", "block", "score"])
+
+    return score
+
+
 def trie_scores(docs: DataFrame, counts: DataFrame, after, schema: str, block: int = BLOCK) -> DataFrame:
     """``score`` of every row of ``(doc_id, text, held_out)`` under the counts of :func:`corpus_counts`.
 
-    ``after`` goes on with the scored batches in the same Python worker, into rows of ``schema``, which are written;
-    then the workers drop the trie.
+    ``after`` goes on with the scored batches, with one block in the same Python worker, into rows of ``schema``, which
+    are written; then the workers drop the trie. Of several blocks one is held at a time: its scores are written and its
+    trie is dropped before the next is built.
     """
-    tries = []
     runs = counts.filter(F.col("kind") == NGRAM).select("key", "n")
     blocks = -(-max(1, runs.count()) // block)
     # At most 65,536 pairs of bytes.
     pairs = runs.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     pair_keys, pair_counts = _summed(pairs["key"].to_numpy().view(np.uint64), pairs["n"].to_numpy())
-    out = docs.withColumn("score", F.lit(0.0))
     part = F.shiftright("key", 8).bitwiseAND(0xFFFF) % blocks
-    for k in range(blocks):
+
+    def sent_block(k: int) -> Broadcast:
         own = runs.filter(part == k).toArrow()
         keys, n = _summed(own["key"].to_numpy().view(np.uint64), own["n"].to_numpy())
-        sent = docs.sparkSession.sparkContext.broadcast(Trie(keys, n, pair_keys, pair_counts))
-        tries.append(sent)
-        add = _scorer(sent, k, blocks)
-        out = out.mapInArrow(add, out.schema) if k < blocks - 1 else out.mapInArrow(_chained(add, after), schema)
-    out = materialise(out, "scored")
-    for sent in tries:
+        return docs.sparkSession.sparkContext.broadcast(Trie(keys, n, pair_keys, pair_counts))
+
+    if blocks == 1:
+        sent = sent_block(0)
+        out = docs.withColumn("score", F.lit(0.0)).mapInArrow(_chained(_scorer(sent), after), schema)
+        out = materialise(out, "scored")
         sent.unpersist()
-    return out
+        return out
+    # Written, since the number of a row must be the same for every block.
+    rows = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    scores = None
+    for k in range(blocks):
+        sent = sent_block(k)
+        one = rows.select("row", "text").mapInArrow(_block_scorer(sent, k, blocks), "row bigint, block int, score double")
+        one = materialise(one, "block")
+        sent.destroy()
+        scores = one if scores is None else scores.unionByName(one)
+    # Added up in the order of blocks, as sums depend on it.
+    listed = F.array_sort(F.collect_list(F.struct("block", "score")))
+    total = scores.groupBy("row").agg(F.aggregate(listed, F.lit(0.0), lambda a, s: a + s["score"]).alias("score"))
+    scored = rows.join(total, "row").select("doc_id", "text", "held_out", "score")
+    return materialise(scored.mapInArrow(after, schema), "scored")
 
 
 def _chained(first, second):

@@ -78,3 +78,31 @@ def test_probabilities_sum_to_one():
 
 def test_empty(none):
     assert compression.score_documents(none).collect() == []
+
+
+def test_one_block_is_held_at_a_time(spark, monkeypatch):
+    import random
+
+    held, most, plans = set(), [], []
+    made, write = spark.sparkContext.broadcast, compression.materialise
+
+    def broadcast(value):
+        sent = made(value)
+        if isinstance(value, compression.Trie):
+            held.add(id(sent))
+            most.append(len(held))
+            drop = sent.destroy
+            sent.destroy = lambda *a: (held.discard(id(sent)), drop(*a))
+        return sent
+
+    def materialise(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        return write(df, label)
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(compression, "materialise", materialise)
+    monkeypatch.setattr(compression.trie_scores, "__defaults__", (300,))
+    rng = random.Random(2)
+    assert compression.score_documents(docs_of(spark, [(k, sentence(rng, 30)) for k in range(12)])).count() == 12
+    # One Python step in a plan, however many blocks.
+    assert len(most) > 3 and max(most) == 1 and max(plans) == 1
