@@ -63,3 +63,12 @@ def test_empty(spark, none, tmp_path):
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).collect() == []
     assert docs_of(spark, []).count() == 0
+
+
+def test_language_stage_keeps_texts_without_labels(spark):
+    rows = [(1, "words without a label"), (2, "mots sans langue"), (3, "12 34"), (4, None), (5, "")]
+    kept = pipeline.language_id(spark, docs_of(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2]
+    # A label may have any name.
+    rows = [(k, sentence(__import__("random").Random(k), 9), "und") for k in range(9)]
+    assert pipeline.language_id(spark, docs_of(spark, rows), "").count() == 9
