@@ -66,8 +66,62 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id))
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string of ASCII letters and digits."""
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z : xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda s : CAST(ascii(s) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b : {byte}), 4294967295)"
+
+
+def _level(name: str, below: str) -> str:
+    """Runs of 16 nodes of the level below; a key of one node stays as it is."""
+    return f"""{name} AS (
+  SELECT key, pos // 16 AS pos, max(n) = 1 AS one, list(h ORDER BY pos) AS hs,
+         CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h
+  FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM {below}) GROUP BY 1, 2)"""
+
+
+def _fold(name: str, below: str, level: str) -> str:
+    """Rows of the level below one step nearer to the root."""
+    return f"""{name} AS (
+  SELECT f.* EXCLUDE (pos, h, proof), f.pos // 16 AS pos,
+         CASE WHEN one THEN f.h ELSE sha256(array_to_string(hs[1 : f.pos % 16], '') || f.h || array_to_string(hs[f.pos % 16 + 2 : 16], '')) END AS h,
+         proof || array_to_string(hs[1 : f.pos % 16], '') || array_to_string(hs[f.pos % 16 + 2 : 16], '') AS proof
+  FROM {below} f JOIN {level} r ON f.key = r.key AND f.pos // 16 = r.pos)"""
+
+
+# Six levels hold 16 ** 6 rows of a source, four 65,536 sources.
+_DEEP, _WIDE = 6, 4
+_FIELDS = " || ".join(
+    f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars")
+)
+_MANIFEST = f"""
+WITH rows_of AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS key, {_FIELDS} AS head, text,
+         CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0
+              THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS later
+  FROM documents),
+leaves AS (
+  SELECT doc_id, key, sha256(head || coalesce(CAST(strlen(text) AS VARCHAR) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(CAST(strlen(later) AS VARCHAR) || ':' || later, '-')) AS used FROM rows_of),
+s0 AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+{", ".join(_level(f"s{k + 1}", f"s{k}") for k in range(_DEEP))},
+t0 AS (SELECT key AS source_key, 0 AS key, h, row_number() OVER (ORDER BY key) - 1 AS pos FROM s{_DEEP}),
+{", ".join(_level(f"t{k + 1}", f"t{k}") for k in range(_WIDE))},
+f0 AS (SELECT doc_id, key, leaf, pos, used AS h, '' AS proof FROM s0),
+{", ".join(_fold(f"f{k + 1}", f"f{k}", f"s{k + 1}") for k in range(_DEEP))},
+g0 AS (
+  SELECT f.doc_id, f.leaf, t.h AS subroot, t.key, t.pos, f.h, f.proof FROM f{_DEEP} f JOIN t0 t ON t.source_key = f.key),
+{", ".join(_fold(f"g{k + 1}", f"g{k}", f"t{k + 1}") for k in range(_WIDE))}
+SELECT doc_id, leaf, subroot, (SELECT h FROM t{_WIDE}) AS root, sha256(proof) AS proof_sha256, h AS folded_root,
+       h = (SELECT h FROM t{_WIDE}) AS verified
+FROM g{_WIDE}
+"""
+
 ORACLES: dict[str, str] = {
     "op3_near_duplicates": _NEAR_DUPLICATES,
     "op6_line_dedup": _LINE_DEDUP,
     "op7_decontamination": _DECONTAMINATION,
+    "op12_manifest": _MANIFEST,
 }
