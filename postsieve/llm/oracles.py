@@ -119,9 +119,27 @@ SELECT doc_id, leaf, subroot, (SELECT h FROM t{_WIDE}) AS root, sha256(proof) AS
 FROM g{_WIDE}
 """
 
+_GRID_JOIN = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x : x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x : x <> 0)) > 0),
+links AS (
+  SELECT a.r AS x, b.r AS y, b.vec_id AS id FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+least AS (SELECT x AS r, min(vec_id) AS m FROM reach JOIN v ON v.r = y GROUP BY x),
+counts AS (SELECT x AS r, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+       vec_id <= coalesce(m, vec_id) AS kept
+FROM v LEFT JOIN counts USING (r) LEFT JOIN least USING (r)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_near_duplicates": _NEAR_DUPLICATES,
     "op6_line_dedup": _LINE_DEDUP,
     "op7_decontamination": _DECONTAMINATION,
     "op12_manifest": _MANIFEST,
+    "op13_grid_join": _GRID_JOIN,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import arrays, compression, decontamination, language, licences, lines, manifest, near_duplicates, packing, passages, private, quality, sharding
+from postsieve.llm import arrays, compression, decontamination, grid_join, language, licences, lines, manifest, near_duplicates, packing, passages, private, quality, sharding
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -90,6 +90,10 @@ def op12_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.tampered_manifest(_docs(spark, sf))
 
 
+def op13_grid_join(spark: SparkSession, sf: str) -> DataFrame:
+    return grid_join.near_vectors(_table(spark, sf, "embeddings"))
+
+
 QUERIES = [
     op1_licences,
     op2_packing,
@@ -103,6 +107,7 @@ QUERIES = [
     op9_language,
     op10_code_length,
     op12_manifest,
+    op13_grid_join,
 ]
 
 
