@@ -74,6 +74,78 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b : {byte}), 4294967295)"
 
 
+def _then(way: str, cost: str, edit: str) -> str:
+    """A way, written as its cost in seven digits and its audit, with one more edit; ``~`` is none."""
+    return f"CASE WHEN {way} = '~' THEN '~' ELSE lpad(CAST(CAST({way}[1:7] AS INT) + {cost} AS VARCHAR), 7, '0') || {way}[8:] || '{edit}' END"
+
+
+def _inserted(ways: str) -> str:
+    """Ways with inserts before the next row; at most a user's and an assistant's turn pay."""
+    user = f"least(s2, {_then('s0', '2', 'I')}, {_then('s1', '2', 'I')}, {_then('s3', '2', 'I')})"
+    return f"(SELECT *, least(s3, {_then('u', '2', 'I')}) AS a FROM (SELECT *, {user} AS u FROM {ways}))"
+
+
+def _met(initial: str, ways: str) -> str:
+    """The next row kept, where it has the initial, or reroled."""
+    either = [_then(w, "2 + t", "R") for w in ways.split()] + [
+        f"CASE WHEN initial = '{initial}' THEN {_then(w, 't', 'K')} ELSE '~' END" for w in ways.split()
+    ]
+    return f"CASE WHEN gone THEN '~' ELSE least({', '.join(either)}) END"
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_KEY = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+_CONVERSATIONS = rf"""
+WITH RECURSIVE kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32(_KEY)} % 20 AS k FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE k <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+         rtrim(text, {_BLANKS}) AS line, role[1:1] AS initial
+  FROM damaged),
+marked AS (
+  SELECT *, line = '' AS blank, line <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS duplicate,
+         coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM placed),
+coded AS (
+  SELECT *, blank OR duplicate AS gone, NOT blank AND NOT duplicate AND right(line, 1) NOT IN ('.', '!', '?') AS truncated,
+         CAST(NOT blank AND NOT duplicate AND right(line, 1) NOT IN ('.', '!', '?') AS INT) AS t
+  FROM marked),
+totals AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM coded GROUP BY conv_id),
+ways AS (
+  SELECT conv_id, n, CAST(0 AS BIGINT) AS pos, '0000000' AS s0, '~' AS s1, '~' AS s2, '~' AS s3 FROM totals
+  UNION ALL
+  SELECT w.conv_id, w.n, r.pos, {_then("s0", "3", "D")},
+         least({_then("s1", "3", "D")}, CASE WHEN gone OR initial <> 's' THEN '~' ELSE {_then("s0", "t", "K")} END),
+         least({_then("u", "3", "D")}, {_met("u", "s0 s1 a")}), least({_then("a", "3", "D")}, {_met("a", "u")})
+  FROM {_inserted("ways")} w JOIN coded r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.pos = w.pos + 1),
+best AS (SELECT conv_id, least(s0, a) AS way FROM {_inserted("ways")} WHERE pos = n),
+edits AS (SELECT conv_id, way[8:] AS audit, unnest(range(8, len(way) + 1)) AS i, way[i : i] AS edit FROM best),
+steps AS (
+  SELECT conv_id, i, edit, count(*) FILTER (edit <> 'I') OVER w AS pos, count(*) FILTER (edit <> 'D') OVER w - 1 AS place
+  FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+turns AS (
+  SELECT s.conv_id, i, place, edit, CASE WHEN edit = 'I' THEN '' ELSE text END AS text, role,
+         max(CAST(edit = 'K' AND place = 0 AND initial = 's' AS INT)) OVER (PARTITION BY s.conv_id) AS led
+  FROM steps s LEFT JOIN coded r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.pos = s.pos WHERE edit <> 'D'),
+texts AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS text
+  FROM turns GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(way[1:7] AS BIGINT), 0) AS cost,
+       coalesce(way[8:], '') AS audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN totals ON totals.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def _level(name: str, below: str) -> str:
     """Runs of 16 nodes of the level below; a key of one node stays as it is."""
     return f"""{name} AS (
@@ -140,6 +212,7 @@ ORACLES: dict[str, str] = {
     "op3_near_duplicates": _NEAR_DUPLICATES,
     "op6_line_dedup": _LINE_DEDUP,
     "op7_decontamination": _DECONTAMINATION,
+    "op11_conversations": _CONVERSATIONS,
     "op12_manifest": _MANIFEST,
     "op13_grid_join": _GRID_JOIN,
 }

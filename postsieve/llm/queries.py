@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import arrays, compression, decontamination, grid_join, language, licences, lines, manifest, near_duplicates, packing, passages, private, quality, sharding
+from postsieve.llm import arrays, compression, conversations, decontamination, grid_join, language, licences, lines, manifest, near_duplicates, packing, passages, private, quality, sharding
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -86,6 +86,10 @@ def op10_code_length(spark: SparkSession, sf: str) -> DataFrame:
     return compression.score_documents(_docs(spark, sf))
 
 
+def op11_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.repair_damaged(_table(spark, sf, "conversations"))
+
+
 def op12_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.tampered_manifest(_docs(spark, sf))
 
@@ -106,6 +110,7 @@ QUERIES = [
     op8_decision_list,
     op9_language,
     op10_code_length,
+    op11_conversations,
     op12_manifest,
     op13_grid_join,
 ]
