@@ -7,10 +7,12 @@ with similarity 0.75 meets in no table with a chance of about 2 in 10,000, one o
 1. Documents of equal sets are one node. Sub-signatures that only one node has cannot meet another and are dropped;
    table keys are formed from the rest, so most documents bring no key at all.
 2. In each bucket all nodes are compared with the least one. Confirmed links give components.
-3. Buckets that still hold several components compare the nodes outside the largest one with all others there, across
-   components only, each pair in the first bucket it shares. Buckets with many such nodes, where a passage that many
-   share has brought them together, leave this to an exact join instead: a pair that is similar enough shares one of
-   its rarest shingles.
+3. Rounds of hubs: where a bucket still holds several components, the nodes outside the largest are compared with one node
+   of it, drawn anew for each bucket and round. A node's first link puts it into the component. Rounds go on while each
+   settles a tenth of what it found, so that their pairs stay in proportion to the rows of the buckets.
+4. What is left outside is joined with all nodes of such buckets by the rarest shingles of their full sets: a pair that is
+   similar enough shares one of its first, and from there on has enough left on both sides. Passages that many texts share
+   come last in this order, and texts that have little more in common form no pair at all.
 
 Before full sets are compared, sketches of one bit from each of 2,048 further minhashes rule most pairs out. A pair at
 the threshold agrees in 7/8 of the bits; one in 100,000 such pairs agrees in fewer than the number asked for.
@@ -20,7 +22,7 @@ No step emits all pairs of a group: inside a component nothing is compared again
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,9 @@ SIDES = 11
 # Bits of a sketch in 64-bit words, and how many must agree: 4.2 standard deviations below what the threshold gives.
 SKETCH = 32
 AGREE = 1729
-# Nodes outside a bucket's largest component from which on the bucket goes through the exact join.
-CROWDED = 1000
-_FEATURES = "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, sig array<bigint>, sketch array<bigint>"
+# Another round of hubs follows one that settled at least so many percent of the rows outside the largest components.
+SETTLED = 10
+_FEATURES = "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, sig array<bigint>"
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -94,17 +96,26 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in arrays.pieces(batch, "text"):
             values, bounds, some, digest = _sets(data, offsets)
             sig: list[np.ndarray | None] = [None] * rows.num_rows
-            sketch = list(sig)
             if len(some):
-                own = np.append(bounds[some], bounds[-1])
-                for k, s, b in zip(some.tolist(), signatures(values, own), sketches(values, own), strict=True):
-                    sig[k], sketch[k] = s, b
+                for k, s in zip(some.tolist(), signatures(values, np.append(bounds[some], bounds[-1])), strict=True):
+                    sig[k] = s
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns[:2], pa.array(np.diff(bounds)), pa.array(digest, pa.binary()), *[pa.array(x, pa.list_(pa.int64())) for x in (sig, sketch)]],
-                ["doc_id", "text_key", "n_shingles", "digest", "sig", "sketch"],
+                [*rows.columns[:2], pa.array(np.diff(bounds)), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n_shingles", "digest", "sig"],
             )
 
 
+def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, data, offsets in arrays.pieces(batch, "text"):
+            values, bounds, some, digest = _sets(data, offsets)
+            if len(some):
+                found = list(sketches(values, np.append(bounds[some], bounds[-1])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([digest[k] for k in some.tolist()], pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["digest", "sketch"]
+                )
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, data, offsets in arrays.pieces(batch, "text"):
@@ -121,17 +132,6 @@ def _agree(a: str, b: str) -> Column:
     return differ <= 64 * SKETCH - AGREE
 
 
-def _sketch_columns(prefix: str) -> list[Column]:
-    return [F.col("sketch")[k].alias(f"{prefix}{k}") for k in range(SKETCH)]
-
-
-def _no_earlier(a: str, b: str, place: str, low: int) -> Column:
-    """Whether no entry of one side before ``place`` is equal, so that this is the first bucket a pair shares."""
-    out = F.lit(True)
-    for k in range(low, low + SIDES - 1):
-        out = out & ~((F.col(place) > k) & (F.col(f"{a}{k}") == F.col(f"{b}{k}")))
-    return out
-
 
 def _near_sizes(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
@@ -145,115 +145,131 @@ class _Corpus:
         self.docs = docs
         self.rows = materialise(docs.mapInArrow(_features, _FEATURES), "features")
         nodes = self.rows.filter("digest is not null").groupBy("digest").agg(
-            F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")
+            F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
         )
         self.nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def keys(self) -> DataFrame:
-        """``(key, node, ka, kb)``: table keys of the sub-signatures that a node shares with another, and their places."""
+        """``(key, node)``: the table keys of the sub-signatures that a node shares with another."""
         parts = self.nodes.select("node", F.posexplode("sig").alias("k", "v"))
         shared = parts.groupBy("k", "v").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
         shared = materialise(shared.select("k", "v"), "shared")
         held = parts.join(shared, ["k", "v"]).groupBy("node").agg(F.collect_list(F.struct("k", "v")).alias("s"))
         side = lambda low: F.filter("s", lambda x: (x["k"] < SIDES) if low else (x["k"] >= SIDES))
-        entry = lambda a, b: F.struct(F.xxhash64(a["k"], b["k"], a["v"], b["v"]).alias("key"), a["k"].alias("ka"), b["k"].alias("kb"))
-        pairs = lambda a: F.transform(side(False), lambda b: entry(a, b))
-        return materialise(held.select("node", F.explode(F.flatten(F.transform(side(True), pairs))).alias("e")).select("node", "e.*"), "keys")
+        pairs = lambda a: F.transform(side(False), lambda b: F.xxhash64(a["k"], b["k"], a["v"], b["v"]))
+        keys = held.select("node", F.explode(F.flatten(F.transform(side(True), pairs))).alias("key"))
+        keys = materialise(keys, "keys")
+        met = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+        return materialise(keys.join(met.select("key"), "key"), "met")
+
+    def texts_of(self, wanted: DataFrame, run: Callable, result: str) -> DataFrame:
+        """Rows ``(digest, ...)`` that ``run`` makes of the whole texts of the wanted nodes, with the node."""
+        digests = self.nodes.join(wanted, "node").select("node", "digest", "first_id")
+        ids = digests.select(F.col("first_id").alias("doc_id")).distinct()
+        texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+        found = texts.select("text").mapInArrow(run, result)
+        return found.join(digests.select("node", "digest"), "digest").drop("digest")
 
-    def star_pairs(self, keys: DataFrame) -> DataFrame:
-        least = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
-        least = materialise(least.select("key", "hub"), "hubs")
-        pairs = keys.join(least, "key").filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
-        return pairs.distinct()
+    def sketch(self, keys: DataFrame) -> None:
+        """Sketches of the nodes that meet others."""
+        found = self.texts_of(keys.select("node").distinct(), _sketch_rows, "digest binary, sketch array<bigint>")
+        found = found.dropDuplicates(["node"]).join(self.nodes.select("node", "n"), "node")
+        self.sketched = materialise(found.select("node", "n", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]), "sketches")
 
     def agreeing(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and sketches do not rule them out."""
-        side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), *_sketch_columns(f"s{c}"))
-        held = materialise(pairs, "pairs").join(side("u"), "u").join(side("v"), "v")
+        words = lambda c: [F.col(f"s{k}").alias(f"s{c}{k}") for k in range(SKETCH)]
+        side = lambda c: self.sketched.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), *words(c))
+        held = pairs.join(side("u"), "u").join(side("v"), "v")
         return held.filter(_near_sizes(F.col("nu"), F.col("nv")) & _agree("su", "sv")).select("u", "v", "nu", "nv")
 
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """``(node, shingles)`` of the wanted nodes, from the whole text of a document that has them."""
-        digests = self.nodes.join(wanted, "node").select("node", "digest", "first_id")
-        ids = digests.select(F.col("first_id").alias("doc_id")).distinct()
-        texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-        found = texts.select("text").mapInArrow(_full_sets, "digest binary, shingles array<bigint>")
-        return found.join(digests.select("node", "digest"), "digest").select("node", "shingles")
-
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The agreeing pairs whose full sets are similar enough."""
         pairs = materialise(pairs, "candidates")
         wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        sets = materialise(self.sets(wanted), "sets")
+        sets = materialise(self.texts_of(wanted, _full_sets, "digest binary, shingles array<bigint>"), "sets")
         side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
         both = F.size(F.array_intersect("su", "sv"))
         held = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("both", both)
-        return materialise(
-            held.filter(F.col("both") * 100 >= SIMILAR * (F.col("nu") + F.col("nv") - F.col("both"))).select("u", "v"), "links"
-        )
+        held = held.filter(F.col("both") * 100 >= SIMILAR * (F.col("nu") + F.col("nv") - F.col("both")))
+        return materialise(held.select("u", "v"), "links")
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """The links among some pairs of nodes."""
+        return self.confirmed(self.agreeing(pairs))
 
-    def split_buckets(self, keys: DataFrame, links: DataFrame) -> DataFrame:
-        """Rows of the buckets that hold several components, with the component that most of a bucket's nodes have."""
-        parts = components(links)
-        rows = keys.join(parts, "node", "left").select("key", "node", "ka", "kb", F.coalesce("component", "node").alias("component"))
+    def open_buckets(self, rows: DataFrame, links: DataFrame) -> DataFrame:
+        """Rows ``(key, node, component)`` of the buckets that still hold several components after some more links.
+
+        ``lead`` is the component that most nodes of a bucket have, ``rest`` the number of its other nodes, ``n`` of all.
+        """
+        place = rows.select("node", "component").distinct()
+        ends = links.join(place.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u")
+        ends = ends.join(place.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v")
+        merged = components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).withColumnRenamed("component", "whole")
+        rows = rows.select("key", "node", "component").join(merged, F.col("component") == merged["node"], "left").select(
+            "key", rows["node"], F.coalesce("whole", "component").alias("component")
+        )
         rows = materialise(rows, "placed")
         sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         lead = sizes.groupBy("key").agg(
             F.max_by("component", F.struct("n", "component")).alias("lead"),
             (F.sum("n") - F.max("n")).alias("rest"),
+            F.sum("n").alias("n"),
             F.count(F.lit(1)).alias("parts"),
         )
         return materialise(rows.join(materialise(lead.filter("parts > 1").drop("parts"), "lead"), "key"), "open")
 
-    def cross_pairs(self, rows: DataFrame, first_only: bool) -> DataFrame:
-        """Agreeing pairs across components: nodes outside the lead with all nodes of the bucket.
+    def hub_pairs(self, rows: DataFrame, turn: int) -> DataFrame:
+        """The nodes outside the lead of each bucket with one node of the lead, drawn by hash for this turn and bucket."""
+        hubs = rows.filter("component = lead").groupBy("key").agg(F.min_by("node", F.xxhash64(F.lit(turn), "key", "node")).alias("hub"))
+        pairs = rows.filter("component <> lead").join(materialise(hubs, "hubs"), "key")
+        return pairs.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
 
-        With ``first_only`` a pair is formed in the first of its common buckets alone.
-        """
-        marks = [F.col("sig")[k].bitwiseAND(0x7FFFFFFF).cast("int").alias(f"m{k}") for k in range(2 * SIDES)] if first_only else []
-        facts = self.nodes.select("node", "n", *_sketch_columns("s"), *marks)
-        rows = materialise(rows.join(facts, "node"), "sides")
-        a, b = rows.filter("component <> lead").alias("a"), rows.alias("b")
-        across = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component"))
-        once = (F.col("b.component") == F.col("b.lead")) | (F.col("a.node") < F.col("b.node"))
-        near = _near_sizes(F.col("a.n"), F.col("b.n")) & _agree("a.s", "b.s")
-        if first_only:
-            near = near & _no_earlier("a.m", "b.m", "a.ka", 0) & _no_earlier("a.m", "b.m", "a.kb", SIDES)
-        x, y = F.struct("a.node", "a.n").alias("x"), F.struct("b.node", "b.n").alias("y")
-        pairs = a.join(b, across & once & near).select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
-        return pairs.select(
-            F.col("u.node").alias("u"), F.col("v.node").alias("v"), F.col("u.n").alias("nu"), F.col("v.n").alias("nv")
-        ).distinct()
-
-    def rare_buckets(self, rows: DataFrame) -> DataFrame:
-        """The nodes of crowded buckets anew, by the shingles of which a similar pair must share one.
-
-        With shingles in order of rarity among these nodes, two sets of which the larger has n, and that share 75 % of
-        their union, share one of the first n - ceil(0.75 n) + 1.
+    def rest_pairs(self, rows: DataFrame) -> DataFrame:
+        """Pairs of nodes of the open buckets, at least one outside a lead, that may be similar enough, by a prefix join.
+
+        With shingles in order of rarity among these nodes, a set of n can only share 75 % of the union with another if they
+        share one of its first n - ceil(0.75 n) + 1. From the places of a shared one on, enough must be left on both sides.
         """
-        nodes = rows.groupBy("node").agg(F.first("component").alias("component"))
-        nodes = materialise(nodes, "crowd")
-        tokens = materialise(self.sets(nodes.select("node")).select("node", F.explode("shingles").alias("t")).distinct(), "tokens")
-        often = materialise(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")), "often")
-        ranked = tokens.join(often, "t").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+        place = rows.groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("lead")).alias("outside"))
+        place = materialise(place, "crowd")
+        tokens = self.texts_of(place.select("node"), _full_sets, "digest binary, shingles array<bigint>")
+        tokens = materialise(tokens.select("node", F.explode("shingles").alias("t")).distinct(), "tokens")
+        often = materialise(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "often")
+        counted = tokens.join(often, "t", "left").select("node", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "t").alias("x"))
+        ranked = counted.groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("s"))
         n = F.size("s")
         prefix = F.slice("s", 1, (n - F.ceil(n * SIMILAR / 100) + 1).cast("int"))
-        first = ranked.select("node", F.explode(F.transform(F.filter(prefix, lambda x: x["df"] > 1), lambda x: x["t"])).alias("key"))
-        rows = materialise(first.join(nodes, "node"), "rare")
-        sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        lead = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("lead"), F.count(F.lit(1)).alias("m"))
-        return rows.join(materialise(lead.filter("m > 1").select("key", "lead"), "lead"), "key")
+        held = F.filter(F.transform(prefix, lambda x, i: F.struct(x["df"].alias("df"), x["t"].alias("t"), i.alias("i"))), lambda x: x["df"] > 1)
+        first = ranked.select("node", n.alias("n"), F.explode(held).alias("x")).select("node", "n", "x.t", "x.i")
+        first = materialise(first.join(place, "node"), "prefixes")
+        a, b = first.filter("outside").alias("a"), first.alias("b")
+        once = ~F.col("b.outside") | (F.col("a.node") < F.col("b.node"))
+        left = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+        enough = (100 + SIMILAR) * left >= SIMILAR * (F.col("a.n") + F.col("b.n"))
+        across = (F.col("a.t") == F.col("b.t")) & (F.col("a.component") != F.col("b.component"))
+        pairs = a.join(b, across & once & _near_sizes(F.col("a.n"), F.col("b.n")) & enough)
+        return pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
     def links(self) -> DataFrame:
         keys = self.keys()
-        stars = self.confirmed(self.agreeing(self.star_pairs(keys)))
-        rows = self.split_buckets(keys, stars)
-        # Where some of a pair's buckets are crowded and left out, its first may be among them; the exact join has it then.
-        pairs = self.cross_pairs(rows.filter(F.col("rest") <= CROWDED).drop("rest"), True)
-        crowded = rows.filter(F.col("rest") > CROWDED)
-        if not crowded.isEmpty():
-            pairs = pairs.unionByName(self.cross_pairs(self.rare_buckets(crowded), False)).distinct()
-        return stars.unionByName(self.confirmed(pairs))
+        self.sketch(keys)
+        rows = keys.withColumn("component", F.col("node"))
+        found = tried = rows.select(F.col("node").alias("u"), F.col("node").alias("v")).filter(F.lit(False))
+        rows, turn, settled = self.open_buckets(rows, found), 0, True
+        outside = rows.filter("component <> lead").count()
+        while outside and settled:
+            pairs = materialise(self.hub_pairs(rows, turn).join(tried, ["u", "v"], "left_anti"), "pairs")
+            new = self.compared(pairs)
+            found, tried = found.unionByName(new), tried.unionByName(pairs)
+            rows, turn, before = self.open_buckets(rows, new), turn + 1, outside
+            outside = rows.filter("component <> lead").count()
+            settled = 100 * (before - outside) >= SETTLED * before
+        if outside:
+            pairs = materialise(self.rest_pairs(rows).join(tried, ["u", "v"], "left_anti"), "pairs")
+            found = found.unionByName(self.compared(pairs))
+        return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

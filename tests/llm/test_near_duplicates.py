@@ -52,12 +52,44 @@ def test_chains_and_passages(spark):
     check(docs_of(spark, rows), rows)
 
 
-def test_crowded_buckets_go_through_the_exact_join(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "CROWDED", 0)
+def test_what_no_hub_settles_goes_through_the_exact_join(spark, monkeypatch):
+    """No link by hubs at all: the prefix join finds every one."""
     rows = _chains_and_passages()[:60]
+    nothing = lambda self, rows, turn: rows.select(F.col("node").alias("u"), F.col("node").alias("v")).filter(F.lit(False))
+    monkeypatch.setattr(near_duplicates._Corpus, "hub_pairs", nothing)
     check(docs_of(spark, rows), rows)
 
 
+def _near_copies(rng, n):
+    """One text of 120 words with two words exchanged in each copy; most pairs of copies are links, many are just not."""
+    text, rows = sentence(rng, 120).split(" "), []
+    for k in range(n):
+        words = list(text)
+        for _ in range(2):
+            words[rng.randrange(len(words))] = sentence(rng, 1)
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_a_group_of_near_copies(spark):
+    rows = _near_copies(random.Random(9), 150)
+    check(docs_of(spark, rows), rows)
+
+
+def test_pairs_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    compared, counts = near_duplicates._Corpus.compared, []
+
+    def counting(self, pairs):
+        counts[-1] += pairs.count()
+        return compared(self, pairs)
+
+    monkeypatch.setattr(near_duplicates._Corpus, "compared", counting)
+    for n in (400, 1600):
+        counts.append(0)
+        near_duplicates.near_duplicates(docs_of(spark, _near_copies(random.Random(9), n))).count()
+    assert 0 < counts[1] <= 5 * counts[0], counts
+
+
 def test_one_row_of_each_group_stays(odd, odd_rows):
     kept = near_duplicates.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
