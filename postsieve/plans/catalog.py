@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from postsieve.functions.text import encode_component
 from postsieve.functions.urls import host_of
 from postsieve.operators import capture, dedup, details, links, platforms, replies, scoring, state, stop, visits
-from postsieve.operators.keyed import last_per_key
+from postsieve.operators.keyed import last_per_key, number_rows
 from postsieve.plans import crawl, curate, run
 from postsieve.session import configure, materialise, new_dir
 from postsieve.sources import export, search_plan, store, tables
@@ -685,6 +685,20 @@ def stream_stop_rule(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def stream_late_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as numbered pages that arrive in any order, over three micro-batches."""
+    pages = number_rows(_event_pages(_table(spark, sf, "events")), ["user_id"], ["page_no"], "number")
+    pages = pages.select("user_id", F.col("number").alias("page_no"), "n_links", "n_new", F.timestamp_seconds("number").alias("captured_at"))
+    folder = new_dir(spark, "shuffled")
+    # Dealt out by hash, so that a keyword's pages are spread over all files.
+    pages.repartition(3, F.xxhash64("user_id", "page_no")).write.parquet(folder)
+    arriving = tables.stream_pages_source(spark, folder, pages.schema, max_files=1)
+    found = stream_stop.stream_ordered_stop_rule(arriving, ["user_id"], wait="3650 days")
+    out = new_dir(spark, "ordered")
+    stream_pages.append_to(found, out, f"{out}-state").awaitTermination()
+    return spark.read.parquet(out)
+
+
 def _posted(docs: DataFrame) -> DataFrame:
     texts = {c: F.lit("") for c in ("salary", "requirements", "location")}
     return docs.select(
@@ -830,6 +844,7 @@ QUERIES = [
     stream_capture,
     stream_dedup,
     stream_stop_rule,
+    stream_late_pages,
     stream_upsert,
     whole_run,
     two_writers,

@@ -459,6 +459,7 @@ WITH {_JOB_LINKS} SELECT page_id, platform, pos, url, CAST(NULL AS BIGINT) AS n_
 UNION ALL SELECT page_id, platform, NULL, NULL, length(text) FROM ({_DETAIL_TEXT})""",
     "stream_dedup": f"WITH {_LINKS} SELECT DISTINCT host, href AS url FROM links",
     "stream_stop_rule": f"WITH {_EVENT_RUNS} SELECT user_id, page_no, n_links, n_new, ordinal, consec FROM kept",
+    "stream_late_pages": f"WITH {_EVENT_RUNS} SELECT user_id, ordinal AS page_no, n_links, n_new, ordinal, consec FROM kept",
     "stream_upsert": _CUT,
     "toggle_platform": """
 SELECT page_id, CASE page_id % 4 WHEN 0 THEN '1,2' WHEN 1 THEN '0,2' WHEN 2 THEN '0,1' ELSE '0,1,2,3' END AS chosen FROM pages""",
