@@ -1,11 +1,14 @@
 """Links and labelled text of captured pages, platform by platform."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from postsieve.functions import dom
 from postsieve.operators import capture, links, platforms
+from postsieve.operators.details import DETAIL_RULES
 from postsieve.streaming.pages import append_to, stream_capture
 
 LINKEDIN = """
@@ -218,3 +221,46 @@ def test_seniority(spark):
     df = spark.createDataFrame(rows, "platform string, level string")
     got = {tuple(r) for r in platforms.seniority_filter(df).collect()}
     assert got == {("LinkedIn", "1"), ("Indeed", "9"), ("Boss直聘", "102")}
+
+
+def _random_page(rng, marks):
+    """Markup put together at random, plain and not."""
+    tags = ["div", "p", "span", "h1", "a", "b", "br", "main", "script", "style", "li", "IMG", "title", "template"]
+    values = [*marks, "x", "a b", "", "/company/x?a=1&amp;b=2", "a&#98;c"]
+
+    def attribute():
+        name = rng.choice(["class", "id", "href", "data-testid", "CLASS", "x-y", "data-jk"])
+        value = " ".join(rng.choices(values, k=rng.choice([1, 1, 2])))
+        return rng.choice([f' {name}="{value}"', f" {name}='{value}'", f" {name}", f" {name} = {value.split(' ')[0] or 'v'}"])
+
+    odd = ["<", "< b", "</>", "<!-", "<!-- a <div> -->", "<!-->", "<!doctype html>", "<?php x ?>", "<![CDATA[x]]>", "&", "&am", '<a b="', "<p/ >", '<i a="1"b>', "</p x>", "<script/>"]
+    plain = ["text", " and\n more ", "&amp;", "&lt;b&gt;", "&nbsp;", "1 > 0", "é", "<!-- <p> -->", "</ul>"]
+    out = []
+    for _ in range(rng.randrange(1, 40)):
+        tag = rng.choice(tags)
+        kind = rng.random()
+        if kind < 0.45:
+            out.append(f"<{tag}{''.join(attribute() for _ in range(rng.randrange(3)))}{rng.choice(['', '', '', ' /'])}>")
+        elif kind < 0.75:
+            out.append(f"</{tag}{rng.choice(['', ' '])}>")
+        else:
+            out.append(rng.choice(plain if rng.random() < 0.97 else odd))
+    return "".join(out)
+
+
+def test_scanned_pages_give_what_the_parser_gives():
+    rng = random.Random(6)
+    plans = []
+    for rules in DETAIL_RULES.values():
+        marks = sorted(set().union(*(s.marks for p in rules.picks for s in p.any_of)))
+        plans.append((dom.Plan(rules.picks), marks))
+    anchors = (dom.Sel(tag="a", cls=("x",)), dom.Sel(tag="a", has="data-jk"), dom.Sel(tag="a", inside=dom.Sel(cls=("a",))))
+    plans.append((dom.Plan(anchors=anchors), ["x", "a"]))
+    scanned = 0
+    for k in range(6000):
+        plan, marks = plans[k % len(plans)]
+        page = _random_page(rng, marks)
+        got, want = dom._Finder(plan).run(page), dom._Finder(plan).parse(page)
+        assert (got.texts, got.targets) == (want.texts, want.targets), page
+        scanned += dom._Finder(plan)._scan(page)
+    assert 2000 < scanned < 5900
