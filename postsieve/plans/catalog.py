@@ -17,7 +17,7 @@ from postsieve.functions.text import encode_component
 from postsieve.functions.urls import host_of
 from postsieve.operators import capture, dedup, details, links, platforms, replies, scoring, state, stop, visits
 from postsieve.operators.keyed import last_per_key, number_rows
-from postsieve.plans import crawl, curate, run
+from postsieve.plans import crawl, curate, incremental, run
 from postsieve.session import configure, materialise, new_dir
 from postsieve.sources import export, search_plan, store, tables
 from postsieve.streaming import pages as stream_pages
@@ -332,6 +332,18 @@ def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("run_id", F.col("keyword_idx").alias("host"), F.col("page_no").alias("page_id"), "url", "seq")
 
 
+def incremental_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, from three batches: early keywords, late ones, and pages of two runs that come last."""
+    listing, path = _run_listing(spark, sf), new_dir(spark, "frontier")
+    late = F.col("run_id").isin("de", "es") & (F.col("page_no") % 7 == 3)
+    arrival = F.when(late, 2).when(F.col("keyword_idx") > "m", 1).otherwise(0)
+    incremental.init_frontier(listing, path)
+    for batch_id in range(3):
+        incremental.add_pages(listing.filter(arrival == batch_id), path, batch_id)
+    found = incremental.read_frontier(spark, path)
+    return found.select("run_id", F.col("keyword_idx").alias("host"), F.col("page_no").alias("page_id"), "url", "seq")
+
+
 def pending_queue(spark: SparkSession, sf: str) -> DataFrame:
     """Open orders pending, partly shipped ones found, shipped ones done."""
     orders = _table(spark, sf, "orders")
@@ -805,6 +817,7 @@ QUERIES = [
     resumed_keyword_stop,
     frontier,
     crawl_frontier,
+    incremental_frontier,
     pending_queue,
     drop_visited,
     visited_union,

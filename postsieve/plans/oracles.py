@@ -319,6 +319,7 @@ SELECT row_number() OVER (ORDER BY l.host, l.page_id, l.ord) AS seq, l.host, l.p
 FROM links l JOIN first_sight f ON l.host = f.host AND l.href = f.href AND l.page_id = f.page_id
 JOIN kept k ON l.host = k.host AND l.page_id = k.page_id""",
     "crawl_frontier": _CRAWL,
+    "incremental_frontier": _CRAWL,
     "pending_queue": """
 WITH o AS (SELECT o_custkey AS run_id, o_orderkey AS seq, 'u' || o_custkey || '-' || o_orderpriority AS url, o_orderstatus AS s
            FROM orders),
