@@ -49,6 +49,34 @@ def score_batch(prompts: DataFrame, scorer: Scorer) -> DataFrame:
     return prompts.mapInArrow(run, schema)
 
 
+def try_batch(prompts: DataFrame, scorer: Scorer) -> DataFrame:
+    """Add ``reply`` and ``error``, as :func:`score_batch` does, but for scorers that may fail.
+
+    A scorer that raises fails for all rows of its batch; one that returns an exception or nothing in place of a reply
+    fails for that row. Nothing is tried again here; see :func:`plans.curate.score_with_retries`.
+    """
+    schema = T.StructType([*prompts.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
+
+    def one(reply: object) -> tuple[str | None, str | None]:
+        if isinstance(reply, BaseException):
+            return None, f"{type(reply).__name__}: {reply}"
+        return (reply, None) if isinstance(reply, str) else (None, "no reply")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            try:
+                found = list(scorer(batch.to_pandas()))
+            except Exception as failure:
+                found = [failure] * batch.num_rows
+            if len(found) != batch.num_rows:
+                raise ValueError(f"the scorer gave {len(found)} replies to {batch.num_rows} rows")
+            answers = [one(reply) for reply in found]
+            columns = [pa.array([a[k] for a in answers], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "reply", "error"])
+
+    return prompts.mapInArrow(run, schema)
+
+
 def score_from_table(
     details: DataFrame, replies: DataFrame, keys: list[str] = ["url"], order: str = "reply_seq"
 ) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from postsieve.functions.text import encode_component
 from postsieve.functions.urls import host_of
+from postsieve.operators import attempts as calls
 from postsieve.operators import capture, dedup, details, links, platforms, replies, scoring, state, stop, visits
 from postsieve.operators.keyed import last_per_key, number_rows
 from postsieve.plans import crawl, curate, incremental, run
@@ -440,6 +441,26 @@ def scored_until_target(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("run_id", (F.col("seq") - 1).alias("seq"), "title", "job_url")
 
 
+def _attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as attempts at a call per user, most of them failures."""
+    error = F.when(F.col("event_type") != "purchase", F.col("event_type"))
+    reply = F.when(F.col("event_type") == "purchase", F.col("event_id").cast("string"))
+    return _table(spark, sf, "events").select("user_id", "event_id", F.col("ts").alias("at"), reply.alias("reply"), error.alias("error"))
+
+
+def attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """How each call stands at the end, with waits of 1, 2 and 4 days."""
+    found = calls.call_states(_attempts(spark, sf), ["user_id"], ["at", "event_id"], first_wait=86_400)
+    return found.withColumn("attempts", _n("attempts"))
+
+
+def due_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """A call per customer, those due on the third of January; customers beyond the users were never called."""
+    customers = _table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    found = calls.due_calls(customers, _attempts(spark, sf), dt.datetime(2024, 1, 3), ["user_id"], order=["at", "event_id"], first_wait=21_600)
+    return found.select("user_id", _n("attempt"))
+
+
 def reply_content(spark: SparkSession, sf: str) -> DataFrame:
     message = F.struct(F.struct(F.col("text").alias("content")).alias("message"))
     body = F.when(F.col("lang") == "es", "busy").otherwise(F.to_json(F.struct(F.array(message).alias("choices"))))
@@ -828,6 +849,8 @@ QUERIES = [
     prompt,
     score_batch,
     scored_until_target,
+    attempts,
+    due_calls,
     reply_content,
     reply_validation,
     reply_postings,

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.operators.dedup import cut_at_target, dedup_title_company, drop_saved_keys
 from postsieve.operators.replies import parse_reply_strict, rejects, to_posting
-from postsieve.operators.scoring import Scorer, build_prompt, score_batch, score_from_table
+from postsieve.operators.attempts import FIRST_WAIT, MAX_ATTEMPTS, call_states, open_calls
+from postsieve.operators.scoring import Scorer, build_prompt, score_batch, score_from_table, try_batch
 from postsieve.operators.keyed import first_n_per_key, same_keys
 from postsieve.session import materialise
+from postsieve.sources.ledger import append_attempts, init_ledger, read_attempts
 from postsieve.sources.store import append_batch, init_store, read_keys
 
 
@@ -78,3 +83,45 @@ def score_in_waves(
         append_batch(select_new(to_posting(judged, "run_id", "seq"), keys, target), store, n, writer)
         rejects(judged).write.mode("overwrite").parquet(f"{rejected.rstrip('/')}/writer={writer}/batch_id={n}")
         low, wave, n = high, wave * 2, n + 1
+
+
+def score_with_retries(
+    details: DataFrame,
+    scorer: Scorer,
+    ledger: str,
+    max_attempts: int = MAX_ATTEMPTS,
+    first_wait: float = FIRST_WAIT,
+    calls: int | None = None,
+    now: Callable[[], float] = time.time,
+    sleep: Callable[[float], None] = time.sleep,
+) -> DataFrame:
+    """Details with ``reply``, null where the scorer never answered, and ``attempts, gave_up, last_error``.
+
+    Calls are made in rounds: all that are due go to the scorer at once, dealt out by URL to ``calls`` tasks, and every
+    attempt is written to the ``ledger``. A failed call is due again after 1, 2 and 4 seconds and given up after
+    ``max_attempts``, so a round more is made at most for each. Rows carry ``attempt``, the number of the call, for the
+    scorer to see. Repeated URLs are called once. After a failure, or later on, call again: attempts in the ledger count,
+    answered calls are not made anew, and a round that was not written is made again. Feed the result to
+    :func:`replies.parse_reply_strict`; a call given up is a reject that stays replayable under a new ledger.
+    """
+    spark = details.sparkSession
+    init_ledger(spark, ledger)
+    calls = calls or spark.sparkContext.defaultParallelism
+    wanted = materialise(build_prompt(first_n_per_key(details, ["url"], ["text"], 1, "_n").drop("_n")).drop("text"), "calls")
+    limits = {"max_attempts": max_attempts, "first_wait": first_wait}
+    round_ = (read_attempts(spark, ledger).agg(F.max("round")).first()[0] or 0) + 1
+    while True:
+        waiting = materialise(open_calls(wanted, call_states(read_attempts(spark, ledger), **limits)), "waiting")
+        left, soonest = waiting.agg(F.count(F.lit(1)), F.min(F.coalesce(F.unix_micros("next_at"), F.lit(0)))).first()
+        if not left:
+            break
+        if soonest / 1e6 > now():
+            sleep(soonest / 1e6 - now())
+        due = waiting.filter(F.coalesce(F.unix_micros("next_at"), F.lit(0)) <= int(max(now() * 1e6, soonest)))
+        tried = materialise(try_batch(due.drop("next_at").repartition(calls, F.xxhash64("url")), scorer), "tried")
+        # The wait runs from when the calls of a round have ended.
+        at = F.lit(dt.datetime.fromtimestamp(now(), dt.timezone.utc)).cast("timestamp")
+        append_attempts(tried.withColumn("at", at), ledger, round_)
+        round_ += 1
+    states = call_states(read_attempts(spark, ledger), **limits).select("url", "reply", "attempts", "gave_up", "last_error")
+    return same_keys(details, states, ["url"])

@@ -47,6 +47,18 @@ counts AS (
   FROM events_n)
 """
 
+# Events as attempts: the last that counts of each user's, and how many count.
+_ATTEMPTS = """
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+         CASE WHEN event_type = 'purchase' THEN event_id END AS reply
+  FROM events WHERE ts <= {until}),
+counted AS (SELECT *, min(CASE WHEN reply IS NOT NULL THEN n END) OVER (PARTITION BY user_id) AS ok FROM n WHERE n <= 4),
+last AS (
+  SELECT *, n AS attempts FROM counted
+  QUALIFY n = coalesce(ok, max(n) OVER (PARTITION BY user_id)))
+"""
+
 
 def _runs(key: str, page: str) -> str:
     return f"""
@@ -346,6 +358,17 @@ WITH last AS (SELECT user_id, arg_max(event_type, event_id) AS t FROM events GRO
 SELECT event_id, user_id AS run_id, event_type FROM events
 WHERE user_id IN (SELECT user_id FROM last WHERE t NOT IN ('error', 'purchase', 'signup'))""",
     "attach_source": "SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "attempts": f"""
+WITH {_ATTEMPTS.format(until="TIMESTAMP '9999-01-01'")}
+SELECT user_id, attempts, ok IS NOT NULL AS answered, ok IS NULL AND attempts >= 4 AS gave_up, CAST(reply AS VARCHAR) AS reply,
+       CASE WHEN ok IS NULL THEN event_type END AS last_error, ts AS last_at,
+       CASE WHEN ok IS NULL AND attempts < 4 THEN ts + to_days(CAST(pow(2, attempts - 1) AS INT)) END AS next_at
+FROM last""",
+    "due_calls": f"""
+WITH {_ATTEMPTS.format(until="TIMESTAMP '2024-01-03'")}
+SELECT c_custkey AS user_id, coalesce(attempts, 0) + 1 AS attempt FROM customer LEFT JOIN last ON user_id = c_custkey
+WHERE user_id IS NULL
+   OR (ok IS NULL AND attempts < 4 AND ts + to_hours(CAST(6 * pow(2, attempts - 1) AS INT)) <= TIMESTAMP '2024-01-03')""",
     "prompt": f"SELECT doc_id, {_PROMPT} AS prompt FROM documents",
     "score_batch": f"SELECT doc_id, 'length ' || length({_PROMPT}) AS reply FROM documents",
     "scored_until_target": f"""
