@@ -129,12 +129,13 @@ def _kernel(own: np.ndarray, land: np.ndarray) -> np.ndarray:
 def labelled_sample(docs: DataFrame, lang: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """At most ``per_language`` texts of each language, cut to ``SAMPLE_CHARS``, drawn by hashes of doc_id and text."""
     held = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    held = held.select("doc_id", F.col(lang).alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    # Thinned by a hash first, to a few times what is wanted, so that what is sorted does not grow with the corpus.
-    sizes = docs.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
+    # Thinned by a hash first, to a few times what is wanted, so that what is sorted does not grow with the corpus. Only rows
+    # that may be drawn are counted: a label with few texts among many rows without any keeps them all.
+    sizes = held.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20)
+    held = held.select(share.alias("share"), F.col(lang).alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     cut = held.join(F.broadcast(sizes.orderBy(F.desc("n")).limit(MOST_LANGUAGES)), "lang")
-    cut = cut.filter(share * F.col("n") < 4 * per_language).select("lang", "text")
+    cut = cut.filter(F.col("share") * F.col("n") < 4 * per_language).select("lang", "text")
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     rows = cut.withColumn("k", F.row_number().over(by_hash)).filter(F.col("k") <= per_language)
     rows = rows.toArrow().to_pydict()

@@ -40,3 +40,11 @@ def test_kernel_is_presence_over_the_root_of_sizes():
     grams = [{t.encode()[k : k + n] for n in range(1, 5) for k in range(len(t.encode()) - n + 1)} for t in texts]
     assert [int(x) for x in own.sum(1)] == [len(g) for g in grams]
     assert int((own[0] & own[1]).sum()) == len(grams[0] & grams[1])
+
+
+def test_a_label_with_few_texts_among_many_rows_without_keeps_them_all(spark):
+    rows = [(k, f"mot {k}" if k % 1000 == 0 else None, "fr") for k in range(30_000)]
+    rows += [(None, f"rien {k}", "fr") for k in range(5)] + [(k, f"word {k}", "en") for k in range(30_000, 34_000)]
+    texts, langs = language.labelled_sample(docs_of(spark, rows), per_language=400)
+    assert collections.Counter(langs) == {"fr": 35, "en": 400}
+    assert {t for t, lang in zip(texts, langs, strict=True) if lang == "fr"} == {r[1] for r in rows if r[2] == "fr" and r[1]}
