@@ -18,11 +18,17 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop null texts and texts without a letter, which have no language, and no others, whatever could be learned."""
+    """Give documents without ``lang`` the predicted one, and drop null texts and texts without a letter, which have none.
+
+    Languages are learned from the labelled documents; where there are none, ``lang`` stays null and all texts with a
+    letter stay. A label that is there is kept, whatever the prediction.
+    """
     arrays.prepare(spark)
     classifier = language.Classifier(*language.labelled_sample(docs))
-    found = language.with_language(docs.select(*COLUMNS), classifier)
-    return found.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = language.with_language(docs.select(*COLUMNS), classifier).filter(F.col("text").rlike(r"\p{L}"))
+    if classifier.languages:
+        found = found.withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return found.select(*COLUMNS)
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
