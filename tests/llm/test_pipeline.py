@@ -72,3 +72,13 @@ def test_language_stage_keeps_texts_without_labels(spark):
     # A label may have any name.
     rows = [(k, sentence(__import__("random").Random(k), 9), "und") for k in range(9)]
     assert pipeline.language_id(spark, docs_of(spark, rows), "").count() == 9
+
+
+def test_language_stage_fills_in_what_it_predicts(spark):
+    rng = __import__("random").Random(2)
+    words = {"aa": ["aba", "bab", "abab"], "zz": ["zyz", "yzy", "zyzy"]}
+    text = lambda lang: " ".join(rng.choices(words[lang], k=20))
+    rows = [(k, text(lang), lang) for k, lang in enumerate(["aa", "zz"] * 20)]
+    rows += [(100, text("aa"), None), (101, text("zz"), None), (102, text("zz"), "aa")]
+    kept = {r.doc_id: r.lang for r in pipeline.language_id(spark, docs_of(spark, rows), "").collect()}
+    assert (kept[100], kept[101], kept[102]) == ("aa", "zz", "aa") and len(kept) == 43
