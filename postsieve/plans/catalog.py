@@ -20,7 +20,7 @@ from postsieve.operators import capture, dedup, details, links, platforms, repli
 from postsieve.operators.keyed import last_per_key, number_rows
 from postsieve.plans import crawl, curate, incremental, run
 from postsieve.session import configure, materialise, new_dir
-from postsieve.sources import export, search_plan, store, tables
+from postsieve.sources import current, export, search_plan, store, tables
 from postsieve.streaming import pages as stream_pages
 from postsieve.streaming import stop as stream_stop
 from postsieve.streaming import store as stream_store
@@ -571,6 +571,16 @@ def upsert(spark: SparkSession, sf: str) -> DataFrame:
     return store.upsert_postings(events.filter(~batch), events.filter(batch), "user_id", ("event_id",))
 
 
+def bucket_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in three batches over buckets by user, of which the last two rewrite some."""
+    events, path = _table(spark, sf, "events").select("event_id", "user_id", "event_type", "value"), new_dir(spark, "current")
+    current.init_current(events, path, "user_id", 16)
+    arrival = F.when(F.col("event_type") != "purchase", 0).when(F.col("user_id") % 3 == 0, 1).otherwise(2)
+    for batch_id in range(3):
+        current.upsert_batch(events.filter(arrival == batch_id), path, batch_id, ["event_id"])
+    return current.read_current(spark, path)
+
+
 def clear_postings(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_dir(spark, "postings")
     store.append_batch(dedup.with_job_key(_postings(spark, sf)), folder, 0)
@@ -865,6 +875,7 @@ QUERIES = [
     curated_postings,
     next_batch,
     upsert,
+    bucket_upsert,
     clear_postings,
     stored_postings,
     count_postings,

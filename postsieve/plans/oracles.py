@@ -47,6 +47,11 @@ counts AS (
   FROM events_n)
 """
 
+_UPSERT = """
+WITH r AS (SELECT event_id, user_id, event_type, value,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'purchase' DESC, event_id DESC) AS n FROM events)
+SELECT event_id, user_id, event_type, value FROM r WHERE n = 1"""
+
 # Events as attempts: the last that counts of each user's, and how many count.
 _ATTEMPTS = """
 n AS (
@@ -434,10 +439,8 @@ fresh AS (SELECT run_id, seq, job_key FROM firsts f WHERE n = 1
           AND NOT EXISTS (SELECT 1 FROM saved s WHERE s.run_id = f.run_id AND s.job_key = f.job_key)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS place FROM fresh)
 SELECT run_id, seq, job_key FROM ranked LEFT JOIN done USING (run_id) WHERE place + coalesce(n, 0) <= 200""",
-    "upsert": """
-WITH r AS (SELECT event_id, user_id, event_type, value,
-  row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'purchase' DESC, event_id DESC) AS n FROM events)
-SELECT event_id, user_id, event_type, value FROM r WHERE n = 1""",
+    "upsert": _UPSERT,
+    "bucket_upsert": _UPSERT,
     "clear_postings": f"WITH {_POSTINGS} SELECT count(*) AS n_before, CAST(0 AS BIGINT) AS n_after FROM postings",
     "stored_postings": f"""
 WITH {_POSTINGS}
