@@ -17,9 +17,13 @@ def _field(name: str) -> Column:
     return F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+def _line() -> Column:
+    return F.concat_ws(",", *[_field(c) for c in CSV_COLUMNS])
+
+
 def csv_lines(postings: DataFrame) -> DataFrame:
     """``(job_url, line)``: every field quoted, quotes doubled, tags joined by ``"; "``."""
-    return postings.select("job_url", F.concat_ws(",", *[_field(c) for c in CSV_COLUMNS]).alias("line"))
+    return postings.select("job_url", _line().alias("line"))
 
 
 def export_name(at_ms: int | None = None) -> str:
@@ -35,23 +39,17 @@ def export_csv(postings: DataFrame, folder: str, at_ms: int | None = None) -> st
     """
     path = f"{folder.rstrip('/')}/{export_name(at_ms)}"
     spark = postings.sparkSession
-    lines = csv_lines(postings)
-    least = lines.agg(F.min(F.struct(F.col("job_url").isNotNull().alias("some"), "job_url", "line")).alias("f")).first()["f"]
-    if least is None:
-        # The writer needs some separator; splitting the header at its last letter gives one.
-        header = spark.createDataFrame([(HEADER[:-1],)], "value string")
-        header.coalesce(1).write.option("lineSep", HEADER[-1]).text(path)
-        return path
+    # Sorted before the lines are made, so that drawing the bounds makes none. The first row of the first part is the
+    # first of the file; the id is taken after the sort.
+    placed = postings.select(*CSV_COLUMNS).orderBy("job_url").withColumn("_place", F.monotonically_increasing_id())
     # A line is written with its line break in front and closed by the quote that ends
-    # every line, so no break follows the last one. The header stands before one line,
-    # a first by URL; rows that repeat it whole are written as plain lines.
-    is_least = F.col("job_url").eqNullSafe(F.lit(least["job_url"])) & (F.col("line") == least["line"])
-    more = lines.filter(is_least).count() - 1
-    again = spark.range(more).select(F.lit(1).alias("part"), F.lit(least["job_url"]).cast("string").alias("job_url"), F.lit(least["line"]).alias("line"))
-    head = spark.createDataFrame([(0, least["job_url"], least["line"])], "part int, job_url string, line string")
-    rest = lines.filter(~is_least).select(F.lit(1).alias("part"), "job_url", "line")
-    header = F.when(F.col("part") == 0, F.lit(HEADER)).otherwise(F.lit(""))
-    placed = head.unionByName(again).unionByName(rest).orderBy("part", "job_url")
-    body = F.expr("substring(line, 1, length(line) - 1)")
-    placed.select(F.concat(header, F.lit("\n"), body).alias("value")).write.option("lineSep", '"').text(path)
+    # every line, so no break follows the last one.
+    header = F.when(F.col("_place") == 0, F.lit(HEADER)).otherwise(F.lit(""))
+    line = _line()
+    body = F.concat(header, F.lit("\n"), F.substring(line, 1, F.length(line) - 1))
+    placed.select(body.alias("value")).write.option("lineSep", '"').text(path)
+    if spark.read.text(path).isEmpty():
+        # The writer needs some separator; splitting the header at its last letter gives one.
+        only = spark.createDataFrame([(HEADER[:-1],)], "value string")
+        only.coalesce(1).write.mode("append").option("lineSep", HEADER[-1]).text(path)
     return path
