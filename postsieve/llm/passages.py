@@ -3,10 +3,14 @@
 A unit is every window of ``WINDOW`` consecutive words. Of the hashes of ``GRAM`` words inside a window the smallest is
 its mark: equal windows have equal marks, and few places of a text are the mark of any window. Marks that occur once
 in the corpus rule out their windows, the others' windows are compared one by one. Nothing is sampled.
+
+Texts that are equal as a whole are told first: of these only the first goes on, the others lose all from their first
+word to their last. The texts are dealt out once, to a table in buckets by row, and every later join reads them there.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.llm import arrays
-from postsieve.session import materialise
+from postsieve.session import materialise, new_dir
 
 # Words of the shortest passage that is looked for.
 WINDOW = 50
@@ -97,14 +101,17 @@ def _cut(window: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans = [], []
-            for text, later in zip(batch.column(1), batch.column(2), strict=True):
+            for text, later, copy in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 text, found = text.as_py(), []
-                if later.is_valid:
+                if later.is_valid or copy:
                     data = np.frombuffer(text.encode(), np.uint8)
                     words = arrays.words(data, np.array([0, len(data)]), arrays.BLANK_SEPARATED)
                     places = np.zeros(len(words.hashes) + 1, np.int64)
-                    np.add.at(places, later.values.field("since").to_numpy(), 1)
-                    np.add.at(places, later.values.field("at").to_numpy() + window, -1)
+                    if copy and len(words.hashes) >= window:
+                        places[0], places[-1] = 1, -1
+                    if later.is_valid:
+                        np.add.at(places, later.values.field("since").to_numpy(), 1)
+                        np.add.at(places, later.values.field("at").to_numpy() + window, -1)
                     gone = np.cumsum(places) > 0
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8)))))
                     chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
@@ -121,6 +128,18 @@ def _cut(window: int):
     return cut
 
 
+def _in_buckets(rows: DataFrame) -> DataFrame:
+    """Rows written once, in buckets by ``row``, so that joins on it move only what is joined to them.
+
+    The number of a row is the same in every pass from then on.
+    """
+    spark = rows.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"rows_{uuid.uuid4().hex}"
+    writer = rows.repartition(n, "row").write.bucketBy(n, "row").option("compression", "zstd")
+    writer.option("path", new_dir(spark, "rows")).saveAsTable(name)
+    return spark.table(name)
+
+
 def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Keep the first occurrence of each window of ``window`` words in the corpus, by doc_id and place; take the
     words of the others out.
@@ -133,20 +152,27 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     no rows; further columns are ignored.
     """
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    # Written, since the number of a row must be the same in every pass.
-    rows = materialise(numbered, "rows")
-    marks = materialise(rows.mapInArrow(_printed(window, gram), "row bigint, key bigint, n bigint"), "marks")
+    rows = _in_buckets(numbered)
+    rank = [F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row")]
+    # Two hashes stand for a text.
+    keyed = rows.filter("text is not null").select("row", F.struct(*rank).alias("rank"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    first = keyed.groupBy("k1", "k2").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = keyed.join(first.select("k1", "k2", F.col("first.row").alias("row0")), ["k1", "k2"]).filter("row <> row0")
+    copies = materialise(copies.select("row"), "copies")
+
+    marks = rows.mapInArrow(_printed(window, gram), "row bigint, key bigint, n bigint")
+    marks = materialise(marks.join(copies, "row", "left_anti"), "marks")
     repeated = marks.groupBy("key").agg(F.sum("n").alias("times")).filter("times > 1").select("key")
     kept = marks.join(materialise(repeated, "repeated"), "key").groupBy("row").agg(F.collect_list("key").alias("keys"))
     held = rows.join(kept, "row").select("row", "doc_id", "text", "keys")
     found = materialise(held.mapInArrow(_windows(window, gram), "row bigint, doc_id bigint, at int, key bigint"), "windows")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "at")
+    place = F.struct(*rank, "at")
     # One row per window and task goes through the shuffle, however common the passage.
     first = found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     first = materialise(first.filter("n > 1").select("key", F.col("first.row").alias("row0"), F.col("first.at").alias("at0")), "first")
     later = found.select("row", "at", "key").join(first, "key").filter((F.col("row") != F.col("row0")) | (F.col("at") != F.col("at0")))
     since = F.when(F.col("row") == F.col("row0"), F.greatest("at", F.col("at0") + window)).otherwise(F.col("at"))
     cut = later.groupBy("row").agg(F.collect_list(F.struct("at", since.alias("since"))).alias("later"))
-    return rows.join(cut, "row", "left").select("doc_id", "text", "later").mapInArrow(
-        _cut(window), "doc_id bigint, text string, removed array<struct<start:bigint,end:bigint>>"
-    )
+    cut = cut.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
+    joined = rows.join(cut, "row", "left").select("doc_id", "text", "later", F.coalesce("copy", F.lit(False)).alias("copy"))
+    return joined.mapInArrow(_cut(window), "doc_id bigint, text string, removed array<struct<start:bigint,end:bigint>>")

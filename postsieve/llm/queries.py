@@ -104,8 +104,8 @@ QUERIES = [
     op3_near_duplicates,
     op4_personal_data,
     op5_hilbert_shards,
-    op6_line_dedup,
     op6_passage_dedup,
+    op6_line_dedup,
     op7_decontamination,
     op8_decision_list,
     op9_language,

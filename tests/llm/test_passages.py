@@ -64,3 +64,12 @@ def test_random_passages(spark):
         rows.append((k, "".join(w + rng.choice([" ", "\n", "  "]) for w in parts)))
     for window, gram in ((12, 6), (10, 3), (7, 7)):
         check(docs_of(spark, rows), rows, window, gram)
+
+
+def test_equal_texts_with_repeats_of_their_own(spark):
+    rng = random.Random(12)
+    own, other = sentence(rng, 70), sentence(rng, 49)
+    texts = [f"  {own}\n{own} \u00e9 end. ", own, sentence(rng, 30) + " " + own, other, "", None, " \t"]
+    rows = [(k, t) for k, t in enumerate(texts * 3)] + [(None, texts[0]), (3, texts[0]), (3, texts[0])]
+    rng.shuffle(rows)
+    check(docs_of(spark, rows).coalesce(1), rows)
