@@ -157,7 +157,9 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     # Two hashes stand for a text.
     keyed = rows.filter("text is not null").select("row", F.struct(*rank).alias("rank"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
     first = keyed.groupBy("k1", "k2").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = keyed.join(first.select("k1", "k2", F.col("first.row").alias("row0")), ["k1", "k2"]).filter("row <> row0")
+    # Written, so that the join is one of two plain tables, whose hot keys Spark splits.
+    first = materialise(first.select("k1", "k2", F.col("first.row").alias("row0")), "equal")
+    copies = keyed.join(first, ["k1", "k2"]).filter("row <> row0")
     copies = materialise(copies.select("row"), "copies")
 
     marks = rows.mapInArrow(_printed(window, gram), "row bigint, key bigint, n bigint")
