@@ -40,6 +40,8 @@ DIRECTIONS = 8
 COORDINATES = 512
 # Blocks are a quarter of a label, within these bounds; leaves are runs of a block; intervals have so many parts.
 BLOCK, LARGEST_BLOCK, LEAF, FAN = 256, 16_384, 256, 8
+# Bytes of vectors in a block, unless they are so long that not even the least block keeps to it.
+BLOCK_BYTES = 32 << 20
 _CELLS = [f"c{k}" for k in range(DIRECTIONS)]
 
 
@@ -288,7 +290,8 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR) -> DataFrame:
     cells = [F.floor(F.col(c) / eps).alias(f"_{c}") for c in _CELLS]
     order = number_rows(placed.select("*", *cells), ["label", "dim"], [*[f"_{c}" for c in _CELLS], *_CELLS, "node"], "rank")
     sizes = placed.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("of"))
-    width = F.greatest(F.lit(BLOCK), F.least(F.lit(LARGEST_BLOCK), F.ceil(F.col("of") / 4)))
+    fit = F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim")))
+    width = F.greatest(F.lit(BLOCK), F.least(F.lit(LARGEST_BLOCK), F.ceil(F.col("of") / 4), fit))
     order = same_keys(order, sizes.withColumn("width", width.cast("bigint")), ["label", "dim"])
     order = order.select("node", "label", "dim", *_CELLS, F.col("rank").alias("pos"), F.expr("(rank - 1) div width").alias("block"))
     order = materialise(order, "order")

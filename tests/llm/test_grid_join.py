@@ -66,6 +66,20 @@ def test_empty(spark):
     check(spark, [(1, None, 1), (2, [0.0], 1)])
 
 
+def test_blocks_of_long_vectors_are_small(spark, monkeypatch):
+    monkeypatch.setattr(grid_join, "BLOCK", 4)
+    monkeypatch.setattr(grid_join, "BLOCK_BYTES", 8 * 700 * 10)
+    sizes, old = [], grid_join.block_pairs
+
+    def watched(boxes, eps):
+        sizes.append(boxes.count())
+        return old(boxes, eps)
+
+    monkeypatch.setattr(grid_join, "block_pairs", watched)
+    check(spark, clusters(np.random.default_rng(2), 10, 10, 0.2, d=700))
+    assert sizes == [10]
+
+
 @pytest.mark.parametrize("leaf", [2, 7, 256])
 def test_clusters_against_all_pairs(spark, monkeypatch, leaf):
     """Near copies, chains around the threshold, a dense group and single vectors, over many blocks and leaves."""
