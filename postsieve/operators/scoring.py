@@ -154,19 +154,21 @@ LEVEL_TERMS = [
     "2025 graduate",
     "2026 graduate",
 ]
-# Three or more years, in digits or words, English or Chinese.
-SENIOR_PATTERN = (
-    r"(?:^|[^0-9])(?:[3-9]|[1-9][0-9])(?: or more)?\+? ?(?:-|to|~|至)? ?[0-9]* ?(?:\+ ?)?(?:years|yrs|年)"
-    r"|(?:three|four|five|six|seven|eight|nine|ten)(?: or more|\+)? ?(?:to [a-z]+ )?(?:years|yrs)"
-    r"|[三四五六七八九十]年"
+# Three or more years, in digits or words, English or Chinese. What a match may begin with comes first, so that the
+# other places of a text are passed over at one look.
+_UP_TO = r"(?: or more|\+)? ?(?:to [a-z]+ )?(?:years|yrs)"
+YEARS_IN_DIGITS = (
+    r"(?=[1-9])(?<![0-9])(?:[3-9]|[1-9][0-9])(?: or more)?\+? ?(?:-|to|~|至)? ?[0-9]* ?(?:\+ ?)?(?:years|yrs|年)"
 )
+YEARS_IN_WORDS = rf"(?=[efnst])(?:three|four|five|six|seven|eight|nine|ten){_UP_TO}"
+YEARS_IN_CHINESE = r"[三四五六七八九十]年"
 
 
 def terms_pattern(terms: list[str]) -> str:
     """One pattern for all terms; Latin ones have to stand as words of their own, also in the plural."""
     latin = "|".join(t for t in terms if t.isascii())
     other = "|".join(t for t in terms if not t.isascii())
-    bounded = f"(?:^|[^a-z0-9])(?:{latin})s?(?:$|[^a-z0-9])"
+    bounded = f"(?<![a-z0-9])(?:{latin})s?(?![a-z0-9])"
     return f"{bounded}|{other}" if other else bounded
 
 
@@ -183,10 +185,16 @@ def role_rules(low: Column) -> Column:
     return names_any(low, ROLE_TERMS) & ~names_any(low, NOT_ROLE_TERMS)
 
 
+def asks_years(low: Column) -> Column:
+    """Whether a lower-case text asks for three or more years; each pattern is tried only where its unit occurs."""
+    english, chinese = contains_any(low, ["years", "yrs"]), F.contains(low, F.lit("年"))
+    digits = (english | chinese) & low.rlike(YEARS_IN_DIGITS)
+    return digits | (english & low.rlike(YEARS_IN_WORDS)) | (chinese & low.rlike(YEARS_IN_CHINESE))
+
+
 def level_rules(low: Column) -> Column:
     """False only for texts that ask for three or more years and name no entry track."""
-    senior = contains_any(low, ["years", "yrs", "年"]) & low.rlike(SENIOR_PATTERN)
-    return ~senior | names_any(low, LEVEL_TERMS)
+    return ~asks_years(low) | names_any(low, LEVEL_TERMS)
 
 
 def rule_labels(df: DataFrame, text: str = "text") -> DataFrame:

@@ -140,6 +140,13 @@ def test_quality(spark):
         ("ML engineer, 4 or more years", True, False),
         ("LLM engineer, 3+ yrs, new grads welcome", True, True),
         ("NLP engineer, 2年经验", True, True),
+        ("3 years", False, False),
+        ("AI engineer\n103 years of history", True, False),
+        ("CV engineer, 1.5 years or 2 yrs", True, False),
+        ("applied scientists, 12-15+ yrs", True, False),
+        ("data scientist, ten to twelve years", True, False),
+        ("data scientist: many years, ten people", True, True),
+        ("AI engineer, 2~3年", True, False),
     ],
 )
 def test_rules(spark, text, role, level):
