@@ -47,6 +47,20 @@ def is_auth_wall(url: Column, patterns: list[str] = AUTH_WALL_PATTERNS) -> Colum
     return F.coalesce(contains_any(url, patterns), F.lit(False))
 
 
+def first_walls(
+    visits: DataFrame, keys: list[str], order: str = "seq", url: str = "url", patterns: list[str] = AUTH_WALL_PATTERNS
+) -> DataFrame:
+    """Place ``_wall`` of the first walled page per key: one minimum, aggregated before the shuffle."""
+    return visits.filter(is_auth_wall(F.col(url), patterns)).groupBy(*keys).agg(F.min(order).alias("_wall"))
+
+
+def before_walls(visits: DataFrame, walls: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+    """Visits before their key's ``_wall``; keys without a wall are kept."""
+    after = reduce(lambda a, b: a & b, [F.col(f"v.{k}") == F.col(f"w.{k}") for k in keys])
+    after = after & (F.col(f"v.{order}") >= F.col("w._wall"))
+    return visits.alias("v").join(walls.alias("w"), after, "left_anti")
+
+
 def skip_walled_platform(
     visits: DataFrame,
     keys: list[str] = ["run_id", "platform_idx"],
@@ -56,13 +70,9 @@ def skip_walled_platform(
 ) -> DataFrame:
     """Visits before the first walled page of their platform in the run.
 
-    The first wall is one minimum per key, aggregated before the shuffle, so the
-    visits are never sorted within a platform. Platforms without a wall are kept.
+    The visits are never sorted within a platform. Platforms without a wall are kept.
     """
-    walls = visits.filter(is_auth_wall(F.col(url), patterns)).groupBy(*keys).agg(F.min(order).alias("_wall"))
-    after = reduce(lambda a, b: a & b, [F.col(f"v.{k}") == F.col(f"w.{k}") for k in keys])
-    after = after & (F.col(f"v.{order}") >= F.col("w._wall"))
-    return visits.alias("v").join(walls.alias("w"), after, "left_anti")
+    return before_walls(visits, first_walls(visits, keys, order, url, patterns), keys, order)
 
 
 def _any_of(conditions: list[Column]) -> Column:

@@ -51,6 +51,12 @@ def active_run_filter(
     return events.join(active, keys, "left_semi")
 
 
+def drop_stopped(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows of runs that are not stopped; runs without a state, or whose status is null, count as going on."""
+    stopped = runs.filter(~is_active(F.col("status"))).select("run_id")
+    return rows.join(stopped, "run_id", "left_anti").select(*rows.columns)
+
+
 def run_start(runs: DataFrame, visited: DataFrame, pending: DataFrame) -> DataFrame:
     """How each run starts: resumed where something was done and it is not finished.
 

@@ -21,9 +21,11 @@ from postsieve.operators.keyed import last_per_key, number_rows
 from postsieve.plans import crawl, curate, incremental, run
 from postsieve.session import configure, materialise, new_dir
 from postsieve.sources import current, export, search_plan, store, tables
+from postsieve.streaming import frontier as stream_frontiers
 from postsieve.streaming import pages as stream_pages
 from postsieve.streaming import stop as stream_stop
 from postsieve.streaming import store as stream_store
+from postsieve.streaming import walls as stream_walls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -742,6 +744,26 @@ def stream_late_pages(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def stream_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    """The crawl frontier of listing pages that arrive in any order, over three micro-batches."""
+    listing, folder, path = _run_listing(spark, sf), new_dir(spark, "arriving"), new_dir(spark, "frontier")
+    listing.repartition(3, F.xxhash64("run_id", "keyword_idx", "page_no")).write.parquet(folder)
+    arriving = tables.stream_pages_source(spark, folder, spark.read.parquet(folder).schema, max_files=1)
+    stream_frontiers.stream_frontier(arriving, path, f"{path}-state").awaitTermination()
+    found = incremental.read_frontier(spark, path)
+    return found.select("run_id", F.col("keyword_idx").alias("host"), F.col("page_no").alias("page_id"), "url", "seq")
+
+
+def stream_walled(spark: SparkSession, sf: str) -> DataFrame:
+    """Visits that arrive in any order, over three micro-batches, cut off at the first wall of their host."""
+    visits_ = _pages(spark, sf).select("page_id", _host().alias("host"), _walled_url().alias("url"))
+    folder, out = new_dir(spark, "visits"), new_dir(spark, "unwalled")
+    visits_.repartition(3, F.xxhash64("page_id")).write.parquet(folder)
+    arriving = tables.stream_pages_source(spark, folder, visits_.schema, max_files=1)
+    stream_walls.stream_skip_walled(arriving, out, f"{out}-state", ["host"], "page_id").awaitTermination()
+    return stream_walls.read_visits(spark, out, visits_.schema, ["host"], "page_id").select("page_id", "host")
+
+
 def _posted(docs: DataFrame) -> DataFrame:
     texts = {c: F.lit("") for c in ("salary", "requirements", "location")}
     return docs.select(
@@ -892,6 +914,8 @@ QUERIES = [
     stream_dedup,
     stream_stop_rule,
     stream_late_pages,
+    stream_frontier,
+    stream_walled,
     stream_upsert,
     whole_run,
     two_writers,

@@ -15,6 +15,7 @@ from postsieve.operators.replies import parse_reply_strict, rejects, to_posting
 from postsieve.operators.attempts import FIRST_WAIT, MAX_ATTEMPTS, call_states, open_calls
 from postsieve.operators.scoring import Scorer, build_prompt, score_batch, score_from_table, try_batch
 from postsieve.operators.keyed import first_n_per_key, same_keys
+from postsieve.operators.visits import drop_stopped
 from postsieve.session import materialise
 from postsieve.sources.ledger import append_attempts, init_ledger, read_attempts
 from postsieve.sources.store import append_batch, init_store, read_keys
@@ -47,7 +48,14 @@ def curate(
 
 
 def score_in_waves(
-    details: DataFrame, scorer: Scorer, store: str, rejected: str, target: int = 50, wave: int = 100, calls: int | None = None
+    details: DataFrame,
+    scorer: Scorer,
+    store: str,
+    rejected: str,
+    target: int = 50,
+    wave: int = 100,
+    calls: int | None = None,
+    runs: Callable[[], DataFrame] | None = None,
 ) -> int:
     """Score details in crawl order until each run has its target; returns the number of waves.
 
@@ -60,8 +68,10 @@ def score_in_waves(
     wave is dealt out by URL to ``calls`` tasks (as many as the cluster has cores), so
     that the scorer works in parallel however the details are stored. Postings go to
     ``store``, replies without a posting to ``rejected``, one folder per wave and call;
-    what others saved for a run counts. After a failure, call again with the details
-    not judged yet.
+    what others saved for a run counts. ``runs``, if given, is asked for run states
+    (``run_id, status``) before every wave: no further call is made for a run that was
+    stopped meanwhile, while what it has saved stays; runs without a state go on.
+    After a failure, call again with the details not judged yet.
     """
     spark = details.sparkSession
     init_store(spark, store)
@@ -73,6 +83,8 @@ def score_in_waves(
         full = keys.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= target)
         left = details if low is None else details.filter(F.col("seq") > low)
         todo = same_keys(left, full.select("run_id"), ["run_id"], "left_anti")
+        if runs is not None:
+            todo = materialise(drop_stopped(todo, runs()), "todo")
         if todo.isEmpty():
             return n
         high = (low or 0) + wave

@@ -40,7 +40,8 @@ def _schemas(pages: T.StructType) -> dict[str, T.StructType]:
 
 def init_frontier(listing: DataFrame, path: str) -> None:
     """Create the folder for listings of these types (``run_id, platform_pos, keyword_idx, page_no, links``), unless it exists."""
-    pages = listing.select(*KEYWORD, "page_no", "links").limit(0)
+    # By types alone, as the listing may be a stream.
+    pages = listing.sparkSession.createDataFrame([], listing.select(*KEYWORD, "page_no", "links").schema)
     pages.write.mode("ignore").parquet(f"{path}/schema")
     for name, schema in _schemas(pages.schema).items():
         empty = listing.sparkSession.createDataFrame([], schema)

@@ -159,6 +159,11 @@ _WALLED = r"""walls AS (
          page_id % 11 = 5 OR page_id % 13 = 6 AS walled
   FROM pages)"""
 
+_UNWALLED = f"""
+WITH {_WALLED}, seen AS (
+  SELECT page_id, host, max(CASE WHEN walled THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY page_id) AS w FROM walls)
+SELECT page_id, host FROM seen WHERE w = 0"""
+
 _POSTINGS = f"""
 postings AS (
   SELECT doc_id AS seq, lang AS run_id, {_TITLE} AS title, source AS company, lang AS location,
@@ -305,10 +310,8 @@ p AS (SELECT page_id, CASE WHEN contains(host, 'blog.') THEN 'Blog' WHEN contain
       WHEN contains(host, 'example.org') THEN 'Org' END AS platform FROM h)
 SELECT page_id, platform FROM p WHERE platform IS NOT NULL""",
     "auth_wall_pages": f"WITH {_WALLED} SELECT page_id, walled FROM walls",
-    "skip_walled": f"""
-WITH {_WALLED}, seen AS (
-  SELECT page_id, host, max(CASE WHEN walled THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY page_id) AS w FROM walls)
-SELECT page_id, host FROM seen WHERE w = 0""",
+    "skip_walled": _UNWALLED,
+    "stream_walled": _UNWALLED,
     "page_counts": f"WITH {_COUNTS} SELECT host, page_id, n_links, n_new, n_dup FROM counts",
     "consecutive_dupes": f"WITH {_PAGE_RUNS} SELECT host, page_id, {_KEEP} FROM running",
     "keyword_stop": f"WITH {_PAGE_RUNS} SELECT host, page_id, ordinal, {_KEEP} FROM kept",
@@ -337,6 +340,7 @@ FROM links l JOIN first_sight f ON l.host = f.host AND l.href = f.href AND l.pag
 JOIN kept k ON l.host = k.host AND l.page_id = k.page_id""",
     "crawl_frontier": _CRAWL,
     "incremental_frontier": _CRAWL,
+    "stream_frontier": _CRAWL,
     "pending_queue": """
 WITH o AS (SELECT o_custkey AS run_id, o_orderkey AS seq, 'u' || o_custkey || '-' || o_orderpriority AS url, o_orderstatus AS s
            FROM orders),

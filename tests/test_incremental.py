@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postsieve.plans import crawl, incremental
 from postsieve.session import new_dir
+from postsieve.streaming.frontier import stream_frontier
 
 from test_stop import listing_rows, simulate_run
 
@@ -91,3 +92,35 @@ def test_empty_batches_and_pages_without_links(spark):
     rows = [("a", 0, 0, 1, None), ("a", 0, 0, 2, []), ("a", 0, 1, 1, ["u"])]
     incremental.add_pages(frame(spark, rows), path, 1)
     check(spark, path, rows, max_dupes=5)
+
+
+@pytest.mark.parametrize("fails", ["pages", "frontier", "runs"])
+def test_stream_killed_in_a_batch(spark, tmp_path, monkeypatch, fails):
+    """A batch that fails before its last table is written is done again; pages arrive in any order."""
+    rng = random.Random(5)
+    rows = [r for run in ("a", "b", None) for r in listing_rows(rng, run)]
+    rng.shuffle(rows)
+    source, path, state = (str(tmp_path / n) for n in ("in", "frontier", "state"))
+    for part in (rows[0::3], rows[1::3], rows[2::3]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(source)
+
+    def stream():
+        arriving = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        return stream_frontier(arriving, path, state, max_dupes=3)
+
+    write = incremental._write
+
+    def broken(rows, path, name, batch_id):
+        if batch_id == 1 and name == fails:
+            raise OSError("lost")
+        write(rows, path, name, batch_id)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(incremental, "_write", broken)
+        with pytest.raises(Exception, match="lost"):
+            stream().awaitTermination()
+    stream().awaitTermination()
+    check(spark, path, rows)
+    # Started again with nothing new, it changes nothing.
+    stream().awaitTermination()
+    check(spark, path, rows)

@@ -202,6 +202,30 @@ def test_score_in_waves(spark, tmp_path):
     assert {r.status for r in scored.select("status").distinct().collect()} == {"not_qualified", "call_failed"}
 
 
+def test_no_calls_for_runs_stopped_between_waves(spark, tmp_path):
+    rows = [(run, i, f"u{2 * i}") for run in ("a", "b", "c", None) for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "run_id string, seq long, url string")
+    df = df.withColumns({"platform": F.lit("Indeed"), "text": F.lit("t")})
+    states = [
+        [("a", "analysing"), ("b", "analysing")],
+        [("a", "idle"), ("b", "analysing"), (None, "idle")],
+        [("a", "idle"), ("b", "error"), ("c", None)],
+    ]
+    asked = []
+
+    def runs():
+        asked.append(len(asked))
+        return spark.createDataFrame(states[min(asked[-1], 2)], "run_id string, status string")
+
+    path, rejected = str(tmp_path / "store"), str(tmp_path / "rejected")
+    scorer = lambda batch: batch["url"].map(lambda u: json.dumps(GOOD | {"title": u}))
+    waves = curate.score_in_waves(df, scorer, path, rejected, target=1000, wave=8, runs=runs)
+    last = store.read_log(spark, path).groupBy("run_id").agg(F.max("seq").alias("last"), F.count("seq").alias("n")).collect()
+    # Waves end at 8, 24 and 56; a run without an id or a state cannot be stopped.
+    assert {r.run_id: (r.last, r.n) for r in last} == {"a": (8, 8), "b": (24, 24), "c": (40, 40), None: (40, 40)}
+    assert waves == 3 and asked == [0, 1, 2, 3]
+
+
 def test_waves_take_every_row_and_spread_it(spark, tmp_path):
     rows = [("a", n, f"u{2 * k}") for k, n in enumerate([0, -3, None, 1, 2, 900])] + [("b", k, f"u{4 * k}") for k in range(1, 300)]
     df = spark.createDataFrame(rows, "run_id string, seq long, url string").coalesce(1)
