@@ -23,6 +23,8 @@ SUPPORT = 3.0
 CONFIDENCE = 0.5
 # Characters before an instance in which its word is looked for.
 REACH = 64
+# Characters in a piece of a text that is to be cut.
+CHUNK = 1024
 
 # The forms, over text in which dots that end no label (for mail) and blanks and hyphens that join no
 # digits (for cards) are first replaced by a control character. Runs are possessive, so that matching stays linear.
@@ -197,26 +199,44 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
 
 
+def _cutter(chunks: Column):
+    """Characters from ``a`` up to ``b`` of a text given as pieces of ``CHUNK`` characters.
+
+    A place inside a text can only be reached from its start, so many cuts of one long text would take time by its square.
+    """
+
+    def cut(a: Column, b: Column) -> Column:
+        first = F.floor(a / CHUNK).cast("int")
+        last = F.floor((b - 1) / CHUNK).cast("int")
+        near = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+        return F.when(b > a, F.substring(near, (a - first * CHUNK).cast("int") + 1, (b - a).cast("int"))).otherwise("")
+
+    return cut
+
+
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in brackets; null text stays null.
 
-    A span that begins inside the one before is covered by it. All columns and rows are kept.
+    A span that begins inside those before names no kind of its own; what it adds to them goes with them. All columns and
+    rows are kept. The time for a text grows with its length and its number of spans, each by itself.
     """
     found = personal_data(docs).filter(F.size("spans") > 0)
+    keys = ["doc_id", "text_key"]
     # Equal texts of one doc_id have equal spans.
-    found = found.groupBy("doc_id", "text_key").agg(F.first("spans").alias("spans"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    same = found["_id"].eqNullSafe(docs["doc_id"]) & (found["_key"] == tx.text_key(docs["text"]))
-    text, spans = docs["text"], found["_spans"]
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, s["start"].cast("int") - state["at"])
-        out = F.concat(state["text"], gap, F.lit("["), s["kind"], F.lit("]"))
-        taken = F.struct(s["end"].cast("int").alias("at"), out.alias("text"))
-        return F.when(s["start"] >= state["at"], taken).otherwise(state)
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    tail = lambda state: F.concat(state["text"], F.substring(text, state["at"] + 1, F.length(text)))
-    masked = F.when(spans.isNull(), text).otherwise(F.aggregate(spans, start, step, tail))
-    joined = docs.join(found, same, "left")
-    return joined.select(*[masked.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    one = found.groupBy(*keys).agg(F.first("spans").alias("spans")).select(*keys, F.inline("spans"))
+    before = Window.partitionBy(*keys).orderBy("start", "n", "end").rowsBetween(Window.unboundedPreceding, -1)
+    one = one.withColumn("since", F.coalesce(F.max("end").over(before), F.lit(0)))
+    parts = F.sort_array(F.collect_list(F.when(F.col("start") >= F.col("since"), F.struct("start", "since", "kind"))))
+    cuts = one.groupBy(*keys).agg(parts.alias("_parts"), F.max("end").alias("_rest"))
+    cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_parts", "_rest")
+    same = cuts["_id"].eqNullSafe(docs["doc_id"]) & (cuts["_key"] == tx.text_key(docs["text"]))
+    text, parts, rest = docs["text"], cuts["_parts"], cuts["_rest"]
+
+    def joined(chunks: Column) -> Column:
+        cut = _cutter(chunks)
+        shown = F.transform(parts, lambda s: F.concat(cut(s["since"], s["start"]), F.lit("["), s["kind"], F.lit("]")))
+        return F.concat(F.array_join(shown, ""), cut(rest, F.length(text).cast("bigint")))
+
+    masked = F.when(parts.isNull(), text).otherwise(tx.let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), 0), joined))
+    out = docs.join(cuts, same, "left")
+    return out.select(*[masked.alias("text") if c == "text" else docs[c] for c in docs.columns])
