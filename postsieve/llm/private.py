@@ -112,7 +112,9 @@ def _mentions(rows: DataFrame) -> DataFrame:
     spans = spans.filter(_valid(F.col("kind"), F.col("value"))).withColumn("base", F.col("kind") != CONTEXT)
     place = Window.partitionBy("row").orderBy("start", "n")
     ended = F.max(F.when(F.col("base"), F.col("end"))).over(place.rowsBetween(Window.unboundedPreceding, -1))
-    begun = F.min(F.when(F.col("base"), F.col("start"))).over(place.rowsBetween(1, Window.unboundedFollowing))
+    # Backwards, since a frame that reaches to the end is added up anew for every row.
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("n"))
+    begun = F.min(F.when(F.col("base"), F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     free = (F.coalesce(ended, F.lit(0)) <= F.col("start")) & (F.coalesce(begun, F.col("end")) >= F.col("end"))
     spans = spans.withColumn("free", free).filter(F.col("base") | F.col("free"))
     return spans.select("row", "kind", "n", "start", "end", F.lower("value").alias("value"), "left", "base")
