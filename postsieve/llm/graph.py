@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least_neighbour(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.distinct(), "large")
+        # Repeated links go with the others below.
+        large = materialise(large, "large")
         least = _least_neighbour(large)
         linked = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(linked.unionByName(least.filter("u <> m").select("u", F.col("m").alias("v"))).distinct(), "stars")

@@ -22,7 +22,7 @@ No step emits all pairs of a group: inside a component nothing is compared again
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,7 @@ AGREE = 1729
 # Another round of hubs follows one that settled at least so many percent of the rows outside the largest components.
 SETTLED = 10
 _FEATURES = "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, sig array<bigint>"
+_SKETCHED = "node bigint, n bigint, sketch array<bigint>, shingles array<bigint>"
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -105,34 +106,25 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, data, offsets in arrays.pieces(batch, "text"):
-            values, bounds, some, digest = _sets(data, offsets)
+        for rows, data, offsets in arrays.pieces(batch, "text"):
+            values, bounds, some, _ = _sets(data, offsets)
             if len(some):
                 found = list(sketches(values, np.append(bounds[some], bounds[-1])))
+                sets = [values[bounds[k] : bounds[k + 1]].view(np.int64) for k in some.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([digest[k] for k in some.tolist()], pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["digest", "sketch"]
+                    [*(c.take(pa.array(some)) for c in rows.columns[:2]), pa.array(found, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
+                    ["node", "n", "sketch", "shingles"],
                 )
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, data, offsets in arrays.pieces(batch, "text"):
-            values, bounds, some, digest = _sets(data, offsets)
-            sets = [values[bounds[k] : bounds[k + 1]].view(np.int64) for k in some.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([digest[k] for k in some.tolist()], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "shingles"]
-            )
-
-
 def _agree(a: str, b: str) -> Column:
     """Whether enough bits of the sketches in the columns ``<side><word>`` agree."""
     differ = sum(F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(SKETCH))
     return differ <= 64 * SKETCH - AGREE
 
 
-
 def _near_sizes(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
@@ -144,13 +136,21 @@ class _Corpus:
         docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
         self.docs = docs
         self.rows = materialise(docs.mapInArrow(_features, _FEATURES), "features")
+        # The least document that has a set stands for the node.
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
         nodes = self.rows.filter("digest is not null").groupBy("digest").agg(
-            F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
+            F.min("doc_id").alias("first_id"),
+            F.min_by("text_key", order).alias("first_key"),
+            F.first("n_shingles").alias("n"),
+            F.first("sig").alias("sig"),
         )
         self.nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def keys(self) -> DataFrame:
-        """``(key, node)``: the table keys of the sub-signatures that a node shares with another."""
+        """The table keys of the sub-signatures that a node shares with another, as rows of :meth:`open_buckets`.
+
+        Each node is a component of its own as yet, and the greatest of a bucket is its lead.
+        """
         parts = self.nodes.select("node", F.posexplode("sig").alias("k", "v"))
         shared = parts.groupBy("k", "v").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
         shared = materialise(shared.select("k", "v"), "shared")
@@ -160,21 +160,16 @@ class _Corpus:
         keys = held.select("node", F.explode(F.flatten(F.transform(side(True), pairs))).alias("key"))
         keys = materialise(keys, "keys")
         met = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-        return materialise(keys.join(met.select("key"), "key"), "met")
-
-    def texts_of(self, wanted: DataFrame, run: Callable, result: str) -> DataFrame:
-        """Rows ``(digest, ...)`` that ``run`` makes of the whole texts of the wanted nodes, with the node."""
-        digests = self.nodes.join(wanted, "node").select("node", "digest", "first_id")
-        ids = digests.select(F.col("first_id").alias("doc_id")).distinct()
-        texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-        found = texts.select("text").mapInArrow(run, result)
-        return found.join(digests.select("node", "digest"), "digest").drop("digest")
+        return materialise(keys.join(met.select("key", F.col("hi").alias("lead")), "key").withColumn("component", F.col("node")), "met")
 
     def sketch(self, keys: DataFrame) -> None:
-        """Sketches of the nodes that meet others."""
-        found = self.texts_of(keys.select("node").distinct(), _sketch_rows, "digest binary, sketch array<bigint>")
-        found = found.dropDuplicates(["node"]).join(self.nodes.select("node", "n"), "node")
-        self.sketched = materialise(found.select("node", "n", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]), "sketches")
+        """Sketches and full sets of the nodes that meet others, each from the whole text that stands for the node."""
+        held = self.nodes.join(keys.select("node").distinct(), "node", "left_semi")
+        held = held.select("node", "n", F.xxhash64("first_id", "first_key").alias("place"))
+        texts = self.docs.select(F.xxhash64("doc_id", "text_key").alias("place"), "text").join(held, "place")
+        found = texts.dropDuplicates(["place", "node"]).select("node", "n", "text").mapInArrow(_sketched_sets, _SKETCHED)
+        words = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
+        self.sketched = materialise(found.select("node", "n", *words, "shingles"), "sketches")
 
     def agreeing(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and sketches do not rule them out."""
@@ -186,9 +181,7 @@ class _Corpus:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The agreeing pairs whose full sets are similar enough."""
         pairs = materialise(pairs, "candidates")
-        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        sets = materialise(self.texts_of(wanted, _full_sets, "digest binary, shingles array<bigint>"), "sets")
-        side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
+        side = lambda c: self.sketched.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
         both = F.size(F.array_intersect("su", "sv"))
         held = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("both", both)
         held = held.filter(F.col("both") * 100 >= SIMILAR * (F.col("nu") + F.col("nv") - F.col("both")))
@@ -198,30 +191,34 @@ class _Corpus:
         """The links among some pairs of nodes."""
         return self.confirmed(self.agreeing(pairs))
 
-    def open_buckets(self, rows: DataFrame, links: DataFrame) -> DataFrame:
-        """Rows ``(key, node, component)`` of the buckets that still hold several components after some more links.
+    def merged(self, rows: DataFrame, links: DataFrame, turn: int) -> DataFrame:
+        """``(part, whole)``: the components that some links between nodes of the rows bring together, by their least."""
+        if turn:
+            place = rows.select("node", "component").distinct()
+            links = links.join(place.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u")
+            links = links.join(place.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v")
+            links = links.select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+        return materialise(components(links).select(F.col("node").alias("part"), F.col("component").alias("whole")), "merged")
+
+    def open_buckets(self, rows: DataFrame, merged: DataFrame) -> DataFrame:
+        """Rows ``(key, node, component, lead)`` of the buckets that still hold several components after a merge.
 
-        ``lead`` is the component that most nodes of a bucket have, ``rest`` the number of its other nodes, ``n`` of all.
+        ``lead`` is the component that most nodes of a bucket have.
         """
-        place = rows.select("node", "component").distinct()
-        ends = links.join(place.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u")
-        ends = ends.join(place.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v")
-        merged = components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).withColumnRenamed("component", "whole")
-        rows = rows.select("key", "node", "component").join(merged, F.col("component") == merged["node"], "left").select(
-            "key", rows["node"], F.coalesce("whole", "component").alias("component")
-        )
-        rows = materialise(rows, "placed")
+        rows = materialise(_in_whole(rows.select("key", "node", "component"), merged), "placed")
         sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         lead = sizes.groupBy("key").agg(
-            F.max_by("component", F.struct("n", "component")).alias("lead"),
-            (F.sum("n") - F.max("n")).alias("rest"),
-            F.sum("n").alias("n"),
-            F.count(F.lit(1)).alias("parts"),
+            F.max_by("component", F.struct("n", "component")).alias("lead"), F.count(F.lit(1)).alias("parts")
         )
         return materialise(rows.join(materialise(lead.filter("parts > 1").drop("parts"), "lead"), "key"), "open")
 
     def hub_pairs(self, rows: DataFrame, turn: int) -> DataFrame:
-        """The nodes outside the lead of each bucket with one node of the lead, drawn by hash for this turn and bucket."""
+        """The nodes outside the lead of each bucket with one node of the lead, drawn by hash for this turn and bucket.
+
+        In the first turn the lead is a single node.
+        """
+        if not turn:
+            return rows.filter("component <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
         hubs = rows.filter("component = lead").groupBy("key").agg(F.min_by("node", F.xxhash64(F.lit(turn), "key", "node")).alias("hub"))
         pairs = rows.filter("component <> lead").join(materialise(hubs, "hubs"), "key")
         return pairs.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
@@ -234,8 +231,8 @@ class _Corpus:
         """
         place = rows.groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("lead")).alias("outside"))
         place = materialise(place, "crowd")
-        tokens = self.texts_of(place.select("node"), _full_sets, "digest binary, shingles array<bigint>")
-        tokens = materialise(tokens.select("node", F.explode("shingles").alias("t")).distinct(), "tokens")
+        sets = self.sketched.join(place.select("node"), "node", "left_semi")
+        tokens = materialise(sets.select("node", F.explode("shingles").alias("t")), "tokens")
         often = materialise(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "often")
         counted = tokens.join(often, "t", "left").select("node", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "t").alias("x"))
         ranked = counted.groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("s"))
@@ -252,24 +249,30 @@ class _Corpus:
         pairs = a.join(b, across & once & _near_sizes(F.col("a.n"), F.col("b.n")) & enough)
         return pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
-    def links(self) -> DataFrame:
-        keys = self.keys()
-        self.sketch(keys)
-        rows = keys.withColumn("component", F.col("node"))
-        found = tried = rows.select(F.col("node").alias("u"), F.col("node").alias("v")).filter(F.lit(False))
-        rows, turn, settled = self.open_buckets(rows, found), 0, True
+    def merges(self) -> list[DataFrame]:
+        """What :meth:`merged` found turn by turn; one after another they take each node to its component."""
+        rows = self.keys()
+        self.sketch(rows)
+        merges, tried, turn, settled = [], None, 0, True
         outside = rows.filter("component <> lead").count()
         while outside and settled:
-            pairs = materialise(self.hub_pairs(rows, turn).join(tried, ["u", "v"], "left_anti"), "pairs")
-            new = self.compared(pairs)
-            found, tried = found.unionByName(new), tried.unionByName(pairs)
-            rows, turn, before = self.open_buckets(rows, new), turn + 1, outside
+            pairs = self.hub_pairs(rows, turn)
+            pairs = materialise(pairs.join(tried, ["u", "v"], "left_anti") if turn else pairs, "pairs")
+            merges.append(self.merged(rows, self.compared(pairs), turn))
+            tried = tried.unionByName(pairs) if turn else pairs
+            rows, turn, before = self.open_buckets(rows, merges[-1]), turn + 1, outside
             outside = rows.filter("component <> lead").count()
             settled = 100 * (before - outside) >= SETTLED * before
         if outside:
             pairs = materialise(self.rest_pairs(rows).join(tried, ["u", "v"], "left_anti"), "pairs")
-            found = found.unionByName(self.compared(pairs))
-        return found
+            merges.append(self.merged(rows, self.compared(pairs), turn))
+        return merges
+
+
+def _in_whole(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` with the component that theirs is part of after a merge."""
+    held = rows.join(merged, F.col("component") == F.col("part"), "left")
+    return held.withColumn("component", F.coalesce("whole", "component")).drop("part", "whole")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -284,10 +287,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives no rows; further columns are ignored.
     """
     corpus = _Corpus(docs)
-    parts = components(corpus.links())
-    named = corpus.nodes.join(parts, "node", "left").select(
-        "digest", "first_id", F.coalesce("component", "node").alias("component")
-    )
+    named = corpus.nodes.select("digest", "first_id", F.col("node").alias("component"))
+    for merged in corpus.merges():
+        named = _in_whole(named, merged)
     named = materialise(named, "named")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     held = named.join(materialise(least, "names"), "component")
