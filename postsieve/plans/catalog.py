@@ -812,7 +812,7 @@ def two_writers(spark: SparkSession, sf: str) -> DataFrame:
     target = 1_000_000_000
 
     def stream_on(part: int) -> None:
-        keyed.filter(F.col("seq") % 3 == part).drop("job_key").coalesce(1).write.mode("append").parquet(incoming)
+        keyed.filter(F.col("seq") % 3 == part).drop("job_key").write.mode("append").parquet(incoming)
         source = spark.readStream.schema(keyed.drop("job_key").schema).parquet(incoming)
         stream_store.stream_upsert(source, folder, f"{folder}-state", target).awaitTermination()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from postsieve.operators import dedup, state, visits
+from postsieve.plans import catalog
 from postsieve.schemas import POSTING, RUN_DEFAULTS
 from postsieve.sources import export, store, tables
 from postsieve.streaming.pages import append_to, stream_dedup
@@ -268,3 +269,23 @@ def test_active_runs(spark):
     events = spark.createDataFrame([("r", 1, 1), ("r", 2, 2), ("s", 1, 3)], "run_id string, active_tab_id long, e int")
     runs = spark.createDataFrame([("r", 1, "searching"), ("s", 1, "done")], "run_id string, active_tab_id long, status string")
     assert [r.e for r in visits.active_run_filter(events, runs).collect()] == [1]
+
+
+def test_two_writers_deal_the_postings_to_more_than_one_task(spark, tmp_path, monkeypatch):
+    """What goes into the stream is written by the tasks that read the documents, not by one."""
+    docs = spark.range(4000, numPartitions=16).selectExpr(
+        "id AS doc_id", "concat('title ', id % 900, '\n', id) AS text", "if(id % 2 = 0, 'en', 'de') AS lang", "'web' AS source", "id AS n_chars"
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(catalog, "new_dir", lambda session, label: f"{tmp_path}/{label}")
+    got = sorted(tuple(r) for r in catalog.two_writers(spark, str(tmp_path)).collect())
+    saved, want = set(), []
+    for part in range(3):
+        for seq in range(part, 4000, 3):
+            key = ("en" if seq % 2 == 0 else "de", seq % 900)
+            if key not in saved:
+                saved.add(key)
+                want.append((key[0], seq))
+    assert [r[:2] for r in got] == sorted(want)
+    # Two of the three parts go through the stream.
+    assert len(glob.glob(f"{tmp_path}/incoming/part-*.parquet")) > 2
